@@ -58,22 +58,26 @@ def _lines(docs: DataFrame, p: Params) -> DataFrame:
     return words.select("doc", "mark", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), *(k.alias(f"k{i}") for i, k in enumerate(keys)))
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """h1, h2, f and (v, m, i): the hash of the line without word i, its number of words m; i = -1: the whole line."""
-    a = F.transform("words", lambda w, k: F.xxhash64(w, k))
-    b = F.transform("words", lambda w, k: F.xxhash64(w, k - 1))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """lines with n, and v: the hash of the whole line, the exclusive-or of hash(word, place)."""
+    xor = lambda x, y: x.bitwiseXOR(y)
     zero = F.lit(0).cast("long")
+    each = F.transform("words", lambda w, k: F.xxhash64(w, k))
+    return lines.select("h1", "h2", "f", "words", F.size("words").alias("n"), each.alias("a"), F.aggregate(each, zero, xor).alias("v"))
+
+
+def _variants(hashed: DataFrame) -> DataFrame:
+    """h1, h2, f and (v, m, i): the hash of the line without word i, its number of words m."""
     xor = lambda x, y: x.bitwiseXOR(y)
-    hashed = lines.withColumn("n", F.size("words")).withColumn("a", a).withColumn("b", b)
-    hashed = hashed.withColumn("all_a", F.aggregate("a", zero, xor)).withColumn("all_b", F.aggregate("b", zero, xor))
-    # before[i]: hash of the words before i at their places, and of the words up to i at the places before
+    zero = F.lit(0).cast("long")
+    table = hashed.withColumn("b", F.transform("words", lambda w, k: F.xxhash64(w, k - 1)))
+    table = table.withColumn("all_b", F.aggregate("b", zero, xor))
+    # a variant: the words before i at their places, those after i one place earlier
     start = F.struct(zero.alias("x"), F.array().cast("array<bigint>").alias("out"))
     step = lambda s, ab: F.struct(s["x"].bitwiseXOR(ab["a"]).bitwiseXOR(ab["b"]).alias("x"), F.array_append(s["out"], s["x"].bitwiseXOR(ab["b"])).alias("out"))
     ran = F.aggregate(F.zip_with("a", "b", lambda x, y: F.struct(x.alias("a"), y.alias("b"))), start, step, lambda s: s["out"])
-    hashed = hashed.withColumn("ran", ran)
-    one = F.transform("ran", lambda x, i: F.struct(x.bitwiseXOR(F.col("all_b")).alias("v"), (F.col("n") - 1).alias("m"), i.alias("i")))
-    whole = F.array(F.struct(F.col("all_a").alias("v"), F.col("n").alias("m"), F.lit(-1).alias("i")))
-    return hashed.select("h1", "h2", "f", F.explode(F.concat(one, whole)).alias("x")).select("h1", "h2", "f", "x.v", "x.m", "x.i")
+    table = table.select("h1", "h2", "f", (F.col("n") - 1).alias("m"), "all_b", F.posexplode(ran).alias("i", "x"))
+    return table.select("h1", "h2", "f", F.col("x").bitwiseXOR(F.col("all_b")).alias("v"), "m", "i")
 
 
 def _within_one(a: Column, b: Column, i: Column) -> Column:
@@ -86,18 +90,17 @@ def _within_one(a: Column, b: Column, i: Column) -> Column:
 def _earlier_neighbours(lines: DataFrame) -> DataFrame:
     """h1, h2, e: for each line with an earlier one within the bound, the earliest.
     lines: h1, h2, f (its first place), words."""
-    variants = _variants(lines)
+    hashed = _hashed(lines)
+    variants = _variants(hashed)
+    whole = hashed.select("v", F.col("n").alias("m"), F.col("f").alias("whole"))
     groups = variants.groupBy("v", "m", "i").agg(F.min("f").alias("e"), F.count(F.lit(1)).alias("c"))
-    whole = groups.where("i = -1").select("v", "m", F.col("e").alias("whole"))
-    part = groups.where("i >= 0")
-    of_part = part.groupBy("v", "m").agg(F.min_by("i", "e").alias("i"), F.min("e").alias("e"))
-    shorter = part.join(whole, ["v", "m"])
-    # candidates: (group, the earliest line in it or of the other length, the deleted word)
-    replaced = part.where("c > 1").select("v", "m", "i", "e", F.col("i").alias("gone"))
-    longer_first = of_part.join(whole, ["v", "m"]).select("v", "m", F.lit(-1).alias("i"), "e", F.col("i").alias("gone"))
-    shorter_first = shorter.select("v", "m", "i", F.col("whole").alias("e"), F.col("i").alias("gone"))
-    found = replaced.union(longer_first).union(shorter_first)
-    pairs = variants.join(found, ["v", "m", "i"]).where("e < f").select("h1", "h2", "f", "e", "gone").distinct()
+    groups = cut(groups.join(whole, ["v", "m"], "left").where("c > 1 OR whole IS NOT NULL"))
+    # neighbours: of a line the earliest with another word i, the line without word i, and of that the longer ones
+    near = variants.join(groups, ["v", "m", "i"]).select("h1", "h2", "f", F.explode(F.array("e", "whole")).alias("e"), F.col("i").alias("gone"))
+    longer = groups.where("whole IS NOT NULL").groupBy("v", "m").agg(F.min("e").alias("e"))
+    longer = groups.join(longer, ["v", "m", "e"]).groupBy("v", "m", "e").agg(F.min("i").alias("gone"))
+    longer = hashed.withColumnRenamed("n", "m").join(longer, ["v", "m"]).select("h1", "h2", "f", "e", "gone")
+    pairs = near.union(longer).where("e < f").distinct()
     mine = lines.select("f", F.col("words").alias("a"))
     other = lines.select(F.col("f").alias("e"), F.col("words").alias("b"))
     checked = pairs.join(mine, "f").join(other, "e").where(_within_one(F.col("a"), F.col("b"), F.col("gone")))
@@ -142,6 +145,6 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
     stay = F.array_join(F.transform(F.array_except(places, F.col("_gone")), lambda i: F.get(all_lines, i)), "\n")
     return joined.select(
         *(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(stay).alias(c) if c == text_col else F.col(c) for c in names),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
     )
