@@ -8,11 +8,14 @@ collision-corrected Jaccard estimate from the registers drops those that
 cannot reach the threshold, and the rest are verified on the full sets.
 
 No group is expanded into all its pairs: equal sets are one class from the
-start; in the first round each class meets one centre of each of its bands,
-and only its best candidates are verified. Afterwards a pair matters only if
-it would join two components, so the second round pairs, band by band, the
-classes outside the band's largest component with the band's other
-components, and verifies all of these that the estimate does not rule out.
+start; first each class meets one centre of each of its bands, and its best
+candidate is verified, then its others as far as they lie in other components.
+From then on a pair matters only if it would join two components. Band by band
+the class with the fewest elements of its own, which has the most links in a
+group of edited copies, meets the classes of other components. At last the
+sets' rarest elements decide what else can link: two sets at the threshold
+share one of these, and few enough of the rarer elements stand before it. This
+is exact, and leaves little to verify where most copies differ from all others.
 """
 
 from __future__ import annotations
@@ -156,6 +159,32 @@ def _size_fits(a: str, b: str, p: Params):
     return F.least(a, b) * 100 >= F.greatest(a, b) * p.percent
 
 
+def _overlap_fits(most, p: Params):
+    """An intersection of at most ``most`` allows the threshold for sets of n_a and n_b elements."""
+    return most * (100 + p.percent) >= (F.col("n_a") + F.col("n_b")) * p.percent
+
+
+def _rarest(classes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """rep, n, own (elements that no other of the classes has) and rare: the prefix of the others, rarest first,
+    that a set at the threshold must share."""
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("n", T.LongType()), T.StructField("h", T.LongType())])
+
+    def rows():
+        def step(cols):
+            sets = [shingles(t, p.shingle) for t in cols[1]]
+            sizes = [len(s) for s in sets]
+            return [np.repeat(np.array(cols[0], np.int64), sizes), np.repeat(np.array(sizes, np.int64), sizes), np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)]
+
+        return step
+
+    held = arrow_map(texts.join(classes.select(F.col("rep").alias("id")), "id").select("id", "text"), schema, rows)
+    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = held.join(often, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("list"))
+    own = F.col("n") - F.size("list")
+    length = F.greatest(F.lit(0), F.floor((F.col("n") * (100 - p.percent)) / 100).cast("int") + 1 - own.cast("int"))
+    return shared.select("rep", "n", own.alias("own"), F.transform(F.slice("list", F.lit(1), length), lambda x: x["h"]).alias("rare"))
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b) that the sketches do not rule out, with the estimate."""
     regs = classes.select("rep", "regs")
@@ -249,38 +278,63 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     bands = cut(_bands(kept, p))
     mask = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
     centres = bands.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(mask)).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    centres = centres.select("key", F.col("m").bitwiseXOR(mask).alias("a"))
-    met = bands.join(centres, "key").where("rep <> a")
-    first = met.groupBy("a", F.col("rep").alias("b")).agg(F.first("n").alias("n"))
+    met = cut(bands.join(centres.select("key", F.col("m").bitwiseXOR(mask).alias("a")), "key"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = cut(texts.join(met.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    first = met.where("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.first("n").alias("n"))
     sizes = kept.select(F.col("rep").alias("a"), F.col("n").alias("na"))
     first = first.join(sizes, "a").where(_size_fits("n", "na", p)).select("a", "b")
     likely = cut(_estimated(first, kept, p))
     packed = F.floor(F.col("est") * 1_000_000).cast("long")
     top = likely.groupBy("b").agg(F.max(packed).alias("top"))
     chosen = likely.join(top, "b").where(packed == F.col("top")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = real.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
     same = member.join(shared, "id").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select("a", "b")
     same = same.union(member.join(shared, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     links = cut(_verified(chosen, texts, p).union(same))
     found = cut(components(links, p.last_rounds))
 
-    # round 2: what could still join two components
-    near = bands.join(centres.select("key"), "key").join(found, F.col("rep") == F.col("node"), "left")
-    near = near.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    mixed = near.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    weight = near.groupBy("comp").agg(F.count(F.lit(1)).alias("w"))
-    near = cut(near.join(mixed, "key").join(weight, "comp").select("key", "rep", "n", "comp", "w"))
-    a = near.select("key", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "comp", "w")))
-    b = near.select("key", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "comp", "w")))
-    most = near.groupBy("key").agg(F.max(F.struct("w", "comp")).alias("top")).select("key", F.col("top.comp").alias("top"))
-    minor = a.join(most, "key").where("comp_a <> top").drop("top")
-    crossing = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("comp_a") < F.col("comp_b")))
-    rest = minor.join(b, (minor["key"] == b["key"]) & crossing & _size_fits("n_a", "n_b", p)).select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")).distinct()
-    rest = _estimated(rest, kept, p).select("a", "b").join(likely.join(chosen, ["a", "b"]).select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(_verified(cut(rest), texts, p))
-    joined = found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
-    found = components(joined, p.last_rounds)
+    # round 2: the other candidates, where they would join two components
+    def crossing(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        named = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
+        both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
+        return both.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+
+    def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+        return cut(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), p.last_rounds))
+
+    others = likely.select("a", "b").join(chosen, ["a", "b"], "left_anti")
+    found = joined(found, cut(_verified(cut(crossing(others, found)), texts, p)))
+
+    # round 3: in bands that hold several components, the class with the fewest elements of its own meets the others
+    def mixed(table: DataFrame, key: str, found: DataFrame) -> DataFrame:
+        near = table.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+        keys = near.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(key)
+        return near.join(keys, key)
+
+    near = cut(mixed(met.select("key", "rep"), "key", found))
+    rare = cut(_rarest(near.select("rep").distinct(), texts, p))
+    near = near.join(rare.select("rep", "n", "own"), "rep")
+    fewest = near.groupBy("key").agg(F.min(F.struct("own", "rep", "n", "comp")).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("n_a"), F.col("c.own").alias("own_a"), F.col("c.comp").alias("comp_a"))
+    star = near.withColumnsRenamed({"n": "n_b", "own": "own_b"}).join(fewest, "key").where((F.col("comp") != F.col("comp_a")) & _size_fits("n_a", "n_b", p))
+    star = star.where(_overlap_fits(F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")), p))
+    star = cut(_estimated(star.select("a", F.col("rep").alias("b")).distinct(), kept, p).select("a", "b").join(likely.select("a", "b"), ["a", "b"], "left_anti"))
+    found = joined(found, cut(_verified(star, texts, p)))
+
+    # round 4: all that could still join two components
+    near = rare.select("rep", "n", "own", F.posexplode("rare").alias("pos", "h")).select("rep", "n", "h", (F.col("n") - F.col("own") - F.col("pos")).alias("left"))
+    near = mixed(near, "h", found)
+    weight = found.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("w"))
+    near = cut(near.join(weight, "comp", "left").withColumn("w", F.coalesce("w", F.lit(1))))
+    a = near.select("h", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "left", "comp", "w")))
+    b = near.select("h", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "left", "comp", "w")))
+    most = near.groupBy("h").agg(F.max(F.struct("w", "comp")).alias("top")).select("h", F.col("top.comp").alias("top"))
+    minor = a.join(most, "h").where("comp_a <> top").drop("top")
+    lighter = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("comp_a") < F.col("comp_b")))
+    rest = minor.join(b, (minor["h"] == b["h"]) & lighter & _size_fits("n_a", "n_b", p) & _overlap_fits(F.least("left_a", "left_b"), p))
+    rest = _estimated(rest.select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")).distinct(), kept, p).select("a", "b")
+    rest = cut(rest.join(likely.select("a", "b").union(star), ["a", "b"], "left_anti"))
+    found = joined(found, cut(_verified(rest, texts, p)))
 
     placed = member.distinct().join(found, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = marked.select("id", "n").join(placed, "id", "left").select(
