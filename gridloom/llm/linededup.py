@@ -40,6 +40,11 @@ def _place(doc: Column, pos: Column) -> Column:
     return (F.coalesce(doc.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(PLACES).cast("decimal(11,0)") + pos.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value evaluated once: inside a lambda it would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _half(line: Column, side: int, q: Column) -> Column:
     return F.xxhash64(F.lit(side), q, F.call_function("substring_index", line, F.lit(" "), q if side == 0 else -q))
 
@@ -127,8 +132,9 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
     spots = lines.join(close, ["h1", "h2"]).where(at == F.col("f"))
     spots = spots.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "h1", "h2", "f")).alias("spots"))
     same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["mark"] == b["mark"])
-    texts = keyed.join(spots, same(keyed, spots)).select(F.split("text", "\n", -1).alias("all"), F.explode("spots").alias("s"))
-    chosen = texts.select("s.h1", "s.h2", "s.f", F.split(F.btrim(F.get("all", F.col("s.pos")), F.lit(BLANKS)), " ", -1).alias("words"))
+    words = lambda x: F.split(F.btrim(x, F.lit(BLANKS)), " ", -1)
+    found = _let(F.split("text", "\n", -1), lambda all_: F.transform("spots", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"), s["f"].alias("f"), words(F.get(all_, s["pos"])).alias("words"))))
+    chosen = keyed.join(spots, same(keyed, spots)).select(F.inline(found))
     chosen = cut(chosen.dropDuplicates(["h1", "h2"]))
 
     early = _earlier_neighbours(chosen)
@@ -140,9 +146,8 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     marked = docs.select(*names, F.xxhash64(text_col).alias("_own_mark"))
     joined = marked.join(dropped, marked[id_col].eqNullSafe(dropped["_doc"]) & (marked["_own_mark"] == dropped["_mark"]), "left")
-    all_lines = F.split(text_col, "\n", -1)
-    places = F.sequence(F.lit(0), F.size(all_lines) - 1)
-    stay = F.array_join(F.transform(F.array_except(places, F.col("_gone")), lambda i: F.get(all_lines, i)), "\n")
+    places = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("_gone"))
+    stay = _let(F.split(text_col, "\n", -1), lambda all_: F.array_join(F.transform(places(all_), lambda i: F.get(all_, i)), "\n"))
     return joined.select(
         *(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(stay).alias(c) if c == text_col else F.col(c) for c in names),
         F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
