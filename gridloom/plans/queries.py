@@ -7,6 +7,7 @@ The grids: events (block_id = event_id), orders and part (by their keys), with
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from datetime import datetime
 from functools import cache
@@ -37,11 +38,15 @@ EV = """ev AS (
 DIMS = "dims AS (SELECT CAST(count(*) // 100 AS BIGINT) AS ni FROM events)"
 
 
+#: DuckDB reads 0.5 as a decimal number and 0.5e0 as a double.
+DECIMAL = re.compile(r"(?<![\w'.])(\d+\.\d+)(?![\w'.])")
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = DECIMAL.sub(r"\1e0", sql)
         return f
 
     return keep

@@ -20,20 +20,20 @@ PLY_TYPES = {"char": "b", "int8": "b", "uchar": "B", "uint8": "B", "short": "h",
 # PLY
 
 
-def _ply_header(lines: Iterator[str]) -> tuple[list, dict]:
-    if next(lines, "").strip() != "ply":
+def _ply_header(lines: list[str]) -> tuple[list, dict, str]:
+    """Elements (name, number, properties), the comments' values, and the format."""
+    if not lines or lines[0].strip() != "ply":
         raise ModelError("not a PLY file")
     elements: list[tuple[str, int, list]] = []
     meta: dict = {}
-    for line in lines:
+    kind = ""
+    for line in lines[1:]:
         words = line.split()
         if not words:
             continue
-        if words[0] == "end_header":
-            return elements, meta
-        if words[0] == "format" and words[1] != "ascii":
-            raise ModelError("only ASCII PLY files are read")
-        if words[0] == "comment" and "=" in line:
+        if words[0] == "format":
+            kind = words[1]
+        elif words[0] == "comment" and "=" in line:
             k, _, v = line.split(None, 1)[1].strip().partition("=")
             try:
                 meta[k] = json.loads(v)
@@ -43,34 +43,54 @@ def _ply_header(lines: Iterator[str]) -> tuple[list, dict]:
             elements.append((words[1], int(words[2]), []))
         elif words[0] == "property":
             elements[-1][2].append((words[-1], words[2:4] if words[1] == "list" else words[1]))
-    raise ModelError("the PLY header does not end")
+    return elements, meta, kind
+
+
+def _ply_numbers(body: bytes, kind: str):
+    """A function from a PLY type to the next number of the body."""
+    if kind == "ascii":
+        words = iter(body.split())
+        return lambda t: float(next(words)) if PLY_TYPES[t] in "fd" else int(next(words))
+    if kind not in ("binary_little_endian", "binary_big_endian"):
+        raise ModelError(f"no PLY format: {kind}")
+    order, at = "<" if "little" in kind else ">", [0]
+
+    def number(t: str):
+        form = order + PLY_TYPES[t]
+        value = struct.unpack_from(form, body, at[0])[0]
+        at[0] += struct.calcsize(form)
+        return value
+
+    return number
 
 
 def read_ply(path: str) -> tuple[dict[str, list], list[tuple[int, int, int]], dict[str, list], dict]:
-    """Vertex columns, triangles, face columns and the comments' values of an ASCII PLY file."""
-    with open(path, encoding="ascii") as f:
-        lines = iter(f)
-        elements, meta = _ply_header(lines)
-        vertices: dict[str, list] = {}
-        faces: list[tuple[int, int, int]] = []
-        attributes: dict[str, list] = {}
-        for name, n, properties in elements:
-            target = vertices if name == "vertex" else attributes if name == "face" else {}
-            for p, kind in properties:
-                if not isinstance(kind, list):
-                    target.setdefault(p, [])
-            for _ in range(n):
-                words = iter(next(lines).split())
-                for p, kind in properties:
-                    if isinstance(kind, list):
-                        item = [int(next(words)) for _ in range(int(next(words)))]
-                        if name == "face":
-                            if len(item) != 3:
-                                raise ModelError("only triangles are read")
-                            faces.append(tuple(item))
-                    else:
-                        w = next(words)
-                        target[p].append(float(w) if PLY_TYPES.get(kind, "f") in "fd" else int(w))
+    """Vertex columns, triangles, face columns and the comments' values of a PLY file."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    end = raw.find(b"end_header")
+    if end < 0 and raw[:3] == b"ply":
+        raise ModelError("the PLY header does not end")
+    elements, meta, kind = _ply_header(raw[: max(end, 0)].decode("ascii", "replace").splitlines())
+    number = _ply_numbers(raw[raw.index(b"\n", end) + 1 :], kind)
+    vertices: dict[str, list] = {}
+    faces: list[tuple[int, int, int]] = []
+    attributes: dict[str, list] = {}
+    for name, n, properties in elements:
+        target = vertices if name == "vertex" else attributes if name == "face" else {}
+        for p, t in properties:
+            if not isinstance(t, list):
+                target.setdefault(p, [])
+        for _ in range(n):
+            for p, t in properties:
+                if not isinstance(t, list):
+                    target[p].append(number(t))
+                    continue
+                item = [number(t[1]) for _ in range(int(number(t[0])))]
+                if name == "face":
+                    if len(item) != 3:
+                        raise ModelError("only triangles are read")
+                    faces.append(tuple(map(int, item)))
     return vertices, faces, attributes, meta
 
 
