@@ -23,7 +23,7 @@ from gridloom.llm.common import arrow_map, struct_of
 #: Elements whose contents are never text, elements that end a block, elements
 #: that stand for page furniture, and words in class, id or role that do.
 SILENT = "script style noscript template iframe svg canvas object select textarea title math audio video datalist".split()
-BLOCK = """address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
+BLOCK = """address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
 h5 h6 head header hgroup hr html label legend li link main menu meta nav ol option p pre search section summary table tbody td tfoot th thead tr ul""".split()
 FURNITURE = {"nav": "nav", "menu": "nav", "footer": "nav", "aside": "side", "header": "nav", "form": "form", "button": "form", "fieldset": "form", "label": "form", "dialog": "side", "search": "form", "option": "form", "legend": "form"}
 NAMED = {
@@ -34,6 +34,8 @@ NAMED = {
 }
 KIND_OF = {w: k for k, ws in NAMED.items() for w in ws}
 MAIN = {"article", "main"}
+MAIN_NAMES = set("content article articlebody post postbody entry story maincontent".split())
+HIDDEN = re.compile(r"""\shidden(?=[\s/>=])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(?=[a-zA-Z/!?])(?:"[^"]*"|'[^']*'|[^>"'])*(?:>|\Z)""", re.S)
@@ -53,18 +55,41 @@ class Block:
 
 
 @lru_cache(4096)
-def _place_of(name: str, tag: str) -> str | None:
-    """The kind of place that an element opens, or None."""
-    said = " ".join(m.strip("\"'") for m in NAMES_IN.findall(tag)).lower()
-    words = [w for w in re.split(r"[^a-z]+", said) if w]
+def _place_of(name: str, tag: str) -> tuple[str, bool] | None:
+    """The kind of place that an element opens and whether the element itself (not a name it bears) says so."""
     if name in ("html", "body"):
         return None
-    for w in words:
-        if w in KIND_OF and name not in MAIN:
-            return KIND_OF[w]
+    if HIDDEN.search(tag):
+        return "side", True
+    said = " ".join(m.strip("\"'") for m in NAMES_IN.findall(tag)).lower()
+    words = [w for w in re.split(r"[^a-z]+", said) if w]
+    found = [KIND_OF[w] for w in words if w in KIND_OF]
+    if "comment" in found:
+        return "comment", True
     if name in FURNITURE:
-        return FURNITURE[name]
-    return "main" if name in MAIN else None
+        return FURNITURE[name], True
+    if name in MAIN:
+        return "main", True
+    if found:
+        return found[0], False
+    return ("main", False) if MAIN_NAMES & set(words) else None
+
+
+def _place(stack: list[tuple[str, tuple[str, bool] | None]]) -> str:
+    """Where the innermost of the open elements is. An article inside a wrapper with an odd name is an
+    article; one inside a comment, a menu or an aside is not. An article's own header belongs to it."""
+    found, fixed = "plain", False
+    for name, held in stack:
+        if held is None:
+            continue
+        kind, own = held
+        if kind == "comment":
+            return kind
+        if kind == "main":
+            found = "main" if not fixed and (own or found == "plain") else found
+        elif not (name == "header" and found == "main"):
+            found, fixed = kind, fixed or own
+    return found
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -72,23 +97,14 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = [0]
-    stack: list[tuple[str, str | None]] = []
+    stack: list[tuple[str, tuple[str, bool] | None]] = []
     state = {"a": 0, "heading": False}
 
-    def place() -> str:
-        found = "plain"
-        for name, kind in stack:
-            if kind == "main":
-                found = "main"
-            elif kind and not (kind == "nav" and name == "header" and found == "main"):
-                return kind
-        return found
-
     def end() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
             n = len(text.split())
-            out.append(Block(text, n, min(1.0, linked[0] / n), place(), state["heading"]))
+            out.append(Block(text, n, min(1.0, linked[0] / n), _place(stack), state["heading"]))
         parts.clear()
         linked[0] = 0
 
@@ -119,8 +135,11 @@ def blocks_of(page: str | None) -> list[Block]:
         if name == "a":
             state["a"] = 0 if closing else 1
             continue
+        if name == "br":
+            parts.append(" ")
+            continue
         if name not in BLOCK:
-            if not closing and name not in VOID and (kind := _place_of(name, m[0])) and kind != "main":
+            if not closing and name not in VOID and (kind := _place_of(name, m[0])) and kind[0] != "main":
                 end()
                 stack.append((name, kind))
             elif closing and any(n == name for n, _ in stack):
@@ -131,13 +150,13 @@ def blocks_of(page: str | None) -> list[Block]:
         state["a"] = 0 if name in ("p", "li", "div", "body", "article", "nav") else state["a"]
         if name[0] == "h" and name[1:].isdigit():
             state["heading"] = not closing
-        elif name != "br":
+        else:
             state["heading"] = False
         if name in VOID or name == "p":
-            if name == "p" and (kind := not closing and _place_of(name, m[0])) and kind != "main":
-                stack.append((name, kind))
-            elif name == "p":
+            if name == "p":
                 _pop(stack, name)
+                if not closing and (kind := _place_of(name, m[0])) and kind[0] != "main":
+                    stack.append((name, kind))
             continue
         if closing:
             _pop(stack, name)

@@ -100,7 +100,26 @@ in it.<p>Second &lt;one&gt; unclosed &eacute;<br>after the break</p><ul><li>Item
 
 
 def test_main_text_of_a_page():
-    assert html.main_text(PAGE).split("\n") == ["Head & tail", "First paragraph with bold and a link in it.", "Second <one> unclosed é", "after the break", "Item one", "Item two", "Short."]
+    assert html.main_text(PAGE).split("\n") == ["Head & tail", "First paragraph with bold and a link in it.", "Second <one> unclosed é after the break", "Item one", "Item two", "Short."]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="page with-sidebar"><article><p>Short.</p></article></div>', "Short."),
+        ('<div class="post-content"><p>One.</p><p>Two words.</p></div><div class="sidebar">Some other words that stand here</div>', "One.\nTwo words."),
+        ('<section id="comments"><article class="comment"><p>I say so, and so on, and so on, and so on.</p></article></section>', ""),
+        ('<article><header><h1>Head</h1></header><p>Body text.</p><div class="ad">Buy this now, it is the best of all things.</div></article>', "Head\nBody text."),
+        ('<article><p>Seen.</p><p style="display:none">Not seen by anyone at all.</p></article>', "Seen."),
+        ('<article><p>a&nbsp;b &#228;&#x41; &copy c</p></article>', "a b äA © c"),
+        ("<main><p>x < y and 3<4 & z</p></main>", "x < y and 3<4 & z"),
+        ('<article><p>a<p>b<div>c<div>d</div>e</article><footer>f', "a\nb\nc\nd\ne"),
+        ('<article><p>One <a href="x">two</a> three four</p></article><ul class="menu"><li>Home</li></ul>', "One two three four"),
+        ("<article><p>before<script>if (a</p>b) {}</script> after</p><textarea>no</textarea></article>", "before after"),
+    ],
+)
+def test_main_text_of_fragments(page, want):
+    assert html.main_text(page) == want
 
 
 def test_tree_fits_its_table():
