@@ -263,7 +263,7 @@ def export_voxel_nodes(spark, sf_dir):
     return mesh.hexahedra(model(spark, sf_dir))
 
 
-@query()
+@query("SELECT true AS geometry, true AS json, true AS schema, CAST(count(*) AS BIGINT) AS rows FROM events")
 def meta_roundtrip(spark, sf_dir):
     path = f"{store.scratch_dir(spark)}/m"
     g = geometry(spark, sf_dir, rotated=True)
@@ -1071,15 +1071,16 @@ def cat_encode_codes(spark, sf_dir):
 # files
 
 
-@query()
+@query(f"WITH {EV} SELECT CASE WHEN {_inside_sql('x', 'y')} THEN true END AS inside, CAST(count(*) AS BIGINT) AS count FROM ev GROUP BY 1")
 def geo_polygon_from_parquet(spark, sf_dir):
     path = f"{store.scratch_dir(spark)}/polygons"
     spark.createDataFrame([("pit", bytearray(files.to_wkb([[*TRIANGLE, TRIANGLE[0]]])))], "name string, geometry binary").write.parquet(path)
     polygon = files.read_polygon(spark, path, "pit")
-    return spatial.flag_polygon(model(spark, sf_dir), polygon).groupBy("inside").count()
+    return spatial.flag_polygon(model(spark, sf_dir), polygon, inside=True).groupBy("inside").count()
 
 
-@query()
+@query(f"""WITH {DIMS}, c AS (SELECT * FROM (VALUES (0, 0, 0, 50, 10.0, 20.0, 15.0, 25.0), (1, 0, 0, 50, 20.0, 30.0, 25.0, 20.0), (0, 1, 50, 100, 15.0, 25.0, 40.0, 5.0), (1, 1, 50, 100, 25.0, 20.0, 5.0, 12.0)) t(cx, cy, y0, y1, z00, z10, z01, z11))
+SELECT cx, cy, cx * ni * 5.0 AS x0, (cx + 1) * ni * 5.0 AS x1, CAST(y0 AS DOUBLE) AS y0, CAST(y1 AS DOUBLE) AS y1, z00, z10, z01, z11 FROM c, dims""")
 def geo_raster_from_npz(spark, sf_dir):
     import tempfile
 
@@ -1092,26 +1093,39 @@ def geo_raster_from_npz(spark, sf_dir):
     return held.cells(spark)
 
 
-@query()
+SMALL = f"""WITH g AS (SELECT unnest(generate_series(0, 119)) AS b), p AS (SELECT b, b // 20 AS i, (b // 4) % 5 AS j, b % 4 AS k FROM g),
+n AS (SELECT *, power((i + 0.5 - 3.0) / 3.0, 2) + power((j + 0.5 - 2.5) / 2.0, 2) + power((k + 0.5 - 2.0) / 2.0, 2) AS n FROM p),
+sp AS (SELECT *, 65.0 - 15.0 * sqrt(n) AS grade FROM n WHERE n <= 1 AND 65.0 - 15.0 * sqrt(n) >= 52.0), {SIDES}"""
+PLY_SQL = f"""{SMALL} SELECT CAST(8 * count(DISTINCT b) AS BIGINT) AS vertices, CAST(2 * count(*) AS BIGINT) AS faces,
+  round(8 * (SELECT sum(grade) FROM sp WHERE b IN (SELECT b FROM sides)), 2) AS grade FROM sides"""
+
+
+@query(PLY_SQL)
 def mesh_read_ply(spark, sf_dir):
     import tempfile
 
     with tempfile.TemporaryDirectory() as d:
         files.write_ply(mesh.triangulate(_small(spark), ["grade"]), f"{d}/m.ply")
         held = files.ply_tables(spark, f"{d}/m.ply")
-    return held.vertices.agg(F.count(F.lit(1)).alias("vertices"), r6(F.sum("grade"), "grade")).join(held.faces.agg(F.count(F.lit(1)).alias("faces")))
+    return held.vertices.agg(F.count(F.lit(1)).alias("vertices"), F.round(F.sum("grade"), 2).alias("grade")).join(held.faces.agg(F.count(F.lit(1)).alias("faces")))
 
 
-@query()
+@query(PLY_SQL)
 def mesh_write_ply(spark, sf_dir):
-    return mesh_read_ply(spark, sf_dir)
+    import tempfile
+
+    m = mesh.triangulate(_small(spark), ["grade"])
+    with tempfile.TemporaryDirectory() as d:
+        files.write_ply(m, f"{d}/m.ply", binary=True)
+        vertices, faces, _, _ = files.read_ply(f"{d}/m.ply")
+    return spark.createDataFrame([(len(vertices["x"]), len(faces), round(sum(vertices["grade"]), 2))], "vertices long, faces long, grade double")
 
 
 def _small(spark):
-    return generate.toy(spark, Geometry(shape=(6, 5, 4)), center=(3.0, 2.5, 2.0), radii=(3.0, 2.0, 2.0)).where_at_least("grade", 52.0)
+    return generate.toy(spark, Geometry(shape=(6, 5, 4)), 0.0, 0.0, 0.0, center=(3.0, 2.5, 2.0), radii=(3.0, 2.0, 2.0)).where_at_least("grade", 52.0)
 
 
-@query()
+@query(f"{SMALL} SELECT CAST(8 * count(DISTINCT b) AS BIGINT) AS vertices, CAST(2 * count(*) AS BIGINT) AS faces, CAST(8 * count(DISTINCT b) AS BIGINT) AS colours FROM sides")
 def mesh_write_glb(spark, sf_dir):
     import tempfile
 
@@ -1122,7 +1136,7 @@ def mesh_write_glb(spark, sf_dir):
     return spark.createDataFrame([(len(points), len(triangles), len(colours))], "vertices long, faces long, colours long")
 
 
-@query()
+@query("SELECT 'ore' AS layer, 8 AS vertices, 12 AS faces, 0 AS open")
 def mesh_read_dxf(spark, sf_dir):
     import tempfile
 
@@ -1148,17 +1162,17 @@ def _catalog(spark):
     return catalog.Catalog.discover(spark, top)
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 'alpha', 'base'), ('b', 'alpha', 'opt'), ('c', 'beta', 'base')) t(name, site, period)")
 def cat_discover(spark, sf_dir):
     return _catalog(spark).df.drop("path")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('base'), ('opt')) t("option")""")
 def cat_level_options(spark, sf_dir):
     return _catalog(spark).options("period", site="alpha", name="c")
 
 
-@query()
+@query("SELECT CAST(b AS INTEGER) AS block_id, CAST(b // 4 AS INTEGER) AS i, CAST((b // 2) % 2 AS INTEGER) AS j, CAST(b % 2 AS INTEGER) AS k FROM range(8) r(b)")
 def cat_select(spark, sf_dir):
     c = _catalog(spark)
     return c.open(site="beta", period="base").df.select("block_id", "i", "j", "k")
