@@ -15,6 +15,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,6 @@ month months year years mph kmh hz khz mhz ghz w kw mw v kv a kwh j kj cal kcal
 NAMES = """Alice Bob Carol David Emma Frank Grace Henry Jack James Jane John Kate Lisa Lucy Maria Mary Mike Nancy Olivia Paul Peter Rachel Sam Sarah Tom Anna
 Ben Tim Amy""".split()
 
-NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 NUMBER_UNIT = re.compile(r"([$€£]?)([+-]?\d+(?:[.,:/]\d+)*)([^\W\d]{0,4}|%|°[cCfF])")
 WORD, NUM, NAME, UNIT = 0, 1, 2, 3
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w%$€£]+$")
@@ -50,9 +50,16 @@ class Params:
 
 def classify(token: str) -> tuple[str, int, str]:
     """(canonical word, kind, value) of a token inside a sentence."""
-    core = EDGE.sub("", token)
+    if token.isalpha():
+        core = token
+    elif token[:-1].isalpha() and token[-1] in ".,;:!?":
+        core = token[:-1]
+    else:
+        core = EDGE.sub("", token)
     if not core:
         return "", WORD, ""
+    if core.islower() and core.isalpha():
+        return ("<unit>", UNIT, core) if core in _UNITS else (core, WORD, "")
     m = NUMBER_UNIT.fullmatch(core)
     if m:
         return "<num>", NUM, f"{m[1]}{m[2]}{m[3].lower()}"
@@ -68,33 +75,24 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Canon:
-    """Hashes of canonical words, with a bounded cache of tokens."""
+    """Canonical words of tokens, numbered as they come; at most ``most`` tokens are remembered."""
 
-    def __init__(self, most: int = 300_000):
-        self.cache: dict[str, tuple[int, int, int, int, bool]] = {}
+    def __init__(self, most: int = 600_000):
+        self.codes: dict[str, int] = {}
         self.most = most
+        # by code: hash and kind inside a sentence, hash and kind at its start, whether the token ends a sentence
+        self.mid, self.start = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+        self.kind, self.first = np.zeros(most, np.int8), np.zeros(most, np.int8)
+        self.ends = np.zeros(most, bool)
 
-    def look(self, token: str) -> tuple[int, int, int, int, bool]:
-        """(hash inside a sentence, kind there, hash at its start, kind there, ends a sentence)"""
-        import xxhash
-
-        word, kind, _ = classify(token)
-        if not word:
-            found = (0, -1, 0, -1, token[-1:] in ".!?:")
-        else:
-            own = EDGE.sub("", token)
-            plain = own.lower() if kind == NAME and own not in _NAMES else word
-            first = WORD if plain != word else kind
-            at = lambda w, k: xxhash.xxh3_64_intdigest(w if k == WORD else f"<{k}>") | 1
-            found = (at(word, kind), kind, at(plain, first), first, token.rstrip("\"')]»”")[-1:] in ".!?:")
-        if len(self.cache) >= self.most:
-            self.cache.clear()
-        self.cache[token] = found
-        return found
+    def add(self, token: str) -> int:
+        code = len(self.codes)
+        self.mid[code], self.kind[code], self.start[code], self.first[code], self.ends[code] = looked_up(token)
+        self.codes[token] = code
+        return code
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Hashes, kinds and tokens of a text's canonical words."""
-        get, look = self.cache.get, self.look
+        """Hashes, kinds (-1 where a token holds no word) and tokens of a text's words."""
         tokens, opens = [], []
         for line in (text or "").split("\n"):
             found = line.split()
@@ -103,13 +101,18 @@ class Canon:
                 tokens += found
         if not tokens:
             return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
-        seen = [get(t) or look(t) for t in tokens]
-        mid, kind, start, kind0, ends = zip(*seen)
-        first = np.empty(len(tokens), bool)
-        first[1:] = ends[:-1]
-        first[opens] = True
-        h = np.where(first, np.array(start, np.uint64), np.array(mid, np.uint64))
-        k = np.where(first, np.array(kind0, np.int8), np.array(kind, np.int8))
+        if len(self.codes) + len(tokens) > self.most:
+            self.codes.clear()
+        if len(tokens) > self.most:  # one text with more tokens than are remembered
+            held = Canon(len(tokens))
+            return held.of(text)
+        get, add = self.codes.get, self.add
+        codes = np.array([c if (c := get(t)) is not None else add(t) for t in tokens], np.int64)
+        opening = np.empty(len(tokens), bool)
+        opening[1:] = self.ends[codes[:-1]]
+        opening[opens] = True
+        h = np.where(opening, self.start[codes], self.mid[codes])
+        k = np.where(opening, self.first[codes], self.kind[codes])
         some = k >= 0
         if not some.all():
             at = np.flatnonzero(some)
@@ -117,6 +120,22 @@ class Canon:
         return h, k, tokens
 
 
+def looked_up(token: str) -> tuple[int, int, int, int, bool]:
+    """(hash inside a sentence, kind there, hash at its start, kind there, ends a sentence). A capitalised
+    word at a sentence's start is a plain word, unless it is a known name."""
+    word, kind, _ = classify(token)
+    ends = token[-1] in ".!?:" or token.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":")
+    if not word:
+        return 0, -1, 0, -1, ends
+    inside = xxhash.xxh3_64_intdigest(word) | 1
+    if kind != NAME:
+        return inside, kind, inside, kind, ends
+    own = EDGE.sub("", token)
+    if own in _NAMES:
+        return inside, kind, inside, kind, ends
+    return inside, kind, xxhash.xxh3_64_intdigest(own.lower()) | 1, WORD, ends
+
+
 def windows(h: np.ndarray, k: np.ndarray, size: int, least_plain: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows, and which of them have enough plain words."""
     n = len(h) - size + 1
@@ -155,7 +174,7 @@ def _windows_of(table: DataFrame, sizes: tuple[int, ...], p: Params, only: bytes
                 mine = sizes if only is not None else (p.window,) if len(h) >= p.window else (len(h),) if len(h) >= p.least_words else ()
                 views = [(size, h, k) for size in mine]
                 if only is None and mine:  # a document may quote the item inside a sentence
-                    inside = canon.look(tokens[0])
+                    inside = looked_up(tokens[0])
                     if inside[0] != h[0]:
                         views.append((mine[0], *(np.concatenate([np.array([x], y.dtype), y[1 : mine[0]]]) for x, y in ((inside[0], h), (inside[1], k)))))
                 total = 0
