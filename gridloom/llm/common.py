@@ -38,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it again: lineage ends here, executors may go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -124,18 +124,18 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
     keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     lines = cut(_lines(keyed.where("text IS NOT NULL"), p))
     at = _place(F.col("doc"), F.col("pos"))
-    firsts = cut(lines.groupBy("h1", "h2").agg(F.min(at).alias("f"), F.count(F.lit(1)).alias("c"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(at).alias("f"), F.min_by("doc", at).alias("doc"), F.min_by("pos", at).alias("pos"), F.count(F.lit(1)).alias("c"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
+    firsts = cut(firsts)
 
-    halves = firsts.select("h1", "h2", "f", F.explode(F.array(*(f"k{i}" for i in range(4)))).alias("k")).where("k IS NOT NULL")
+    halves = firsts.select("h1", "f", "doc", "pos", F.explode(F.array(*(f"k{i}" for i in range(4)))).alias("k")).where("k IS NOT NULL")
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    close = halves.join(shared, "k", "left_semi").select("h1", "h2", "f").distinct()
-    spots = lines.join(close, ["h1", "h2"]).where(at == F.col("f"))
-    spots = spots.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "h1", "h2", "f")).alias("spots"))
-    same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["mark"] == b["mark"])
-    words = lambda x: F.split(F.btrim(x, F.lit(BLANKS)), " ", -1)
-    found = _let(F.split("text", "\n", -1), lambda all_: F.transform("spots", lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"), s["f"].alias("f"), words(F.get(all_, s["pos"])).alias("words"))))
-    chosen = keyed.join(spots, same(keyed, spots)).select(F.inline(found))
-    chosen = cut(chosen.dropDuplicates(["h1", "h2"]))
+    close = halves.join(shared, "k", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("pos", "h1", "f")).alias("spots"))
+    line = lambda x: F.btrim(x, F.lit(BLANKS))
+    spot = lambda all_: lambda s: F.struct(F.xxhash64(line(F.get(all_, s["pos"]))).alias("own"), s["h1"].alias("h1"), F.hash(line(F.get(all_, s["pos"]))).alias("h2"), s["f"].alias("f"), F.split(line(F.get(all_, s["pos"])), " ", -1).alias("words"))
+    texts = keyed.join(close.withColumnRenamed("doc", "_doc"), keyed["doc"].eqNullSafe(F.col("_doc")))
+    chosen = texts.select(F.inline(_let(F.split("text", "\n", -1), lambda all_: F.transform("spots", spot(all_)))))
+    # of rows that share an id, those with another line at the place fall here
+    chosen = cut(chosen.where("own = h1").select("h1", "h2", "f", "words").dropDuplicates(["h1", "h2"]))
 
     early = _earlier_neighbours(chosen)
     limits = firsts.select("h1", "h2", "f", "c").join(early, ["h1", "h2"], "left").where("c > 1 OR e IS NOT NULL")
