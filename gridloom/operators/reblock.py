@@ -176,6 +176,7 @@ def upsample(model: BlockModel, block_size: tuple[float, float, float], config:
     coarse = model.df.select(F.col("block_id").alias("_coarse"), *config)
     kinds = dict(model.df.dtypes)
     parts: list[DataFrame] = []
+    modes: list[DataFrame] = []
     by = lambda m: [c for c, v in config.items() if v == m]
     if names := by("parent"):
         at = [F.call_function("div", F.col(c), F.lit(n)) for c, n in zip("ijk", f)]
@@ -192,13 +193,17 @@ def upsample(model: BlockModel, block_size: tuple[float, float, float], config:
         around = around.select("block_id", old.block_id("a", "b", "c").alias("_coarse")).join(coarse.select("_coarse", name), "_coarse").where(present_any(name, kinds[name]))
         counted = around.groupBy("block_id", name).agg(F.count(F.lit(1)).alias("_n"))
         most = counted.groupBy("block_id").agg(F.max("_n").alias("_n"))
-        parts.append(counted.join(most, ["block_id", "_n"]).groupBy("block_id").agg(F.min(name).alias(name)))
+        modes.append(counted.join(most, ["block_id", "_n"]).groupBy("block_id").agg(F.min(name).alias(name)))
+        parts.append(modes[-1])
     if names := by("linear"):
         for name in names:
             if kinds[name] not in (*INTEGERS, "double", "float"):
                 raise ModelError(f"{name} is no number")
         parts.append(_trilinear(grid, coarse, names, old, f, kinds))
-    out = reduce(lambda a, b: a.join(b, "block_id", "left"), parts, grid.select("block_id"))
+    # all methods but mode have a row for every fine block
+    whole = [x for x in parts if all(x is not m for m in modes)]
+    first = whole[0] if whole else grid.select("block_id")
+    out = reduce(lambda a, b: a.join(b, "block_id", "left"), [x for x in parts if x is not first], first)
     out = coerce_positions(fine.with_positions(out))
     return BlockModel(out.select(*ordered([*"ijkxyz", "block_id"]), *config), fine, None, model.engine, f"{model.name}.reblocked")
 
@@ -221,7 +226,7 @@ def _trilinear(grid: DataFrame, coarse: DataFrame, names: list[str], old: Geomet
     corners = 1
     for n in old.shape:
         corners *= 2 if n > 1 else 1
-    met = around.join(coarse.select("_coarse", *names), "_coarse")
+    met = around.join(coarse.select("_coarse", *names), "_coarse", "left")
     out = []
     for name in names:
         v = missing(F.col(name).cast("double"))
