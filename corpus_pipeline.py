@@ -23,14 +23,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model is sure of; lang, the label, stays as it is."""
     held = F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False))
     model = langid.fit(docs.where(~held))
-    said = langid.predict(docs, model, keep=tuple(docs.columns))
-    return said.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    said = langid.predict(docs, model, keep=tuple(docs.columns), names=("_stage_lang", "_stage_score"))
+    return said.where((F.col("_stage_lang") != langid.UNDETERMINED) & (F.col("_stage_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without repeated lines; documents of which nothing is left go."""
-    found = linededup.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    return found.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n = "_stage_dropped"
+    found = linededup.dedup_lines(docs, counts=("_stage_lines", n)).where((F.col(n) == 0) | (F.trim("text") != ""))
+    return found.withColumn("n_chars", F.when(F.col(n) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,12 +51,14 @@ def crc32_of(value: object) -> int:
     return zlib.crc32(str(value).encode())
 
 
-def arrow_map(df: DataFrame, schema: T.StructType, rows: Callable[[], Callable[[list[list]], list[list]]]) -> DataFrame:
+def arrow_map(df: DataFrame, schema: T.StructType, rows: Callable[[], Callable[[list[list]], list[list]]], passed: int = 0) -> DataFrame:
     """mapInArrow over column lists.
 
     ``rows()`` is called once for each task and returns a function from the
-    input columns (lists) to the output columns (lists). Batches are cut to
-    BATCH_ROWS, whatever the session's setting is.
+    input columns (lists) to the output columns (lists). The first ``passed``
+    columns are not turned into lists: they come out first, as they are (and
+    the function keeps the number of rows). Batches are cut to BATCH_ROWS,
+    whatever the session's setting is.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -67,8 +69,10 @@ def arrow_map(df: DataFrame, schema: T.StructType, rows: Callable[[], Callable[[
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                out = step([c.to_pylist() for c in batch.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+                kept = [c if c.type == f.type else c.cast(f.type) for c, f in zip(batch.columns[:passed], arrow)]
+                made = step([c.to_pylist() for c in batch.columns[passed:]])
+                kept += [pa.array(c, arrow.field(passed + n).type) for n, c in enumerate(made)]
+                yield pa.RecordBatch.from_arrays(kept, schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -305,9 +305,9 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
 
     def rows():
         def step(cols):
-            texts = [main_text(h) for h in cols[-1]]
-            return [*cols[:-1], texts, [len(t) for t in texts]]
+            texts = [main_text(h) for h in cols[0]]
+            return [texts, [len(t) for t in texts]]
 
         return step
 
-    return arrow_map(pages.select(*keep, F.col(html_col).alias("_html")), schema, rows)
+    return arrow_map(pages.select(*keep, F.col(html_col).alias("_html")), schema, rows, len(keep))

@@ -152,23 +152,23 @@ class Scorer:
         return self.model.langs[best], float(p[best] / p.sum())
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every row's ``keep`` columns, lang_pred and score.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Every row's ``keep`` columns, lang_pred and score (or other ``names``).
 
     Null, empty or letterless texts: ``und`` with score 0. Long texts are read
     whole. Repeated rows are answered alike, ties go to the first language by
     name, an empty table gives an empty table; other columns are not read.
     """
     box = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Params
-    schema = T.StructType([*struct_of(docs, *keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*struct_of(docs, *keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def rows():
         scorer = Scorer(box.value)
 
         def step(cols):
-            said = [scorer.predict(t) for t in cols[-1]]
-            return [*cols[:-1], [x for x, _ in said], [s for _, s in said]]
+            said = [scorer.predict(t) for t in cols[0]]
+            return [[x for x, _ in said], [s for _, s in said]]
 
         return step
 
-    return arrow_map(docs.select(*keep, F.col(text_col).alias("_text")), schema, rows)
+    return arrow_map(docs.select(*keep, F.col(text_col).alias("_text")), schema, rows, len(keep))

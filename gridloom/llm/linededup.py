@@ -112,14 +112,14 @@ def _earlier_neighbours(lines: DataFrame) -> DataFrame:
     return checked.groupBy("h1", "h2").agg(F.min("e").alias("e"))
 
 
-def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its text column cut down to the lines that stay, and ``n_lines`` and ``n_dropped`` (longs).
+def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with its text column cut down to the lines that stay, and the ``counts`` of its lines and of those dropped (longs).
 
     Null texts stay null (0 lines); an empty text is one blank line. A null id
     counts as the smallest. Rows that share an id share its places: of lines
     at one place neither is earlier. Long texts are read whole. Other columns
-    pass through, except n_lines and n_dropped, which are replaced; an empty
-    table gives an empty table.
+    pass through, except those named like the counts, which are replaced; an
+    empty table gives an empty table.
     """
     keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     lines = cut(_lines(keyed.where("text IS NOT NULL"), p))
@@ -141,15 +141,15 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
     limits = firsts.select("h1", "h2", "f", "c").join(early, ["h1", "h2"], "left").where("c > 1 OR e IS NOT NULL")
     limits = limits.select("h1", "h2", F.least("f", "e").alias("first"))
     dropped = lines.select("doc", "mark", "pos", "h1", "h2").join(limits, ["h1", "h2"]).where(at > F.col("first"))
-    dropped = dropped.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_set("pos").alias("_gone"))
+    dropped = dropped.groupBy(F.col("doc").alias("_dedup_doc"), F.col("mark").alias("_dedup_gone_mark")).agg(F.collect_set("pos").alias("_dedup_gone"))
 
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    marked = docs.select(*names, F.xxhash64(text_col).alias("_own_mark"))
-    joined = marked.join(dropped, marked[id_col].eqNullSafe(dropped["_doc"]) & (marked["_own_mark"] == dropped["_mark"]), "left")
-    places = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("_gone"))
+    names = [c for c in docs.columns if c not in counts]
+    marked = docs.select(*names, F.xxhash64(text_col).alias("_dedup_mark"))
+    joined = marked.join(dropped, marked[id_col].eqNullSafe(dropped["_dedup_doc"]) & (marked["_dedup_mark"] == dropped["_dedup_gone_mark"]), "left")
+    places = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("_dedup_gone"))
     stay = _let(F.split(text_col, "\n", -1), lambda all_: F.array_join(F.transform(places(all_), lambda i: F.get(all_, i)), "\n"))
     return joined.select(
-        *(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(stay).alias(c) if c == text_col else F.col(c) for c in names),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
+        *(F.when(F.col("_dedup_gone").isNull(), F.col(c)).otherwise(stay).alias(c) if c == text_col else F.col(c) for c in names),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(counts[0]),
+        F.when(F.col("_dedup_gone").isNull(), 0).otherwise(F.size("_dedup_gone")).cast("long").alias(counts[1]),
     )

@@ -49,7 +49,7 @@ class Params:
     rows: int = 4
     margin: float = 6.0
     salts: int = 16
-    last_rounds: int = 30
+    last_rounds: int = 60
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     return rows.mapInArrow(run, schema).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): each node's smallest reachable node.
 
     Large-star and small-star steps, in turn, until nothing changes; every step
@@ -257,6 +257,8 @@ def components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components do not settle in {most_rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 

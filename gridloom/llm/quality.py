@@ -157,11 +157,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
         sizer = Sizer(m.text, m.shape, m.level)
 
         def step(cols):
-            if not cols[-1]:
-                return [*cols[:-1], [], []]
-            p = _probability(m, np.array([sizer.features(t) for t in cols[-1]]))
-            return [*cols[:-1], [float(v) for v in p], [int(v >= 0.5) for v in p]]
+            p = _probability(m, np.array([sizer.features(t) for t in cols[0]]))
+            return [[float(v) for v in p], [int(v >= 0.5) for v in p]]
 
         return step
 
-    return arrow_map(docs.select(*keep, F.col(text_col).alias("_text")), schema, rows)
+    return arrow_map(docs.select(*keep, F.col(text_col).alias("_text")), schema, rows, len(keep))

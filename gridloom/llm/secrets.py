@@ -202,12 +202,12 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text_c
         scanner = Scanner(rules)
 
         def step(cols):
-            found = scanner.scan([t or "" for t in cols[-1]])
-            return [*cols[:-1], [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(x)] for x in found]]
+            found = scanner.scan([t or "" for t in cols[0]])
+            return [[[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(x)] for x in found]]
 
         return step
 
-    return arrow_map(docs.select(*keep, F.col(text_col).alias("_text")), schema, rows)
+    return arrow_map(docs.select(*keep, F.col(text_col).alias("_text")), schema, rows, len(keep))
 
 
 def with_digests(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:

@@ -363,9 +363,14 @@ def test_pipeline_of_odd_documents(spark, sf, tmp_path):
     import corpus_pipeline as c
 
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the cat and the dog", "en", "s", 19), (3, "the cat and the dog", "en", "s", 19), (None, "the dog and the cat", "en", "s", 19)]
+    from pyspark.sql import functions as F
+
+    extra = {"score": F.lit(1), "lang_pred": F.array(F.lit("x")), "n_lines": F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit(1.5))), "piece": F.current_timestamp(), "mark": F.struct(F.lit(1).alias("doc")), "kept": F.lit(None).cast("decimal(9,2)"), "_gone": F.lit(True), "item_id": F.lit(b"z")}
     for k, some in enumerate((rows, [])):
-        docs = spark.createDataFrame(some, spark.read.parquet(f"{sf}/documents.parquet").schema)
+        docs = spark.createDataFrame(some, spark.read.parquet(f"{sf}/documents.parquet").schema).withColumns(extra)
         for i, (_, stage) in enumerate(c.STAGES):
-            stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}-{i}")
+            out = stage(spark, docs, sf)
+            assert i == 4 or out.dtypes == docs.dtypes
+            out.write.parquet(f"{tmp_path}/{k}-{i}")
             docs = spark.read.parquet(f"{tmp_path}/{k}-{i}")
         assert docs.count() == (3 if some else 0)
