@@ -228,3 +228,15 @@ def test_stream_ingest(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == 8 and out.columns[:7] == ["block_id", "i", "j", "k", "x", "y", "z"]
+
+
+def test_stream_windows(spark, tmp_path):
+    from gridloom.streaming import ingest
+
+    g = Geometry(shape=(1, 1, 4), block_size=(2, 2, 2))
+    rows = spark.createDataFrame([(0, "2024-01-01 00:10:00"), (1, "2024-01-01 00:20:00"), (2, "2024-01-01 03:00:00")], "block_id int, at string").select("block_id", F.to_timestamp("at").alias("at"))
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = ingest.windowed_volume(stream, g, "at").writeStream.format("memory").queryName("volumes").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r["blocks"], r["volume"]) for r in spark.table("volumes").collect()) == [(1, 8.0), (2, 16.0)]
