@@ -42,6 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, share: int = 1000) -> DataFrame:
+    """rows joined with a table that has one row for each key and counts its rows. Keys that hold more
+    than one of ``share`` rows, so fewer than ``share`` keys, are broadcast; the others are shuffled, and
+    none of them is hot."""
+    heavy = F.broadcast(table.where(F.col(count) * share > total))
+    light = table.where(F.col(count) * share <= total)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(rest.join(light, keys))
+
+
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the column's text, modulo modulus; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

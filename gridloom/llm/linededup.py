@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, join_counted
 
 BLANKS = " \t\r"
 PLACES = 1 << 31
@@ -139,8 +139,9 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
 
     early = _earlier_neighbours(chosen)
     limits = firsts.select("h1", "h2", "f", "c").join(early, ["h1", "h2"], "left").where("c > 1 OR e IS NOT NULL")
-    limits = limits.select("h1", "h2", F.least("f", "e").alias("first"))
-    dropped = lines.select("doc", "mark", "pos", "h1", "h2").join(limits, ["h1", "h2"]).where(at > F.col("first"))
+    limits = cut(limits.select("h1", "h2", "c", F.least("f", "e").alias("first")))
+    places = lines.select("doc", "mark", "pos", "h1", "h2")
+    dropped = join_counted(places, limits, ["h1", "h2"], "c", lines.count()).where(at > F.col("first"))
     dropped = dropped.groupBy(F.col("doc").alias("_dedup_doc"), F.col("mark").alias("_dedup_gone_mark")).agg(F.collect_set("pos").alias("_dedup_gone"))
 
     names = [c for c in docs.columns if c not in counts]
