@@ -3,7 +3,8 @@
 Vectors become sparse integer rows. A task holds one group of candidates as
 postings (term -> rows and weights) in segments, and takes the query rows in
 blocks: each term of a block scatters its weighted postings into dense score
-arrays, the best k of a segment are selected by partition, and lists are merged.
+arrays (terms that most rows of a segment have are accumulated together), the
+best k of a segment are selected by partition, and lists are merged.
 """
 
 from __future__ import annotations
@@ -50,34 +51,47 @@ class Rows:
         self.most = float(np.abs(self.weight).max(initial=0))
         by = np.argsort(self.term, kind="stable")
         self.row, self.term, self.weight = self.row[by], self.term[by], self.weight[by]
+        self.held: tuple | None = None
         terms, starts = np.unique(self.term, return_index=True)
         self.postings = {int(t): (self.row[a:b], self.weight[a:b]) for t, a, b in zip(terms, starts, [*starts[1:], len(self.term)])}
 
     def __len__(self) -> int:
         return len(self.ids)
 
+    def common_terms(self) -> list[int]:
+        """The terms that at least a quarter of the rows have."""
+        return [t for t, (rows, _) in self.postings.items() if 4 * len(rows) >= len(self)]
+
+    def weights(self, terms: list[int], kind: type) -> np.ndarray:
+        """[row, term]; kept for the next call."""
+        key = (tuple(terms), kind)
+        if self.held is None or self.held[0] != key:
+            out = np.zeros((len(self), len(terms)), kind)
+            for n, t in enumerate(terms):
+                if t in self.postings:
+                    rows, w = self.postings[t]
+                    out[rows, n] = w
+            self.held = (key, out)
+        return self.held[1]
+
 
 def scores(queries: Rows, docs: Rows) -> np.ndarray:
     """Integer inner products, all pairs: [query, candidate]. Exact in the smallest type that holds them;
     beyond 2**53 with Python integers, saturated to the range of a long."""
     bound = queries.most * docs.most * max(1, min(len(queries.postings), len(docs.postings)))
     kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
-    out = np.zeros((len(queries), len(docs)), kind)
+    common = [] if kind is object else docs.common_terms()
+    out = queries.weights(common, kind) @ docs.weights(common, kind).T if common else np.zeros((len(queries), len(docs)), kind)
+    together = set(common)
     for term, (q, wq) in queries.postings.items():
-        if term not in docs.postings:
+        if term in together or term not in docs.postings:
             continue
         d, wd = docs.postings[term]
         if kind is object:
             wq, wd = np.array([int(x) for x in wq], object), np.array([int(x) for x in wd], object)
         else:
             wq, wd = wq.astype(kind), wd.astype(kind)
-        add = wq[:, None] * wd[None, :]
-        if len(d) == len(docs) and len(q) == len(queries):
-            out += add
-        elif len(d) == len(docs):
-            out[q] += add
-        else:
-            out[np.ix_(q, d)] += add
+        out[np.ix_(q, d)] += wq[:, None] * wd[None, :]
     if kind is object:
         return np.array([[max(-(2**63), min(2**63 - 1, x)) for x in r] for r in out], object).reshape(out.shape)
     return out
