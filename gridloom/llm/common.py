@@ -46,10 +46,11 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     """rows joined with a table that has one row for each key and counts its rows. Keys that hold more
     than one of ``share`` rows, so fewer than ``share`` keys, are broadcast; the others are shuffled, and
     none of them is hot."""
-    heavy = F.broadcast(table.where(F.col(count) * share > total))
-    light = table.where(F.col(count) * share <= total)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
-    return rows.join(heavy, keys).unionByName(rest.join(light, keys))
+    heavy = table.where(F.col(count) * share > total).select(F.xxhash64(*keys)).collect()
+    if not heavy:
+        return rows.join(table, keys)
+    hot = F.xxhash64(*keys).isin([r[0] for r in heavy])
+    return rows.where(hot).join(F.broadcast(table.where(hot)), keys).unionByName(rows.where(~hot).join(table.where(~hot), keys))
 
 
 def crc_remainder(column: str, modulus: int) -> Column:

@@ -9,13 +9,13 @@ cannot reach the threshold, and the rest are verified on the full sets.
 
 No group is expanded into all its pairs: equal sets are one class from the
 start; first each class meets one centre of each of its bands, and its best
-candidate is verified, then its others as far as they lie in other components.
-From then on a pair matters only if it would join two components. Band by band
-the class with the fewest elements of its own, which has the most links in a
-group of edited copies, meets the classes of other components. At last the
-sets' rarest elements decide what else can link: two sets at the threshold
-share one of these, and few enough of the rarer elements stand before it. This
-is exact, and leaves little to verify where most copies differ from all others.
+candidate is verified. From then on a pair matters only if it would join two
+components: the classes' other candidates, and band by band the class with the
+fewest elements of its own, which has the most links in a group of edited
+copies, with the classes of other components. At last the sets' rarest
+elements decide what else can link: two sets at the threshold share one of
+these, and few enough of the rarer elements stand before it. This is exact,
+and leaves little to verify where most copies differ from all others.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import arrow_map, cut, struct_of
+from gridloom.llm.common import arrow_map, cut, join_counted
 
 MANTISSA = 10
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -234,17 +234,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): each node's smallest reachable node.
 
-    Large-star and small-star steps, in turn, until nothing changes; every step
-    is an aggregation and a join, and is written to the shared folder.
+    Large-star and small-star steps, in turn, until every node but the smallest has one edge, to the
+    smallest; every step is an aggregation and a join, and is written to the shared folder.
     """
 
-    def state(df):
-        return df.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
+    def unsettled(e: DataFrame) -> int:
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").count()
 
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = state(e)
     for _ in range(most_rounds):
-        if not before[0]:
+        if not unsettled(e):
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -253,10 +253,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = cut(small)
-        after = state(e)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"components do not settle in {most_rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
@@ -271,16 +267,18 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     columns are not read; an empty table gives an empty table.
     """
     marked = cut(sketch(docs, p, id_col, text_col))
-    real = marked.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = real.groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    member = real.select("id", "digest", "n").join(classes, ["digest", "n"]).select("id", "rep")
-    kept = cut(real.join(classes, ["digest", "n"]).where("id = rep").select("rep", "n", "regs", "digest").groupBy("rep", "n", "digest").agg(F.first("regs").alias("regs")))
+    rows = marked.count()
+    has_set = F.col("id").isNotNull() & (F.col("n") > 0)
+    real = marked.where(has_set)
+    # a class: the documents with one set, under the smallest id
+    kept = cut(real.groupBy("digest", "n").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"), F.count(F.lit(1)).alias("c")))
 
     # round 1: each class and one centre of each of its bands, the centre chosen by the band's own order
     bands = cut(_bands(kept, p))
     mask = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
     centres = bands.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(mask)).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = cut(bands.join(centres.select("key", F.col("m").bitwiseXOR(mask).alias("a")), "key"))
+    centres = cut(centres.select("key", F.col("m").bitwiseXOR(mask).alias("a"), "size"))
+    met = cut(join_counted(bands, centres, ["key"], "size", bands.count()).drop("size"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = cut(texts.join(met.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     first = met.where("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.first("n").alias("n"))
@@ -291,12 +289,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     top = likely.groupBy("b").agg(F.max(packed).alias("top"))
     chosen = likely.join(top, "b").where(packed == F.col("top")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     shared = real.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id")
-    same = member.join(shared, "id").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).select("a", "b")
-    same = same.union(member.join(shared, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    same = real.join(shared, "id").select("id", "digest", "n").join(kept, ["digest", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = cut(_verified(chosen, texts, p).union(same))
     found = cut(components(links, p.last_rounds))
 
-    # round 2: the other candidates, where they would join two components
+    # round 2: where they would join two components, the other candidates; and in bands that hold several
+    # components the class with the fewest elements of its own with the others
     def crossing(pairs: DataFrame, found: DataFrame) -> DataFrame:
         named = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
         both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
@@ -305,25 +303,24 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     def joined(found: DataFrame, more: DataFrame) -> DataFrame:
         return cut(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), p.last_rounds))
 
-    others = likely.select("a", "b").join(chosen, ["a", "b"], "left_anti")
-    found = joined(found, cut(_verified(cut(crossing(others, found)), texts, p)))
-
-    # round 3: in bands that hold several components, the class with the fewest elements of its own meets the others
     def mixed(table: DataFrame, key: str, found: DataFrame) -> DataFrame:
         near = table.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-        keys = near.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(key)
-        return near.join(keys, key)
+        near = cut(near)
+        keys = near.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select(key, "c")
+        return join_counted(near, cut(keys), [key], "c", near.count()).drop("c")
 
+    others = crossing(likely.select("a", "b").join(chosen, ["a", "b"], "left_anti"), found)
     near = cut(mixed(met.select("key", "rep"), "key", found))
     rare = cut(_rarest(near.select("rep").distinct(), texts, p))
     near = near.join(rare.select("rep", "n", "own"), "rep")
     fewest = near.groupBy("key").agg(F.min(F.struct("own", "rep", "n", "comp")).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("n_a"), F.col("c.own").alias("own_a"), F.col("c.comp").alias("comp_a"))
     star = near.withColumnsRenamed({"n": "n_b", "own": "own_b"}).join(fewest, "key").where((F.col("comp") != F.col("comp_a")) & _size_fits("n_a", "n_b", p))
     star = star.where(_overlap_fits(F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")), p))
-    star = cut(_estimated(star.select("a", F.col("rep").alias("b")).distinct(), kept, p).select("a", "b").join(likely.select("a", "b"), ["a", "b"], "left_anti"))
-    found = joined(found, cut(_verified(star, texts, p)))
+    star = _estimated(star.select("a", F.col("rep").alias("b")).distinct(), kept, p).select("a", "b").join(likely.select("a", "b"), ["a", "b"], "left_anti")
+    tried = cut(others.union(star))
+    found = joined(found, cut(_verified(tried, texts, p)))
 
-    # round 4: all that could still join two components
+    # round 3: all that could still join two components
     near = rare.select("rep", "n", "own", F.posexplode("rare").alias("pos", "h")).select("rep", "n", "h", (F.col("n") - F.col("own") - F.col("pos")).alias("left"))
     near = mixed(near, "h", found)
     weight = found.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("w"))
@@ -335,11 +332,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
     lighter = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("comp_a") < F.col("comp_b")))
     rest = minor.join(b, (minor["h"] == b["h"]) & lighter & _size_fits("n_a", "n_b", p) & _overlap_fits(F.least("left_a", "left_b"), p))
     rest = _estimated(rest.select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")).distinct(), kept, p).select("a", "b")
-    rest = cut(rest.join(likely.select("a", "b").union(star), ["a", "b"], "left_anti"))
+    rest = cut(rest.join(likely.select("a", "b").union(tried), ["a", "b"], "left_anti"))
     found = joined(found, cut(_verified(rest, texts, p)))
 
-    placed = member.distinct().join(found, F.col("rep") == F.col("node"), "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = marked.select("id", "n").join(placed, "id", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
-    )
+    named = kept.select("digest", "n", "rep", "c").join(found, F.col("rep") == F.col("node"), "left").select("digest", "n", "c", F.coalesce("component", "rep").alias("component_id"))
+    linked_rows = join_counted(real.select("id", "digest", "n"), cut(named), ["digest", "n"], "c", rows).select("id", "n", "component_id")
+    out = linked_rows.union(marked.where(~has_set).select("id", "n", F.col("id").alias("component_id")))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

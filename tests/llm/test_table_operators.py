@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, linededup, neardup, packing, queries, topk
 
@@ -196,12 +197,13 @@ def test_templates_find_other_numbers_and_names(spark):
         (7, ""),
         (None, ITEM),
         (8, "Short template item here today. " * 3),
+        (9, "some other words " * 100_000 + ITEM + " and others" * 1000),
     ]
     bench = [(10, ITEM), (11, None), (12, ""), (13, "Short template item here today."), (None, ITEM), (10, ITEM)]
     d = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(*x, 0) for x in bench], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b).collect()}
-    assert set(got) == {(1, 10), (2, 10), (5, 10), (8, 13)}
+    assert set(got) == {(1, 10), (2, 10), (5, 10), (8, 13), (9, 10)}
     assert got[1, 10]["changed"] == 0 and got[2, 10]["changed"] > 0
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
 
@@ -253,6 +255,26 @@ def test_top_k_odd_rows(spark):
     assert rows_of(topk.search(few, lambda v: v % 20 == 0)) == [(0, 1, 1, 64 * 128)]
 
 
+def test_rare_and_common_terms(spark):
+    """Terms that few rows have are scattered, the others accumulated together."""
+    rng = random.Random(7)
+    vectors = [(i, [float(rng.randrange(-3, 4)) if rng.random() < (0.9 if t < 3 else 0.05) else 0.0 for t in range(40)]) for i in range(300)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted(rows_of(topk.search(table, lambda v: v % 20 == 0))) == brute_top(vectors)
+    block = topk.Rows(np.arange(300), [np.array(v) for _, v in vectors], 64)
+    assert set(block.common_terms()) == {0, 1, 2}
+
+
+def test_hot_keys_are_split(spark):
+    from gridloom.llm.common import join_counted
+
+    data = [(1, n) for n in range(900)] + [(k, k) for k in range(2, 102)]
+    rows = spark.createDataFrame(data, "k int, v int")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("v").alias("m"))
+    got = join_counted(rows, table, ["k"], "c", 1000, share=10)
+    assert sorted(rows_of(got)) == sorted(rows_of(rows.join(table, "k")))
+
+
 # packing
 
 
@@ -363,8 +385,6 @@ def test_pipeline_of_odd_documents(spark, sf, tmp_path):
     import corpus_pipeline as c
 
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "the cat and the dog", "en", "s", 19), (3, "the cat and the dog", "en", "s", 19), (None, "the dog and the cat", "en", "s", 19)]
-    from pyspark.sql import functions as F
-
     extra = {"score": F.lit(1), "lang_pred": F.array(F.lit("x")), "n_lines": F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit(1.5))), "piece": F.current_timestamp(), "mark": F.struct(F.lit(1).alias("doc")), "kept": F.lit(None).cast("decimal(9,2)"), "_gone": F.lit(True), "item_id": F.lit(b"z")}
     for k, some in enumerate((rows, [])):
         docs = spark.createDataFrame(some, spark.read.parquet(f"{sf}/documents.parquet").schema).withColumns(extra)
