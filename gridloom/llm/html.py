@@ -238,6 +238,62 @@ plain 0 2 0 3 0 2 0 0
 plain 0 2 1 3 0 1 1 0
 plain 0 4 0 5 0 0 0 0
 plain 0 8 0.5 6 0.6 5 0.7 0
+main 0 30 0 40 0 4 1 1
+main 0 60 0 6 0 1 1 1
+main 0 20 0 2 0 3 1 1
+main 0 3 1 30 0 3 1 1
+main 0 4 1 2 0 0 0 1
+main 0 60 0 90 0.2 2 1 1
+main 0 2 1 3 0 2 1 1
+main 1 0 0 8 0 2 1 1
+main 0 30 0 12 0.4 4 1 1
+main 0 8 0 2 1 60 0 1
+main 0 4 1 4 1 40 0 0
+main 0 40 0 6 1 5 1 0
+main 0 4 1 5 1 0 0 0
+main 0 60 0 5 0.8 6 1 0
+main 0 5 0.9 4 0.7 90 0 0
+comment 0 30 0 40 0 120 0 0
+comment 0 12 0 14 0 90 0 0
+comment 0 60 0 150 0 200 0 0
+comment 0 0 0 45 0 80 0 0
+side 0 40 0 12 0 80 0 0
+side 0 0 0 20 0 200 0 0
+side 1 50 0 3 0 60 0 0
+nav 0 0 0 3 1 60 0 0
+nav 0 3 1 2 0 90 0 0
+nav 0 60 0 16 0 50 0 0
+form 0 2 0 8 0 70 0 0
+form 0 60 0 30 0 200 0 0
+form 0 45 0 3 0 50 0 0
+plain 0 40 0 2 0 50 0 1
+plain 0 60 0 5 0 45 0 1
+plain 0 80 0 3 0 30 0 1
+plain 0 45 0 8 0 60 0.1 1
+plain 0 20 0 4 0 25 0 1
+plain 0 60 0 40 0 3 1 1
+plain 0 3 1 20 0 3 1 1
+plain 0 40 0 3 1 50 0 0
+plain 0 0 0 5 1 90 0 0
+plain 0 4 1 2 1 60 0 0
+plain 0 50 0 20 0.9 60 0 0
+plain 0 3 0 4 0 3 1 0
+main 0 20 0 6 1 5 0 1
+main 0 3 0 2 1 60 0 1
+main 0 30 0 3 1 0 0 1
+main 0 5 0 2 1 8 0 1
+main 0 6 1 30 1 40 0 0
+main 0 40 0 25 1 6 1 0
+plain 0 4 1 6 0 60 0 1
+plain 1 0 0 5 0 45 0 1
+plain 1 2 1 3 0 50 0 1
+plain 1 30 0 2 0 40 0 1
+plain 0 0 0 4 0 70 0 1
+plain 0 50 0 4 0 0 0 0
+plain 0 60 0 3 0 3 0 0
+plain 0 45 0 5 0 2 1 0
+plain 0 80 0 2 0 4 0.5 0
+plain 0 2 0 4 0 5 0 0
 """
 
 
