@@ -35,12 +35,17 @@ NAMED = {
 KIND_OF = {w: k for k, ws in NAMED.items() for w in ws}
 MAIN = {"article", "main"}
 MAIN_NAMES = set("content article articlebody post postbody entry story maincontent".split())
-HIDDEN = re.compile(r"""\shidden(?=[\s/>=])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+NO_SHOW = re.compile(r"display\s*:\s*none", re.I)
+#: On an article element, and inside one, a word alone does not make a comment: categories, titles and sections of papers bear the same words.
+COMMENT_ARTICLE = re.compile(r"comment(?:[-_]*(?:body|item|content|entry|text|\d+))?")
+SECTION_NAMES = {"discussion"}
+#: Running text outside a named wrapper: at least so many words, at most this link density.
+RUNNING_WORDS, RUNNING_LINKS = 20, 0.3
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(?=[a-zA-Z/!?])(?:"[^"]*"|'[^']*'|[^>"'])*(?:>|\Z)""", re.S)
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-NAMES_IN = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"\s+")
 PLACES = ("main", "plain", "nav", "side", "comment", "form")
 
@@ -56,16 +61,25 @@ class Block:
 
 @lru_cache(4096)
 def _place_of(name: str, tag: str) -> tuple[str, bool] | None:
-    """The kind of place that an element opens and whether the element itself (not a name it bears) says so."""
+    """The kind of place that an element opens and whether the element itself (not a name it bears) says so.
+    ("section", False): a section of an article if it stands in one, else a comment."""
     if name in ("html", "body"):
         return None
-    if HIDDEN.search(tag):
+    said: dict[str, str] = {}
+    for key, value in ATTRIBUTE.findall(tag[len(name) + 1 :]):
+        said.setdefault(key.lower(), value.strip("\"'"))
+    if "hidden" in said or NO_SHOW.search(said.get("style", "")) or said.get("aria-hidden", "").lower() == "true":
         return "side", True
-    said = " ".join(m.strip("\"'") for m in NAMES_IN.findall(tag)).lower()
-    words = [w for w in re.split(r"[^a-z]+", said) if w]
+    names = " ".join(said.get(k, "") for k in ("class", "id", "role")).lower()
+    words = [w for w in re.split(r"[^a-z]+", names) if w]
     found = [KIND_OF[w] for w in words if w in KIND_OF]
     if "comment" in found:
-        return "comment", True
+        if name in MAIN:
+            return ("comment" if any(COMMENT_ARTICLE.fullmatch(w) for w in names.split()) else "main"), True
+        if not (name[0] == "h" and name[1:].isdigit()):
+            mine = {w for w in words if KIND_OF.get(w) == "comment"}
+            return ("section", False) if mine <= SECTION_NAMES else ("comment", True)
+        found = [k for k in found if k != "comment"]
     if name in FURNITURE:
         return FURNITURE[name], True
     if name in MAIN:
@@ -75,36 +89,91 @@ def _place_of(name: str, tag: str) -> tuple[str, bool] | None:
     return ("main", False) if MAIN_NAMES & set(words) else None
 
 
-def _place(stack: list[tuple[str, tuple[str, bool] | None]]) -> str:
-    """Where the innermost of the open elements is. An article inside a wrapper with an odd name is an
-    article; one inside a comment, a menu or an aside is not. An article's own header belongs to it."""
-    found, fixed = "plain", False
-    for name, held in stack:
-        if held is None:
+class Open:
+    """An open element: its name, its kind of place (as _place_of gives it), the elements round it and the words inside it."""
+
+    __slots__ = ("name", "held", "around", "words")
+
+    def __init__(self, name: str, held: tuple[str, bool] | None, stack: list[Open]):
+        self.name, self.held, self.around, self.words = name, held, _innermost(stack), 0
+
+
+def _innermost(stack: list[Open]) -> Open | None:
+    """The innermost open element that has a kind of place."""
+    return None if not stack else stack[-1] if stack[-1].held else stack[-1].around
+
+
+def _line(e: Open | None) -> list[Open]:
+    """An element and those round it that have a kind of place, the outermost first."""
+    out = []
+    while e:
+        out.append(e)
+        e = e.around
+    return out[::-1]
+
+
+def _place(stack: list[Open], wrappers: set[Open] = frozenset()) -> str:
+    """Where the innermost of the open elements is. An article inside a wrapper with an odd name or inside
+    a form is an article; one inside a comment, a menu or an aside is not. An article's own header belongs to it."""
+    found, fixed, inside = "plain", None, False
+    for e in stack:
+        if e in wrappers:
             continue
-        kind, own = held
-        if kind == "comment":
-            return kind
+        kind, own = e.held
+        if kind == "comment" or (kind == "section" and not inside):
+            return "comment"
         if kind == "main":
+            inside = inside or own
+            if own and fixed == "form":
+                fixed = None
             found = "main" if not fixed and (own or found == "plain") else found
-        elif not (name == "header" and found == "main"):
-            found, fixed = kind, fixed or own
+        elif kind != "section" and not (e.name == "header" and found == "main"):
+            found, fixed = kind, fixed or (kind if own else None)
     return found
 
 
+def _wrappers(blocks: list[Block], inner: list[Open | None]) -> set[Open]:
+    """Forms and elements with a comment's name that stand round most of the page's text while no article is
+    outside of them: they say nothing about their text."""
+    total, seen, out = sum(b.words for b in blocks), set(), set()
+    for e in inner:
+        while e and e not in seen:
+            seen.add(e)
+            e = e.around
+    for e in seen:
+        if e.words * 2 <= total or e.name in MAIN or not (e.name == "form" or e.held[0] in ("comment", "section")):
+            continue
+        around = _line(e)
+        if not any(e not in s and _article(b, s, around) for b, s in ((b, _line(x)) for b, x in zip(blocks, inner))):
+            out.add(e)
+    return out
+
+
+def _article(block: Block, stack: list[Open], around: list[Open]) -> bool:
+    """Whether a block is in an article element other than those ``around`` something, or running text."""
+    place = _place(stack)
+    if place == "main" and any(e.held == ("main", True) and e not in around for e in stack):
+        return True
+    return place in ("main", "plain") and not block.heading and block.words >= RUNNING_WORDS and block.link_density <= RUNNING_LINKS
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The page's text blocks in order, character references decoded, white space folded."""
     out: list[Block] = []
+    inner: list[Open | None] = []
     parts: list[str] = []
     linked = [0]
-    stack: list[tuple[str, tuple[str, bool] | None]] = []
+    stack: list[Open] = []
     state = {"a": 0, "heading": False}
 
     def end() -> None:
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         if text:
             n = len(text.split())
-            out.append(Block(text, n, min(1.0, linked[0] / n), _place(stack), state["heading"]))
+            inner.append(_innermost(stack))
+            for e in _line(inner[-1]):
+                e.words += n
+            out.append(Block(text, n, min(1.0, linked[0] / n), "", state["heading"]))
         parts.clear()
         linked[0] = 0
 
@@ -141,8 +210,8 @@ def blocks_of(page: str | None) -> list[Block]:
         if name not in BLOCK:
             if not closing and name not in VOID and (kind := _place_of(name, m[0])) and kind[0] != "main":
                 end()
-                stack.append((name, kind))
-            elif closing and any(n == name for n, _ in stack):
+                stack.append(Open(name, kind, stack))
+            elif closing and any(e.name == name for e in stack):
                 end()
                 _pop(stack, name)
             continue
@@ -156,24 +225,27 @@ def blocks_of(page: str | None) -> list[Block]:
             if name == "p":
                 _pop(stack, name)
                 if not closing and (kind := _place_of(name, m[0])) and kind[0] != "main":
-                    stack.append((name, kind))
+                    stack.append(Open(name, kind, stack))
             continue
         if closing:
             _pop(stack, name)
         else:
             if name == "li":
                 _pop(stack, "li", within=("ul", "ol"))
-            stack.append((name, _place_of(name, m[0])))
+            stack.append(Open(name, _place_of(name, m[0]), stack))
     end()
+    wrappers = _wrappers(out, inner)
+    for block, e in zip(out, inner):
+        block.place = _place(_line(e), wrappers)
     return out
 
 
 def _pop(stack: list, name: str, within: tuple[str, ...] = ()) -> None:
     for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == name:
+        if stack[i].name == name:
             del stack[i:]
             return
-        if stack[i][0] in within:
+        if stack[i].name in within:
             return
 
 

@@ -39,3 +39,24 @@ def test_place_and_own_links_decide():
             x = np.array([[pw, own, nw, pl, links, nl, *(float(place == p) for p in html.PLACES), heading] for pw, nw, pl, nl, heading in beside])
             if place != "plain":
                 assert (html.classify(x) == (place == "main")).all(), (place, own, links)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<article class="post category-reviews"><p>{LONG}</p><p>Short.</p></article>', [LONG, "Short."]),
+        (f'<article><h2>Methods</h2><p>{LONG}</p><section id="discussion"><h2 id="discussion">Discussion</h2><p>{OTHER}</p><p>Short.</p></section></article>', ["Methods", LONG, "Discussion", OTHER, "Short."]),
+        (f'<form id="aspnetForm"><nav><a href="/">Home</a></nav><article><p>{LONG}</p><p>Short.</p></article></form>', [LONG, "Short."]),
+        (f'<form id="aspnetForm"><div><p>{LONG}</p><p>Short.</p><p>{OTHER}</p></div></form>', [LONG, "Short.", OTHER]),
+        (f'<article title="a hidden valley"><p>{LONG}</p><p class="x hidden lg:block">Short.</p></article>', [LONG, "Short."]),
+        (f'<div class="site has-comments"><article><p>{LONG}</p><p>Short.</p></article></div>', [LONG, "Short."]),
+        (f'<article><p>{LONG}</p><p hidden>Not seen.</p><p HIDDEN="">Nor this.</p><p style="color:red; display: none">Nor that.</p><p aria-hidden="true">Nor these.</p></article>', [LONG]),
+        (f'<article><p>Short.</p></article><section id="comments"><p>{LONG}</p><p>{OTHER}</p></section>', ["Short."]),
+        (f'<article><p>{LONG}</p></article><section id="discussion"><p>I was there.</p><p>{OTHER}</p></section>', [LONG]),
+        (f'<article><p>{LONG}</p></article><article class="comment" id="comment-7"><p>{OTHER}</p></article>', [LONG]),
+        (f'<h1>The flood</h1><p>{LONG}</p><div id="comments"><p>{OTHER}</p><p>{OTHER}</p></div>', ["The flood", LONG]),
+        (f'<form class="login"><p>{LONG}</p></form><main><p>Short.</p></main>', ["Short."]),
+    ],
+)
+def test_names_and_wrappers_do_not_take_articles(page, want):
+    assert html.main_text(page).split("\n") == want
