@@ -3,10 +3,13 @@
 Texts become sequences of canonical words: numbers, names and units turn into
 typed placeholders, everything else into its lower-case letters. Windows of
 canonical words are hashed; windows of documents are joined with windows of
-benchmark items. Matches of one document and item that lie on one diagonal
-are one alignment, and its slots must be consistent: a value of the item
-always stands for the same value of the document. So a question with other
-numbers or names is found, and a text that only shares its layout is not.
+benchmark items. Matches of one document and item that lie on one diagonal,
+or on neighbouring ones (words were put in or left out), are one alignment.
+Its slots must be consistent: a value of the item always stands for the same
+value of the document; or the windows whose values are the item's own must do
+alone. So a question with other numbers or names is found, and a text that
+only shares its layout is not. Short items have shorter windows besides, and
+items without any window are looked for word for word, values included.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from gridloom.llm.common import arrow_map, cut
 
@@ -31,6 +35,9 @@ Ben Tim Amy""".split()
 
 NUMBER_UNIT = re.compile(r"([$€£]?)([+-]?\d+(?:[.,:/]\d+)*)([^\W\d]{0,4}|%|°[cCfF])")
 WORD, NUM, NAME, UNIT = 0, 1, 2, 3
+#: Words of the exact comparison: characters of scripts without spaces one by one, numbers, other words, signs of arithmetic and units.
+UNSPACED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+EXACT = re.compile(rf"[{UNSPACED}]|\d+(?:[.,]\d+)*|(?:(?![{UNSPACED}\d])\w)+|[-+*/=<>^%×÷±≤≥≠√∑$€£°]")
 EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w%$€£]+$")
 
 
@@ -38,14 +45,28 @@ EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w%$€£]+$")
 class Params:
     """A document is contaminated by an item if an alignment covers ``cover`` of the item's windows of
     ``window`` words (an item that is shorter is one window, if it has ``least_words`` words). A window
-    needs ``least_plain`` words that are no placeholders. ``map_bits``: size of the bit map that leaves
-    out windows which no item has; it never loses one."""
+    needs ``least_plain`` words that are no placeholders. An item without a window is compared whole and
+    exactly. Diagonals up to ``drift`` apart are one alignment. An item of ``window`` to 2.5 * ``window`` - 1
+    words also has windows of ``short`` of its words, which must cover as many of its words as one changed
+    word leaves at worst, with the item's own values or on ``window`` words at least. ``map_bits``: size of
+    the bit map that leaves out windows which no item has; it never loses one."""
 
     window: int = 8
     least_words: int = 5
     least_plain: int = 4
     cover: float = 0.3
     map_bits: int = 24
+    drift: int = 4
+    short: float = 0.4
+
+    def short_size(self, words: int) -> int:
+        """The size of an item's shorter windows; 0: it has none."""
+        size = int(words * self.short)
+        return size if words >= self.window and 2 < size < self.window else 0
+
+    def plain_of(self, size: int) -> int:
+        """How many plain words a shorter window needs: half of it."""
+        return min(self.least_plain, (size + 1) // 2)
 
 
 def classify(token: str) -> tuple[str, int, str]:
@@ -77,7 +98,11 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 class Canon:
     """Canonical words of tokens, numbered as they come; at most ``most`` tokens are remembered."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 600_000, exactly: bool = False):
+        self.exactly = exactly
+        # by code: the exact word's hash (0: none), whether the token holds several
+        self.whole, self.several = np.zeros(most if exactly else 0, np.uint64), np.zeros(most if exactly else 0, bool)
+        self.last: tuple[Canon, np.ndarray, list[str]] = (self, np.zeros(0, np.int64), [])
         self.codes: dict[str, int] = {}
         self.most = most
         # by code: hash and kind inside a sentence, hash and kind at its start, whether the token ends a sentence
@@ -88,9 +113,20 @@ class Canon:
     def add(self, token: str) -> int:
         code = len(self.codes)
         self.mid[code], self.kind[code], self.start[code], self.first[code], self.ends[code] = looked_up(token)
+        if self.exactly:
+            found = exact_words(token)
+            self.whole[code], self.several[code] = found[0] if found else 0, len(found) > 1
         self.codes[token] = code
         return code
 
+    def exact(self) -> np.ndarray:
+        """Hashes of the exact words of the text that ``of`` was asked for last."""
+        held, codes, tokens = self.last
+        if not held.several[codes].any():
+            out = held.whole[codes]
+            return out[out != 0]
+        return np.array([x for t in tokens for x in exact_words(t)], np.uint64)
+
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Hashes, kinds (-1 where a token holds no word) and tokens of a text's words."""
         tokens, opens = [], []
@@ -100,14 +136,18 @@ class Canon:
                 opens.append(len(tokens))
                 tokens += found
         if not tokens:
+            self.last = (self, np.zeros(0, np.int64), [])
             return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
         if len(self.codes) + len(tokens) > self.most:
             self.codes.clear()
         if len(tokens) > self.most:  # one text with more tokens than are remembered
-            held = Canon(len(tokens))
-            return held.of(text)
+            held = Canon(len(tokens), self.exactly)
+            found = held.of(text)
+            self.last = held.last
+            return found
         get, add = self.codes.get, self.add
         codes = np.array([c if (c := get(t)) is not None else add(t) for t in tokens], np.int64)
+        self.last = (self, codes, tokens)
         opening = np.empty(len(tokens), bool)
         opening[1:] = self.ends[codes[:-1]]
         opening[opens] = True
@@ -150,44 +190,86 @@ def windows(h: np.ndarray, k: np.ndarray, size: int, least_plain: int) -> tuple[
     return out, plain[size:] - plain[:n] >= min(least_plain, size)
 
 
+def exact_words(token: str) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(w) | 1 for w in EXACT.findall(token.lower())]
+
+
+def exact_windows(e: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` exact words, from sums of powers: the time does not depend on the size."""
+    n = len(e) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(e) - 1, MULT)]), dtype=np.uint64)
+        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(pow(int(MULT), -1, 1 << 64)))]), dtype=np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(e * up, dtype=np.uint64)])
+        out = (sums[size:] - sums[:n]) * down
+        out = (out ^ (out >> np.uint64(32)) ^ np.uint64(size)) * MULT
+        return out ^ (out >> np.uint64(29))
+
+
 def _values(tokens: list[str], kinds: np.ndarray, at: int, size: int) -> list[str]:
     """kind and value of each slot in a window, in order."""
     return [f"{kinds[i]}={classify(tokens[i])[2]}" for i in range(at, at + size) if kinds[i] != WORD]
 
 
-WINDOW = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType()))])
+WINDOW = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("short", T.BooleanType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType()))])
 
 
 def _windows_of(table: DataFrame, sizes: tuple[int, ...], p: Params, only: bytes | None) -> DataFrame:
     """The windows of (id, text) rows; only: the bit map, else items' windows (the whole item if it is short).
-    n: how many windows an item has."""
+    n: how many windows of its kind an item of so many ``words`` has. Sizes of exact windows are negative."""
     box = table.sparkSession.sparkContext.broadcast(only)  # 2 ** map_bits bits at most
+    lengths = [-size for size in sizes if size < 0]
 
     def rows():
-        canon = Canon()
+        canon = Canon(exactly=only is None or bool(lengths))
         bits = np.frombuffer(box.value, np.uint8) if only is not None else None
 
+        def known(w: np.ndarray) -> np.ndarray:
+            spot = w & np.uint64((1 << p.map_bits) - 1)
+            return ((bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+        def of_document(h, k, tokens):
+            for size in sizes:
+                if size > 0:
+                    w, ok = windows(h, k, size, p.plain_of(size))
+                    for i in np.flatnonzero(ok & known(w)).tolist():
+                        yield 0, 0, False, size, i, w[i], _values(tokens, k, i, size)
+            e = canon.exact() if lengths else None
+            for size in lengths:
+                w = exact_windows(e, size)
+                at = np.flatnonzero(known(w))
+                for i in at[np.unique(w[at], return_index=True)[1]].tolist():  # once is enough
+                    yield 0, 0, False, -size, i, w[i], []
+
+        def of_item(h, k, tokens):
+            n, found = len(h), False
+            for short, size in ((False, p.window if n >= p.window else n if n >= p.least_words else 0), (True, p.short_size(n))):
+                if not size:
+                    continue
+                views, out, total = [(h, k)], [], 0
+                inside = looked_up(tokens[0])
+                if inside[0] != h[0]:  # a document may quote the item inside a sentence
+                    views.append(tuple(np.concatenate([np.array([x], y.dtype), y[1:size]]) for x, y in ((inside[0], h), (inside[1], k))))
+                for vh, vk in views:
+                    w, ok = windows(vh, vk, size, p.plain_of(size) if short else p.least_plain)
+                    hits = np.flatnonzero(ok).tolist()
+                    total = max(total, len(hits))
+                    out += [(size, i, w[i], _values(tokens, vk, i, size)) for i in hits]
+                found = found or bool(out and not short)
+                for x in out:
+                    yield total, n, short, *x
+            e = np.zeros(0) if found else canon.exact()
+            if len(e):
+                yield 1, len(e), False, -len(e), 0, exact_windows(e, len(e))[0], []
+
         def step(cols):
             out: list[list] = [[] for _ in WINDOW]
             for ident, text in zip(*cols):
-                h, k, tokens = canon.of(text)
-                mine = sizes if only is not None else (p.window,) if len(h) >= p.window else (len(h),) if len(h) >= p.least_words else ()
-                views = [(size, h, k) for size in mine]
-                if only is None and mine:  # a document may quote the item inside a sentence
-                    inside = looked_up(tokens[0])
-                    if inside[0] != h[0]:
-                        views.append((mine[0], *(np.concatenate([np.array([x], y.dtype), y[1 : mine[0]]]) for x, y in ((inside[0], h), (inside[1], k)))))
-                total = 0
-                for size, h, k in views:
-                    w, ok = windows(h, k, size, p.least_plain)
-                    if bits is not None:
-                        spot = w & np.uint64((1 << p.map_bits) - 1)
-                        ok = ok & ((bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                    hits = np.flatnonzero(ok)
-                    total = max(total, len(hits))
-                    for i in hits.tolist():
-                        for col, v in zip(out, (ident, total, size, i, int(w[i].view(np.int64)), _values(tokens, k, i, size))):
-                            col.append(v)
+                for n, words, short, size, i, w, values in (of_item if only is None else of_document)(*canon.of(text)):
+                    for col, v in zip(out, (ident, n, words, short, size, i, int(w.view(np.int64)), values)):
+                        col.append(v)
             return out
 
         return step
@@ -199,13 +281,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), id
     """One row for each document and item with an alignment that covers enough of the item:
     doc_id, item_id, matched, item_windows, coverage, changed (slots whose value differs).
 
-    Null and short texts match nothing; rows with a null id take no part.
+    Null texts and texts without words match nothing; rows with a null id take no part. Items that are
+    compared exactly have one window.
     Rows that share an id are one document (or item), whose best alignment
     counts. Long texts are read whole; other columns are not read; an empty
     table on either side gives an empty table.
     """
     items = cut(_windows_of(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL"), (), p, None))
-    sizes = tuple(sorted(r[0] for r in items.select("size").distinct().collect()))  # at most window numbers
+    sizes = tuple(sorted(r[0] for r in items.select("size").distinct().collect()))  # at most window numbers and the lengths of items without a window
     spot = F.col("hash").bitwiseAND(F.lit((1 << p.map_bits) - 1))
     words = items.select(F.shiftright(spot, 5).alias("w"), F.expr("shiftleft(1L, int(hash & 31))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
     bits = np.zeros(1 << (p.map_bits - 5), np.uint32)
@@ -213,18 +296,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), id
     bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
     there = _windows_of(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL"), sizes, p, bits.tobytes())
     a = there.select(F.col("id").alias("doc_id"), F.col("pos").alias("dp"), "hash", "size", F.col("slots").alias("ds"))
-    b = items.select(F.col("id").alias("item_id"), F.col("pos").alias("ip"), F.col("n").alias("item_windows"), "hash", "size", F.col("slots").alias("bs"))
+    b = items.select(F.col("id").alias("item_id"), F.col("pos").alias("ip"), F.col("n").alias("item_windows"), "words", "short", "hash", "size", F.col("slots").alias("bs"))
     met = a.join(b, ["hash", "size"]).where(F.size("ds") == F.size("bs"))
-    on = ["doc_id", "item_id", "diagonal"]
-    met = met.select("doc_id", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"), "ip", "item_windows", F.zip_with("bs", "ds", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("pairs"))
+    pair = ["doc_id", "item_id", "short"]
+    met = met.select(*pair, (F.col("dp") - F.col("ip")).alias("diagonal"), "ip", "item_windows", "words", "size", (F.col("bs") == F.col("ds")).alias("own"), F.zip_with("bs", "ds", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("pairs"))
     met = cut(met)
-    runs = met.groupBy(*on).agg(F.countDistinct("ip").alias("matched"), F.max("item_windows").alias("item_windows"))
+    # neighbouring diagonals: a second alignment, besides those of the diagonals alone
+    along = Window.partitionBy(*pair).orderBy("diagonal")
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > p.drift).cast("int"), F.lit(0))
+    near = met.select(*pair, "diagonal").distinct().withColumn("_apart", apart).withColumn("run", F.sum("_apart").over(along))
+    near = near.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*pair, "run"))).where(F.col("_n") > 1).select(*pair, "diagonal", "run")
+    met = met.withColumn("run", F.lit(None).cast("long")).unionByName(met.join(near, [*pair, "diagonal"]).withColumn("diagonal", F.lit(0)))
+    met = met.withColumn("run", F.coalesce("run", F.lit(-1)))
+    on = [*pair, "run", "diagonal"]
+    spots = F.when(F.col("short"), F.sequence(F.col("ip"), F.col("ip") + F.col("size") - 1))
+    count = lambda x: F.size(F.collect_set(x))
+    words = lambda x: F.size(F.array_distinct(F.flatten(F.collect_set(x))))
+    runs = met.groupBy(*on).agg(
+        count(F.col("ip")).alias("all"), count(F.when(F.col("own"), F.col("ip"))).alias("same"), words(spots).alias("all_words"), words(F.when(F.col("own"), spots)).alias("same_words"),
+        F.max("item_windows").alias("item_windows"), F.max("words").alias("words"), F.max("size").alias("size"),
+    )
     pairs = met.select(*on, F.explode("pairs").alias("p")).select(*on, "p.x", "p.y").distinct()
     slots = pairs.groupBy(*on, "x").agg(F.count(F.lit(1)).alias("c"), F.max((F.col("x") != F.col("y")).cast("int")).alias("d"))
     slots = slots.groupBy(*on).agg(F.max("c").alias("c"), F.sum("d").cast("long").alias("changed"))
-    good = runs.join(slots, on, "left").where((F.coalesce("c", F.lit(1)) == 1) & (F.col("matched") >= F.col("item_windows") * p.cover))
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", -F.coalesce("changed", F.lit(0)), "item_windows")).alias("m"))
+    left = F.col("words") - F.col("size")  # as many words as one changed word leaves at worst
+    enough = lambda n, ws, least: F.when(F.col("short"), (F.col(ws) >= left) & (F.col(ws) >= least)).otherwise(F.col(n) >= F.col("item_windows") * p.cover)
+    fits = (F.coalesce("c", F.lit(1)) == 1) & enough("all", "all_words", p.window)
+    good = runs.join(slots, on, "left").withColumn("fits", fits).where(F.col("fits") | enough("same", "same_words", 0))
+    good = good.withColumn("matched", F.when(F.col("fits"), F.col("all")).otherwise(F.col("same"))).withColumn("changed", F.coalesce("changed", F.lit(0)))
+    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct((~F.col("short")).alias("long"), "matched", (-F.col("changed")).alias("unchanged"), "item_windows")).alias("m"))
     return best.select(
         "doc_id", "item_id", F.col("m.matched").cast("long").alias("matched"), F.col("m.item_windows").cast("long").alias("item_windows"),
-        (F.col("m.matched") / F.col("m.item_windows")).alias("coverage"), (-F.col("m.col2")).alias("changed"),
+        (F.col("m.matched") / F.col("m.item_windows")).alias("coverage"), (-F.col("m.unchanged")).alias("changed"),
     )
