@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, langid, linededup, neardup, packing
-from gridloom.llm.common import crc_remainder, read, shared_dir
+from gridloom.llm.common import crc_remainder, cut, read, shared_dir
 
 #: Documents whose best language is less likely than this are rejected, as are those without letters.
 LEAST_SCORE = 0.5
@@ -34,16 +34,41 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.when(F.col(n) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """With _stage_id, the doc_id; rows without one, each its own, a number beyond all ids. Rows that share an id are one document."""
+    stated = docs.where(F.col("doc_id").isNotNull()).withColumn("_stage_id", F.col("doc_id").cast("long"))
+    without = docs.where(F.col("doc_id").isNull())
+    if without.isEmpty():
+        return stated
+    without = cut(without.withColumn("_stage_n", F.monotonically_increasing_id()))
+    part = F.shiftright("_stage_n", 33)
+    first, n = [], 0
+    for p, c in sorted(tuple(r) for r in without.groupBy(part).count().collect()):  # as many rows as tasks wrote
+        first += [F.lit(p), F.lit(n)]
+        n += c
+    low, high = stated.agg(F.min("_stage_id"), F.max("_stage_id")).first()
+    spot = F.create_map(*first)[part] + F.col("_stage_n").bitwiseAND(F.lit((1 << 33) - 1))
+    beyond = F.lit(-1 if high is None else high) + 1 + spot if (high or 0) + n < 2**63 - 1 else F.lit(low) - 1 - spot
+    return stated.unionByName(without.withColumn("_stage_id", beyond.cast("long")).drop("_stage_n"))
+
+
+def without(docs: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of numbered docs whose number is not among ``gone``."""
+    gone = gone.select(F.col("doc_id").alias("_stage_gone")).distinct()
+    return docs.join(gone, docs["_stage_id"] == gone["_stage_gone"], "left_anti").select(*columns)
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate group (five-word shingles, similarity 0.8)."""
-    found = neardup.near_duplicates(docs, neardup.Params(shingle=5, percent=80)).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = neardup.near_duplicates(rows, neardup.Params(shingle=5, percent=80), id_col="_stage_id")
+    return without(rows, found.where(~F.col("kept")), docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    found = decontam.contaminated(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    return without(rows, decontam.contaminated(rows, read(spark, sf_dir, "benchmark"), id_col="_stage_id"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
