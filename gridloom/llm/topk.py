@@ -1,10 +1,10 @@
-"""Exact top-k by inner product, term at a time.
+"""Exact top-k by inner product, term at a time, common terms by a matrix product.
 
 Vectors become sparse integer rows. A task holds one group of candidates as
 postings (term -> rows and weights) in segments, and takes the query rows in
 blocks: each term of a block scatters its weighted postings into dense score
-arrays (terms that most rows of a segment have are accumulated together), the
-best k of a segment are selected by partition, and lists are merged.
+arrays (all terms that at least a quarter of a segment's rows have come from
+one dense matrix product instead; in dense vectors that is every term), the best k of a segment are selected by partition, and lists are merged.
 """
 
 from __future__ import annotations
