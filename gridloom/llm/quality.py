@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +26,16 @@ SHAPE = bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c > 127 else 48 if
 @dataclass(frozen=True)
 class Params:
     """The labelled sample: at most about ``per_label`` texts of each label, chosen by a hash
-    of the id, none over ``longest_example`` characters. Scored texts are not limited."""
+    of the id, none over ``longest_example`` characters. Scored texts are not limited.
+    A shape dictionary of ``shape_dict_bytes`` takes texts in the order of a hash of the id until it is full,
+    of each at most ``shape_example_bytes``, in ``shape_pieces`` pieces spread over the text."""
 
     per_label: int = 3000
     longest_example: int = 100_000
     text_dict_bytes: int = 112_640
     shape_dict_bytes: int = 131_072
+    shape_example_bytes: int = 2000
+    shape_pieces: int = 4
     level: int = 3
     ridge: float = 0.5
 
@@ -45,10 +50,13 @@ class Model:
     level: int = 3
 
 
-def _raw(samples: list[bytes], size: int) -> bytes:
+def _raw(samples: list[bytes], size: int, most: int, pieces: int) -> bytes:
     out, n = [], 0
     for x in samples:
-        x = x[: max(0, min(2000, size - n))]
+        if len(x) > most:
+            each = most // pieces
+            x = b"".join(x[at : at + each] for at in (i * (len(x) - each) // max(1, pieces - 1) for i in range(pieces)))
+        x = x[: size - n]
         out.append(x)
         n += len(x)
         if n >= size:
@@ -103,7 +111,7 @@ def fit_rows(rows: list[tuple[str, int]], prior: float, params: Params = Params(
     parts = {y: [t.encode("utf-8", "replace") for t, q in rows if q == y] for y in (1, 0)}
     make = {y: x[0::2] for y, x in parts.items()}
     text = tuple(_trained(make[y], params.text_dict_bytes) for y in (1, 0))
-    shape = tuple(_raw([x.translate(SHAPE) for x in make[y]], params.shape_dict_bytes) for y in (1, 0))
+    shape = tuple(_raw([x.translate(SHAPE) for x in make[y]], params.shape_dict_bytes, params.shape_example_bytes, params.shape_pieces) for y in (1, 0))
     sizer = Sizer(text, shape, params.level)
     held = [(x, y) for y, xs in parts.items() for x in xs[1::2]]
     if not held:
@@ -137,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
         few = few.groupBy("_id").agg(F.max("_y").alias("_y"))
         texts = docs.where(F.length(text_col) <= params.longest_example).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         # the sample is bounded by per_label, so it can be broadcast
-        rows = [(r["_text"], r["_y"]) for r in sorted(texts.join(F.broadcast(few), "_id").collect(), key=lambda r: (r["_id"], r["_text"]))]
+        rows = [(r["_text"], r["_y"]) for r in sorted(texts.join(F.broadcast(few), "_id").collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_id"])), r["_id"], r["_text"]))]
     total = sum(sizes.values())
     return fit_rows(rows, min(max(sizes.get(1, 0) / total, 0.01), 0.99) if total else 0.5, params)
 
