@@ -2,18 +2,23 @@
 
 Documents are tokenized once; what remains of them is a table of pieces. The
 number of pieces of each length (at most ``capacity`` numbers) is all the
-driver sees. It plans on those counts: the longest piece leaves a gap that a
-single length, a pair or a triple fills exactly, as often as all of them are
-available; what has no such complement is placed by best fit, longest first.
-The plan says which ranks of a length go where, and each piece looks its rank up.
+driver sees. It plans on those counts: the sums of one, two and three lengths
+are indexed in a hash from sum to combinations; the longest piece leaves a gap,
+the index names what fills it exactly, and a combination is used up as often as
+its lengths are available. What has no such complement is placed by best fit,
+longest first. The plan says which ranks of a length go where, and each piece
+looks its rank up.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,44 +31,78 @@ from gridloom.llm.common import arrow_map, cut, struct_of
 
 @dataclass(frozen=True)
 class Params:
-    """tokenizer, ranks: the same vocabulary as a tokenizers file and as ranks. The second is read
-    several times faster and gives the same ids for ``PLAIN`` texts; it may be None."""
+    """tokenizer: a file of the tokenizers library. ``memory``: how many distinct words a Python worker
+    remembers the ids of; it only saves time."""
 
     capacity: int = 2048
     end_id: int = 0
     tokenizer: str | None = None
-    ranks: str | None = None
+    memory: int = 600_000
 
 
 def public_params(capacity: int = 2048) -> Params:
     import public_tokenizers
 
-    return Params(capacity, 0, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return Params(capacity, 0, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-#: What is not plain: characters beyond Latin letters (libraries differ in their Unicode tables) and runs without a break.
-NOT_PLAIN = re.compile(r"[^\x00-ɏ]|\S{600}|\s{600}")
+#: The characters up to here are told apart alike by all versions of Unicode's tables.
+LAST = 0x24F
+SPACES = {9, 10, 11, 12, 13, 32, 0x85, 0xA0}
 
 
-def encoder(params: Params) -> Callable[[list[str]], list[list[int]]]:
-    """Token ids of texts; special tokens' strings in a text are ordinary text."""
-    from tokenizers import Tokenizer
+def _characters(wanted: Callable[[int], bool]) -> str:
+    return "".join(re.escape(chr(c)) for c in range(LAST + 1) if wanted(c))
 
-    whole = Tokenizer.from_file(params.tokenizer)
-    whole.encode_special_tokens = True
-    fast = None
-    if params.ranks:
-        import base64
 
-        import public_tokenizers
-        import tiktoken
+@lru_cache(1)
+def _words() -> re.Pattern:
+    """How a byte-level tokenizer splits a text of Latin letters before the merges; words are merged one by one."""
+    letters, digits = (_characters(lambda c, k=k: unicodedata.category(chr(c))[0] == k) for k in "LN")
+    spaces = _characters(SPACES.__contains__)
+    return re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
+class Words(dict):
+    """Little-endian 32-bit ids of words, from the tokenizer's own merges."""
+
+    def __init__(self, tokenizer, most: int):
+        self.merge, self.most = tokenizer.model.tokenize, most
+        split = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.bytes_of = {c: "".join(x for x, _ in split(chr(c))) for c in range(LAST + 1)}
 
-        with open(params.ranks, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array([t.id for t in self.merge(word.translate(self.bytes_of))], "<u4").tobytes()
+        if len(self) >= self.most:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
+@lru_cache(2)
+def encoder(params: Params) -> Callable[[str], bytes]:
+    """The little-endian 32-bit ids of a text, as the tokenizer's ``encode(text, add_special_tokens=False)`` gives them.
+
+    Texts that a byte-level tokenizer splits into words alike in every version of Unicode, and that hold no added
+    token, are split here and their distinct words merged once; all others are encoded whole.
+    """
+    from tokenizers import Tokenizer
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [fast.encode_ordinary(t) if fast and not NOT_PLAIN.search(t) else whole.encode(t, add_special_tokens=False).ids for t in texts]
+    whole = Tokenizer.from_file(params.tokenizer)
+    with open(params.tokenizer, encoding="utf-8") as f:
+        said = json.load(f)
+    before = said.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not (plain and said.get("normalizer") is None and said["model"].get("type") == "BPE"):
+        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    other = re.compile("|".join([rf"[^\x00-{chr(LAST)}]", *(re.escape(x["content"]) for x in said.get("added_tokens", []))]))
+    ids, split = Words(whole, params.memory).__getitem__, _words().findall
+
+    def encode(text: str) -> bytes:
+        if other.search(text):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(ids, split(text)))
 
     return encode
 
@@ -79,13 +118,13 @@ def pieces_of(docs: DataFrame, params: Params, text_col: str = "text", keep: tup
     schema = T.StructType([*struct_of(docs, *keep), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def rows():
-        encode = encoder(params)
+        encode, end = encoder(params), np.array([params.end_id], "<u4").tobytes()
 
         def step(cols):
             out: list[list] = [[] for _ in schema]
             kept = list(zip(*cols[:-1]))
-            for i, ids in enumerate(encode([t or "" for t in cols[-1]])):
-                raw = np.array([*ids, params.end_id], "<u4").tobytes()
+            for i, text in enumerate(cols[-1]):
+                raw = encode(text or "") + end
                 start = 0
                 for piece, n in enumerate(cut_lengths(len(raw) // 4, params.capacity)):
                     for col, v in zip(out, (*kept[i], piece, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]))):
@@ -98,53 +137,83 @@ def pieces_of(docs: DataFrame, params: Params, text_col: str = "text", keep: tup
     return arrow_map(docs.select(*keep, F.col(text_col).alias("_text")), schema, rows)
 
 
-class Complements:
-    """Which single, pair or triple of available lengths sums to a gap."""
+class Sums:
+    """An index of the sums of one, two and three of the available lengths.
+
+    ``pairs`` and ``triples`` lead from a sum to the longest member of each combination, longest first; the
+    rest of a combination is the smaller sum that the index holds for what is left. Lengths are only ever
+    used up, so a combination that is no longer available is left behind for good: ``at`` says how far.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
-
-    def _fits(self, lengths: tuple[int, ...]) -> int:
-        """How often the lengths are available together."""
-        return min(int(self.counts[n]) // lengths.count(n) for n in set(lengths))
-
-    def _pair(self, total: int) -> tuple[int, int] | None:
-        if total < 2:
-            return None
-        low = self.counts[1 : total // 2 + 1] > 0
-        high = self.counts[total - 1 : total - total // 2 - 1 : -1] > 0
-        both = np.flatnonzero(low & high) + 1
-        for a in both:  # the most unequal first: it uses up a long one
-            if 2 * a != total or self.counts[a] >= 2:
-                return total - int(a), int(a)
+        most = len(counts)
+        there = np.flatnonzero(counts > 0)
+        pair = np.zeros((most, most), bool)  # [sum, its longest member]
+        for a in there:
+            low = there[(there <= a) & (there + a < most)]
+            pair[low + a, a] = True
+        triple = np.zeros((most, most), bool)
+        sums = np.flatnonzero(pair.any(1))
+        shortest_lead = np.where(pair.any(1), pair.argmax(1), most)  # the longest member of a sum's most even pair
+        for a in there:
+            rest = sums[(sums + a < most) & (shortest_lead[sums] <= a)]
+            triple[rest + a, a] = True
+        self.pairs = {int(s): np.flatnonzero(pair[s])[::-1].tolist() for s in sums}
+        self.triples = {int(s): np.flatnonzero(triple[s])[::-1].tolist() for s in np.flatnonzero(triple.any(1))}
+        self.at = {2: dict.fromkeys(self.pairs, 0), 3: dict.fromkeys(self.triples, 0)}
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if 0 < total < len(self.counts) and self.counts[total] > 0 else None
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        """The most unequal pair: it uses up a long piece."""
+        leads, at = self.pairs.get(total, ()), self.at[2].get(total, 0)
+        while at < len(leads):
+            a, b = leads[at], total - leads[at]
+            if self.counts[a] > 0 and self.counts[b] > (a == b):
+                break
+            at += 1
+        if leads:
+            self.at[2][total] = at
+        return (leads[at], total - leads[at]) if at < len(leads) else None
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        leads, at = self.triples.get(total, ()), self.at[3].get(total, 0)
+        found = None
+        while at < len(leads) and found is None:
+            a = leads[at]
+            if self.counts[a] > 0:
+                found = self._with(a, total - a)
+            at += found is None
+        if leads:
+            self.at[3][total] = at
+        return found
+
+    def _with(self, a: int, rest: int) -> tuple[int, ...] | None:
+        """a and a pair of sum ``rest`` that is available beside it."""
+        for b in self.pairs.get(rest, ())[self.at[2].get(rest, 0) :]:
+            c = rest - b
+            if self.counts[b] > (b == a) + (b == c) and self.counts[c] > (c == a) + (b == c):
+                return a, b, c
         return None
 
     def fill(self, gap: int) -> tuple[int, ...] | None:
-        if gap <= 0:
-            return ()
-        if gap < len(self.counts) and self.counts[gap] > 0:
-            return (gap,)
-        if pair := self._pair(gap):
-            return pair
-        for a in np.flatnonzero(self.counts[1 : max(1, gap - 1)] > 0)[::-1] + 1:
-            self.counts[a] -= 1
-            pair = self._pair(gap - int(a))
-            self.counts[a] += 1
-            if pair:
-                return (int(a), *pair)
-        return None
+        """One, two or three available lengths that sum to the gap."""
+        return () if gap <= 0 else self.single(gap) or self.pair(gap) or self.triple(gap)
 
     def take(self, longest: int) -> tuple[tuple[int, ...], int] | None:
-        """A combination with ``longest`` that fills a sequence exactly, and how often; it is used up."""
+        """A combination with ``longest`` that fills a sequence exactly, and how often it is available; it is
+        used up. A length that has none never has one later: what could be beside it is only used up."""
         self.counts[longest] -= 1
         rest = self.fill(len(self.counts) - 1 - longest)
         self.counts[longest] += 1
         if rest is None:
             return None
         pattern = (longest, *rest)
-        times = self._fits(pattern)
-        for n in pattern:
-            self.counts[n] -= times
+        times = min(int(self.counts[n]) // pattern.count(n) for n in set(pattern))
+        for n in set(pattern):
+            self.counts[n] -= times * pattern.count(n)
         return pattern, times
 
 
@@ -154,7 +223,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     for n, c in counts.items():
         left[n] = c
     out: list[tuple[tuple[int, ...], int]] = []
-    index = Complements(left)
+    index = Sums(left)
     for longest in range(capacity, 0, -1):
         while left[longest] > 0 and (found := index.take(longest)):
             out.append(found)

@@ -311,11 +311,69 @@ def test_packing_places_every_token_once(spark, sf):
     assert n <= 1.01 * tokens / 2048 + 1
 
 
-def test_fast_ids_are_the_tokenizers_ids():
-    params = packing.public_params()
-    slow = packing.encoder(packing.Params(tokenizer=params.tokenizer))
-    texts = ["", " ", "it's  a\n\n test\t", "naïve Straße", "<|endoftext|> x", "数学 и русский", "a" * 5000, " " * 3000, "\x00\x7f", "12345 1e9", "ẞ ﬁ ①"]
-    assert packing.encoder(params)(texts) == slow(texts)
+def contract_ids(texts):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.public_params().tokenizer)
+    return [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+ALPHABET = [chr(c) for c in range(0x250)] + list("  \n\n\t'sdltmrev ") * 20 + ["<|endoftext|>", "don't", "'ll", "的", "é", "  ", "\u2003", "ﬁ"]
+
+
+def test_ids_are_those_of_the_contracts_call():
+    rng = random.Random(3)
+    texts = ["", " ", "it's  a\n\n test\t", "naïve Straße", "x <|endoftext|> y", "数学 и русский", "a" * 5000, " " * 3000, "\x00\x7f", "12345 1e9", "ẞ ﬁ ①", "²³½ª_\x1c\x85\xa0 x"]
+    texts += ["".join(rng.choices(ALPHABET, k=rng.randrange(60))) for _ in range(1500)]
+    encode = packing.encoder(packing.public_params())
+    assert [encode(t) for t in texts] == contract_ids(texts)
+    assert np.frombuffer(encode("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]
+    few = packing.encoder(packing.Params(tokenizer=packing.public_params().tokenizer, memory=3))  # forgets all the time
+    assert [few(t) for t in texts[:200]] == contract_ids(texts[:200])
+
+
+def least_sequences(pieces, capacity):
+    """The fewest sequences, by trying all ways."""
+    best = len(pieces)
+
+    def place(i, held):
+        nonlocal best
+        if len(held) >= best:
+            return
+        if i == len(pieces):
+            best = len(held)
+            return
+        for j in {h: j for j, h in enumerate(held)}.values():
+            if held[j] + pieces[i] <= capacity:
+                place(i + 1, [*held[:j], held[j] + pieces[i], *held[j + 1 :]])
+        place(i + 1, [*held, pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_against_the_optimum():
+    rng, gone, optimal = random.Random(5), 0, 0
+    for _ in range(200):
+        capacity = rng.choice([8, 12, 20])
+        pieces = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 10))), reverse=True)
+        least, n = least_sequences(pieces, capacity), sum(t for _, t in packing.plan(Counter(pieces), capacity))
+        assert least <= n <= least + 1
+        gone, optimal = gone + n, optimal + least
+    assert gone <= 1.02 * optimal
+
+
+def test_the_index_of_sums_holds_every_combination():
+    rng = random.Random(9)
+    for _ in range(60):
+        counts = np.array([0, *(rng.choice([0, 0, 1, 2]) for _ in range(14))], np.int64)
+        for total in range(1, 15):
+            there = [n for n in range(15) for _ in range(counts[n])]
+            want = {k: any(sum(c) == total for c in itertools.combinations(there, k)) for k in (1, 2, 3)}
+            index = packing.Sums(counts)
+            for k, found in ((1, index.single(total)), (2, index.pair(total)), (3, index.triple(total))):
+                assert (found is not None) == want[k]
+                assert found is None or (sum(found) == total and len(found) == k and not Counter(found) - Counter(there))
 
 
 @pytest.mark.parametrize("seed", range(6))
