@@ -1,10 +1,10 @@
-"""Exact top-k by inner product, term at a time, common terms by a matrix product.
+"""Exact top-k by inner product, term at a time.
 
 Vectors become sparse integer rows. A task holds one group of candidates as
 postings (term -> rows and weights) in segments, and takes the query rows in
-blocks: each term of a block scatters its weighted postings into dense score
-arrays (all terms that at least a quarter of a segment's rows have come from
-one dense matrix product instead; in dense vectors that is every term), the best k of a segment are selected by partition, and lists are merged.
+blocks: each term of a query scatters its weighted postings into the query's
+dense score array, the best k of a segment are selected by partition, and
+lists are merged. Every score comes from postings, whatever a term's share.
 """
 
 from __future__ import annotations
@@ -20,80 +20,98 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from gridloom.llm.common import cut
+
 SEGMENT = 4096
-BLOCK = 64
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 @dataclass(frozen=True)
 class Params:
-    """Candidates are dealt by a hash of the id to groups of about ``per_group``; the queries go to
-    every group in enough slices for ``least_tasks`` tasks."""
+    """Candidates are dealt by a hash of the id to groups of about ``per_group`` (fewer if there would be
+    less than ``least_tasks`` groups); the queries go to every group, in blocks of about ``block``. So the
+    rows that are shuffled are a ``block * per_group``-th of the scores."""
 
     k: int = 20
     scale: int = 64
-    per_group: int = 16_384
+    per_group: int = 131_072
+    block: int = 64
     least_tasks: int = 6
 
 
+def scaled(v: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), exactly: Python integers where a product is beyond the doubles."""
+    with np.errstate(over="ignore"):
+        out = np.floor(scale * np.asarray(v, np.float64))
+    if np.isfinite(out).all():
+        return out
+    return np.array([int(math.floor(x)) if math.isfinite(x) else scale * int(y) for x, y in zip(out, v)], object)
+
+
 class Rows:
-    """Sparse integer vectors of one block, ordered by id; the first of rows with equal ids."""
+    """Sparse integer vectors, ordered by id (ids differ)."""
 
     def __init__(self, ids: np.ndarray, vectors: list[np.ndarray], scale: int):
         order = sorted(range(len(ids)), key=lambda i: ids[i])
-        order = [i for n, i in enumerate(order) if n == 0 or ids[i] != ids[order[n - 1]]]
         self.ids = np.array([ids[i] for i in order], np.int64)
-        held = [np.floor(scale * np.asarray(vectors[i], np.float64)) for i in order]
+        held = [scaled(vectors[i], scale) for i in order]
         self.row = np.repeat(np.arange(len(order)), [len(v) for v in held]).astype(np.int64)
         self.term = np.concatenate([np.arange(len(v)) for v in held]) if held else np.zeros(0, np.int64)
         self.weight = np.concatenate(held) if held else np.zeros(0)
-        some = self.weight != 0
+        some = np.asarray(self.weight != 0, bool)
         self.row, self.term, self.weight = self.row[some], self.term[some], self.weight[some]
-        self.most = float(np.abs(self.weight).max(initial=0))
+        self.most = max((abs(int(x)) for x in (self.weight.min(), self.weight.max())), default=0) if len(self.weight) else 0
         by = np.argsort(self.term, kind="stable")
         self.row, self.term, self.weight = self.row[by], self.term[by], self.weight[by]
-        self.held: tuple | None = None
         terms, starts = np.unique(self.term, return_index=True)
         self.postings = {int(t): (self.row[a:b], self.weight[a:b]) for t, a, b in zip(terms, starts, [*starts[1:], len(self.term)])}
+        self.laid: tuple | None = None
 
     def __len__(self) -> int:
         return len(self.ids)
 
-    def common_terms(self) -> list[int]:
-        """The terms that at least a quarter of the rows have."""
-        return [t for t, (rows, _) in self.postings.items() if 4 * len(rows) >= len(self)]
-
-    def weights(self, terms: list[int], kind: type) -> np.ndarray:
-        """[row, term]; kept for the next call."""
-        key = (tuple(terms), kind)
-        if self.held is None or self.held[0] != key:
-            out = np.zeros((len(self), len(terms)), kind)
-            for n, t in enumerate(terms):
-                if t in self.postings:
-                    rows, w = self.postings[t]
-                    out[rows, n] = w
-            self.held = (key, out)
-        return self.held[1]
+    def queries(self) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+        """(row, its terms and weights) of each row."""
+        out: list[list] = [[] for _ in self.ids]
+        for r, t, w in zip(self.row.tolist(), self.term.tolist(), self.weight.tolist()):
+            out[r].append((t, w))
+        return enumerate(out)
+
+    def scattered(self, kind: type) -> dict[int, tuple[slice | np.ndarray, np.ndarray]]:
+        """Postings as they are added to a score array of ``kind``: where, and weights. A term that most rows
+        between its first and last have is laid out along them, with weight 0 at those that lack it: adding to
+        a run of rows costs a fraction of adding to listed rows."""
+        if self.laid is None or self.laid[0] is not kind:
+            out = {}
+            for t, (rows, w) in self.postings.items():
+                w = np.array([int(x) for x in w], object) if kind is object else w.astype(kind)
+                first, last = int(rows[0]), int(rows[-1]) + 1
+                if last - first <= 4 * len(rows):
+                    along = np.zeros(last - first, kind)
+                    along[rows - first] = w
+                    out[t] = slice(first, last), along
+                else:
+                    out[t] = rows, w
+            self.laid = kind, out
+        return self.laid[1]
 
 
 def scores(queries: Rows, docs: Rows) -> np.ndarray:
-    """Integer inner products, all pairs: [query, candidate]. Exact in the smallest type that holds them;
-    beyond 2**53 with Python integers, saturated to the range of a long."""
+    """Integer inner products: [query, candidate]. Exact in the smallest type that holds them; beyond 2**53
+    with Python integers, saturated to the range of a long."""
     bound = queries.most * docs.most * max(1, min(len(queries.postings), len(docs.postings)))
     kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
-    common = [] if kind is object else docs.common_terms()
-    out = queries.weights(common, kind) @ docs.weights(common, kind).T if common else np.zeros((len(queries), len(docs)), kind)
-    together = set(common)
-    for term, (q, wq) in queries.postings.items():
-        if term in together or term not in docs.postings:
-            continue
-        d, wd = docs.postings[term]
-        if kind is object:
-            wq, wd = np.array([int(x) for x in wq], object), np.array([int(x) for x in wd], object)
-        else:
-            wq, wd = wq.astype(kind), wd.astype(kind)
-        out[np.ix_(q, d)] += wq[:, None] * wd[None, :]
+    out = np.zeros((len(queries), len(docs)), kind)
+    postings = docs.scattered(kind)
+    cell = int if kind is object else kind
+    for i, terms in queries.queries():
+        mine = out[i]
+        for t, w in terms:
+            if t in postings:
+                where, weights = postings[t]
+                mine[where] += cell(w) * weights
     if kind is object:
-        return np.array([[max(-(2**63), min(2**63 - 1, x)) for x in r] for r in out], object).reshape(out.shape)
+        return np.array([[max(LEAST, min(MOST, x)) for x in r] for r in out], object).reshape(out.shape)
     return out
 
 
@@ -120,76 +138,73 @@ def best(queries: Rows, docs: Rows, k: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    """The values of each list of a list array."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(column.offsets.to_numpy()))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
 def search(vectors: DataFrame, is_query, params: Params = Params(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the best k rows for each row where ``is_query(id column)`` holds.
 
     Rows whose id or vector is null, or whose vector holds a null or a
-    non-finite component, take no part. Vectors of different lengths meet in
-    the terms both have; an empty vector scores 0 everywhere. Rows that share
-    an id count once (the smallest vector). Fewer than k candidates: all of
-    them. Other columns are not read; an empty table gives an empty table.
+    non-finite component, take no part; ids must be whole numbers of a long.
+    Vectors of different lengths meet in the terms both have; an empty vector
+    scores 0 everywhere. Rows that share an id count once (the smallest
+    vector). Scores beyond a long are saturated. Fewer than k candidates: all
+    of them. Other columns are not read; an empty table gives an empty table.
     """
     x = F.col("v")
     usable = F.col("id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable)
-    n = rows.count()
-    groups = max(1, math.ceil(n / params.per_group))
-    slices = max(1, math.ceil(params.least_tasks / groups))
-    spot = F.xxhash64("id")
-    g, s = F.pmod(spot, F.lit(groups)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int")
-    docs = rows.select(g.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.where(is_query(F.col("id"))).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), s.alias("s"), F.lit(1).alias("kind"), "id", "v")
-    met = docs.union(asked).repartition("g", "s").sortWithinPartitions("g", "s", "kind", "id", "v")
+    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v")))
+    n, asked_n = rows.agg(F.count(F.lit(1)), F.sum(is_query(F.col("id")).cast("long"))).first()
+    groups = max(1, math.ceil(n / params.per_group), min(params.least_tasks, math.ceil(n / SEGMENT)))
+    blocks = max(1, math.ceil((asked_n or 0) / params.block))
+    spot = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(of)).cast("int")
+    # candidates one by one (block -1: they come first), queries as blocks, each to every group
+    docs = rows.select(spot(groups, 0).alias("g"), F.lit(-1).alias("b"), F.array(F.struct("id", "v")).alias("held"))
+    asked = rows.where(is_query(F.col("id"))).groupBy(spot(blocks, 1).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("held"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "b", "held")
+    met = docs.union(asked).repartition(groups, "g").sortWithinPartitions("g", "b")
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
     types = [pa.int64()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, segments, ids, held, asking, last = None, [], [], [], False, None
+        group, segments, ids, held = None, [], [], []
 
-        def segment():
+        def close():
             if ids:
                 segments.append(Rows(np.array(ids, np.int64), held, params.scale))
             ids.clear()
             held.clear()
 
-        def answer():
-            block = Rows(np.array(ids, np.int64), held, params.scale)
-            ids.clear()
-            held.clear()
+        def answer(block: Rows) -> pa.RecordBatch:
             found: dict[int, list] = {}
             for seg in segments:
                 for q, d, sc in best(block, seg, params.k):
                     found.setdefault(q, []).append((-sc, d))
-            rows = [(q, d, -sc) for q, x in found.items() for sc, d in sorted(x)[: params.k]]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=schema.names)
+            out = [(q, d, -sc) for q, x in found.items() for sc, d in sorted(x)[: params.k]]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=schema.names)
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            vectors_ = batch.column(4)
-            flat, ends = vectors_.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(vectors_.offsets.to_numpy()))
-            for i, (gg, ss, kind, vid) in enumerate(zip(*cols)):
-                new = (gg, ss) != key
-                if new or (kind == 1) != asking:
-                    if asking and ids:
-                        yield answer()
-                    elif not asking:
-                        segment()
-                    if new:
-                        ids.clear()
-                        held.clear()
-                        segments, key = [], (gg, ss)
-                    asking, last = kind == 1, None
-                if last == vid:  # rows that share an id: the first
-                    continue
-                last = vid
-                ids.append(int(vid))
-                held.append(flat[(ends[i - 1] if i else 0) : ends[i]])
-                if not asking and len(ids) >= SEGMENT:
-                    segment()
-                elif asking and len(ids) >= BLOCK:
-                    yield answer()
-        if asking and ids:
-            yield answer()
+            lists = batch.column(2)
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            members = lists.flatten()
+            all_ids, all_vectors = members.field("id").to_numpy(zero_copy_only=False), _vectors(members.field("v"))
+            for i, (g, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if g != group:
+                    close()
+                    group = g
+                    segments.clear()
+                if b < 0:
+                    ids.append(int(all_ids[at[i]]))
+                    held.append(all_vectors[at[i]])
+                    if len(ids) >= SEGMENT:
+                        close()
+                else:
+                    close()
+                    yield answer(Rows(all_ids[at[i] : at[i + 1]], all_vectors[at[i] : at[i + 1]], params.scale))
 
     found = met.mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

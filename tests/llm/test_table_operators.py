@@ -1,9 +1,11 @@
 """The operators that look at rows together: near duplicates, lines, decontamination, top-k, packing, the pipeline."""
 
 import itertools
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -229,11 +231,11 @@ def test_classify():
 
 
 def brute_top(vectors, k=20):
-    q = {i: np.floor(64 * np.asarray(v, np.float64)).astype(np.int64) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    q = {i: [math.floor(64 * Fraction(x)) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = []
     for i in sorted(q):
         if i % 20 == 0:
-            scored = sorted((-sum(int(a) * int(b) for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:k]
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q[i], q[j])))), j) for j in q if j != i)[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
     return out
 
@@ -246,7 +248,7 @@ def test_top_k_against_brute_force(spark, sf):
 def test_top_k_odd_rows(spark):
     rng = random.Random(1)
     vectors = [(i, [float(rng.randrange(-2, 3)) if rng.random() < 0.5 else 0.0 for _ in range(4)]) for i in range(100)]
-    vectors += [(100, None), (101, [1.0, None, 0.0, 0.0]), (102, [float("nan")] * 4), (103, [float("inf")] * 4), (None, [9.0] * 4), (120, []), (121, [1.5, 2.5]), (140, [1e15, 0.0, 0.0, 0.0])]
+    vectors += [(100, None), (101, [1.0, None, 0.0, 0.0]), (102, [float("nan")] * 4), (103, [float("inf")] * 4), (None, [9.0] * 4), (120, []), (121, [1.5, 2.5]), (140, [1e15, 0.0, 0.0, 0.0]), (160, [1e308, -1e308, 0.5, 0.0]), (161, [-1e308, 0.0, 0.0, 1.0])]
     table = spark.createDataFrame([(*v, 1) for v in vectors] + [(20, vectors[20][1], 1)], "vec_id long, embedding array<double>, score int")
     found = topk.search(table, lambda v: v % 20 == 0, topk.Params(per_group=40))
     assert sorted(rows_of(found)) == brute_top(vectors)
@@ -256,13 +258,30 @@ def test_top_k_odd_rows(spark):
 
 
 def test_rare_and_common_terms(spark):
-    """Terms that few rows have are scattered, the others accumulated together."""
     rng = random.Random(7)
     vectors = [(i, [float(rng.randrange(-3, 4)) if rng.random() < (0.9 if t < 3 else 0.05) else 0.0 for t in range(40)]) for i in range(300)]
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     assert sorted(rows_of(topk.search(table, lambda v: v % 20 == 0))) == brute_top(vectors)
-    block = topk.Rows(np.arange(300), [np.array(v) for _, v in vectors], 64)
-    assert set(block.common_terms()) == {0, 1, 2}
+
+
+def test_every_score_comes_from_postings():
+    """Terms are added one by one, common ones too: without a term's postings its part of all scores is missing."""
+    import ast
+    import inspect
+
+    tree = ast.parse(inspect.getsource(topk))
+    assert not any(isinstance(x, ast.BinOp) and isinstance(x.op, ast.MatMult) for x in ast.walk(tree))
+    assert not {x.attr for x in ast.walk(tree) if isinstance(x, ast.Attribute)} & {"dot", "matmul", "einsum", "inner", "tensordot"}
+    rng = np.random.default_rng(2)
+    vectors = [rng.integers(-3, 4, 6).astype(float) for _ in range(50)]
+    docs, asked = topk.Rows(np.arange(50), vectors, 1), topk.Rows(np.arange(9), vectors[:9], 1)
+    whole = np.array([[sum(a * b for a, b in zip(q, d)) for d in vectors] for q in vectors[:9]])
+    assert (topk.scores(asked, docs) == whole).all()
+    for t in range(6):
+        docs = topk.Rows(np.arange(50), vectors, 1)
+        del docs.postings[t]
+        part = np.array([[sum(a * b for j, (a, b) in enumerate(zip(q, d)) if j != t) for d in vectors] for q in vectors[:9]])
+        assert (topk.scores(asked, docs) == part).all()
 
 
 def test_hot_keys_are_split(spark):
