@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
-Texts become sequences of canonical words: numbers, names and units turn into
-typed placeholders, everything else into its lower-case letters. Windows of
+Texts become sequences of canonical words: numbers, names (runs of capitalised
+words) and units (after a number) turn into typed placeholders, everything else
+into its lower-case letters. Windows of
 canonical words are hashed; windows of documents are joined with windows of
 benchmark items. Matches of one document and item that lie on one diagonal,
 or on neighbouring ones (words were put in or left out), are one alignment.
@@ -24,15 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import arrow_map, cut
+from gridloom.llm.common import arrow_map, cut, join_hot
 
-#: Fixed values.
+#: Units of measure, which are units right after a number alone.
 UNITS = """% mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards g kg mg lb lbs oz gram grams kilogram kilograms
 pound pounds ounce ounces ton tons ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks
 month months year years mph kmh hz khz mhz ghz w kw mw v kv a kwh j kj cal kcal usd eur gbp dollar dollars cent cents euro euros $ € £ kb mb gb tb °c °f""".split()
-NAMES = """Alice Bob Carol David Emma Frank Grace Henry Jack James Jane John Kate Lisa Lucy Maria Mary Mike Nancy Olivia Paul Peter Rachel Sam Sarah Tom Anna
-Ben Tim Amy""".split()
-
 NUMBER_UNIT = re.compile(r"([$€£]?)([+-]?\d+(?:[.,:/]\d+)*)([^\W\d]{0,4}|%|°[cCfF])")
 WORD, NUM, NAME, UNIT = 0, 1, 2, 3
 #: Words of the exact comparison: characters of scripts without spaces one by one, numbers, other words, signs of arithmetic and units.
@@ -69,32 +67,62 @@ class Params:
         return min(self.least_plain, (size + 1) // 2)
 
 
-def classify(token: str) -> tuple[str, int, str]:
-    """(canonical word, kind, value) of a token inside a sentence."""
+def core_of(token: str) -> str:
+    """The token without the punctuation round it."""
     if token.isalpha():
-        core = token
-    elif token[:-1].isalpha() and token[-1] in ".,;:!?":
-        core = token[:-1]
-    else:
-        core = EDGE.sub("", token)
+        return token
+    return token[:-1] if token[:-1].isalpha() and token[-1] in ".,;:!?" else EDGE.sub("", token)
+
+
+def classify(token: str, after_number: bool = False) -> tuple[str, int, str]:
+    """(canonical word, kind, value) of a token, by its shape. Capitalised words are names wherever they stand, so
+    the first word of a sentence is one; its value then has to be consistent like that of any other name."""
+    core = core_of(token)
     if not core:
         return "", WORD, ""
-    if core.islower() and core.isalpha():
-        return ("<unit>", UNIT, core) if core in _UNITS else (core, WORD, "")
-    m = NUMBER_UNIT.fullmatch(core)
+    low = core.lower()
+    if after_number and low in _UNITS:
+        return "<unit>", UNIT, low
+    m = None if core.isalpha() else NUMBER_UNIT.fullmatch(core)
     if m:
         return "<num>", NUM, f"{m[1]}{m[2]}{m[3].lower()}"
-    if core.lower() in _UNITS:
-        return "<unit>", UNIT, core.lower()
-    if core in _NAMES or (core[:1].isupper() and core[1:].islower() and core.isalpha()):
+    if core[:1].isupper() and core[1:].islower() and core.isalpha():
         return "<name>", NAME, core
-    return core.lower(), WORD, ""
+    return low, WORD, ""
 
 
-_UNITS, _NAMES = frozenset(UNITS), frozenset(NAMES)
+_UNITS = frozenset(UNITS)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _digest(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) | 1
+
+
+UNIT_HASH = np.uint64(_digest("<unit>"))
+
+
+@dataclass
+class Text:
+    """The canonical words of a text: hashes, kinds, and the the tokens of word i, tokens[at[i]:at[i + 1]]."""
+
+    h: np.ndarray
+    k: np.ndarray
+    at: np.ndarray
+    tokens: list[str]
+    codes: np.ndarray
+
+    def value(self, i: int) -> str:
+        """Kind and value of the slot at word i."""
+        kind, tokens = int(self.k[i]), self.tokens[self.at[i] : self.at[i + 1]]
+        said = " ".join(filter(None, map(core_of, tokens))) if kind == NAME else classify(tokens[0], kind == UNIT)[2]
+        return f"{kind}={said}"
+
+    def slots(self, at: int, size: int) -> list[str]:
+        """The slots of a window, in order."""
+        return [self.value(i) for i in range(at, at + size) if self.k[i] != WORD]
+
+
 class Canon:
     """Canonical words of tokens, numbered as they come; at most ``most`` tokens are remembered."""
 
@@ -102,78 +130,61 @@ class Canon:
         self.exactly = exactly
         # by code: the exact word's hash (0: none), whether the token holds several
         self.whole, self.several = np.zeros(most if exactly else 0, np.uint64), np.zeros(most if exactly else 0, bool)
-        self.last: tuple[Canon, np.ndarray, list[str]] = (self, np.zeros(0, np.int64), [])
         self.codes: dict[str, int] = {}
         self.most = most
-        # by code: hash and kind inside a sentence, hash and kind at its start, whether the token ends a sentence
-        self.mid, self.start = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
-        self.kind, self.first = np.zeros(most, np.int8), np.zeros(most, np.int8)
-        self.ends = np.zeros(most, bool)
+        # by code: hash and kind (-1: no word), whether it is a unit after a number, whether a phrase goes on after it
+        self.hash, self.kind = np.zeros(most, np.uint64), np.zeros(most, np.int8)
+        self.unit, self.open = np.zeros(most, bool), np.zeros(most, bool)
 
     def add(self, token: str) -> int:
         code = len(self.codes)
-        self.mid[code], self.kind[code], self.start[code], self.first[code], self.ends[code] = looked_up(token)
+        word, kind, _ = classify(token)
+        self.hash[code], self.kind[code] = (_digest(word), kind) if word else (0, -1)
+        self.unit[code] = classify(token, True)[1] == UNIT
+        self.open[code] = token[-1].isalnum()
         if self.exactly:
             found = exact_words(token)
             self.whole[code], self.several[code] = found[0] if found else 0, len(found) > 1
         self.codes[token] = code
         return code
 
-    def exact(self) -> np.ndarray:
-        """Hashes of the exact words of the text that ``of`` was asked for last."""
-        held, codes, tokens = self.last
-        if not held.several[codes].any():
-            out = held.whole[codes]
-            return out[out != 0]
-        return np.array([x for t in tokens for x in exact_words(t)], np.uint64)
-
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Hashes, kinds (-1 where a token holds no word) and tokens of a text's words."""
-        tokens, opens = [], []
-        for line in (text or "").split("\n"):
-            found = line.split()
-            if found:
-                opens.append(len(tokens))
-                tokens += found
+    def exact(self, text: Text) -> np.ndarray:
+        """Hashes of the exact words of a text."""
+        if not len(self.whole) or len(text.tokens) > self.most or self.several[text.codes].any():
+            return np.array([x for t in text.tokens for x in exact_words(t)], np.uint64)
+        out = self.whole[text.codes]
+        return out[out != 0]
+
+    def of(self, text: str | None) -> Text:
+        tokens = (text or "").split()
         if not tokens:
-            self.last = (self, np.zeros(0, np.int64), [])
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
+            return Text(np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(1, np.int64), [], np.zeros(0, np.int64))
         if len(self.codes) + len(tokens) > self.most:
             self.codes.clear()
         if len(tokens) > self.most:  # one text with more tokens than are remembered
-            held = Canon(len(tokens), self.exactly)
-            found = held.of(text)
-            self.last = held.last
-            return found
+            return Canon(len(tokens), self.exactly).of(text)
         get, add = self.codes.get, self.add
         codes = np.array([c if (c := get(t)) is not None else add(t) for t in tokens], np.int64)
-        self.last = (self, codes, tokens)
-        opening = np.empty(len(tokens), bool)
-        opening[1:] = self.ends[codes[:-1]]
-        opening[opens] = True
-        h = np.where(opening, self.start[codes], self.mid[codes])
-        k = np.where(opening, self.first[codes], self.kind[codes])
-        some = k >= 0
-        if not some.all():
-            at = np.flatnonzero(some)
-            return h[at], k[at], [tokens[i] for i in at]
-        return h, k, tokens
-
-
-def looked_up(token: str) -> tuple[int, int, int, int, bool]:
-    """(hash inside a sentence, kind there, hash at its start, kind there, ends a sentence). A capitalised
-    word at a sentence's start is a plain word, unless it is a known name."""
-    word, kind, _ = classify(token)
-    ends = token[-1] in ".!?:" or token.rstrip("\"')]»”")[-1:] in (".", "!", "?", ":")
-    if not word:
-        return 0, -1, 0, -1, ends
-    inside = xxhash.xxh3_64_intdigest(word) | 1
-    if kind != NAME:
-        return inside, kind, inside, kind, ends
-    own = EDGE.sub("", token)
-    if own in _NAMES:
-        return inside, kind, inside, kind, ends
-    return inside, kind, xxhash.xxh3_64_intdigest(own.lower()) | 1, WORD, ends
+        k = self.kind[codes]
+        at = np.flatnonzero(k >= 0)
+        mine, k = codes[at], k[at]
+        h, go = self.hash[mine], self.open[mine[:-1]]
+        unit = self.unit[mine[1:]] & (k[:-1] == NUM) & ~self._ends(tokens, at, k)
+        if unit.any():
+            spot = np.flatnonzero(unit) + 1
+            h[spot], k[spot] = UNIT_HASH, UNIT
+        run = np.flatnonzero((k[1:] == NAME) & (k[:-1] == NAME) & go) + 1  # the later words of a name
+        if len(run):
+            h, k, at = (np.delete(x, run) for x in (h, k, at))
+        return Text(h, k, np.append(at, len(tokens)), tokens, codes)
+
+    @staticmethod
+    def _ends(tokens: list[str], at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Which of the numbers (but the last word) end a sentence."""
+        out = np.zeros(max(0, len(at) - 1), bool)
+        for i in np.flatnonzero(k[:-1] == NUM).tolist():
+            out[i] = tokens[at[i]][-1] in ".!?:;,"
+        return out
 
 
 def windows(h: np.ndarray, k: np.ndarray, size: int, least_plain: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,11 +219,6 @@ def exact_windows(e: np.ndarray, size: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def _values(tokens: list[str], kinds: np.ndarray, at: int, size: int) -> list[str]:
-    """kind and value of each slot in a window, in order."""
-    return [f"{kinds[i]}={classify(tokens[i])[2]}" for i in range(at, at + size) if kinds[i] != WORD]
-
-
 WINDOW = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("short", T.BooleanType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("slots", T.ArrayType(T.StringType()))])
 
 
@@ -230,44 +236,45 @@ def _windows_of(table: DataFrame, sizes: tuple[int, ...], p: Params, only: bytes
             spot = w & np.uint64((1 << p.map_bits) - 1)
             return ((bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
-        def of_document(h, k, tokens):
+        def of_document(text):
+            said = canon.of(text)
             for size in sizes:
                 if size > 0:
-                    w, ok = windows(h, k, size, p.plain_of(size))
+                    w, ok = windows(said.h, said.k, size, p.plain_of(size))
                     for i in np.flatnonzero(ok & known(w)).tolist():
-                        yield 0, 0, False, size, i, w[i], _values(tokens, k, i, size)
-            e = canon.exact() if lengths else None
+                        yield 0, 0, False, size, i, w[i], said.slots(i, size)
+            e = canon.exact(said) if lengths else None
             for size in lengths:
                 w = exact_windows(e, size)
                 at = np.flatnonzero(known(w))
                 for i in at[np.unique(w[at], return_index=True)[1]].tolist():  # once is enough
                     yield 0, 0, False, -size, i, w[i], []
 
-        def of_item(h, k, tokens):
-            n, found = len(h), False
+        def of_item(text):
+            said = canon.of(text)
+            n, found, views, e = len(said.h), False, [said], canon.exact(said)
+            if n and said.k[0] == NAME:  # a document may quote the item inside a sentence
+                first = said.tokens[0]
+                views.append(canon.of(" ".join([first.lower(), *said.tokens[1 : 2 * p.window + 1]])))
             for short, size in ((False, p.window if n >= p.window else n if n >= p.least_words else 0), (True, p.short_size(n))):
                 if not size:
                     continue
-                views, out, total = [(h, k)], [], 0
-                inside = looked_up(tokens[0])
-                if inside[0] != h[0]:  # a document may quote the item inside a sentence
-                    views.append(tuple(np.concatenate([np.array([x], y.dtype), y[1:size]]) for x, y in ((inside[0], h), (inside[1], k))))
-                for vh, vk in views:
-                    w, ok = windows(vh, vk, size, p.plain_of(size) if short else p.least_plain)
-                    hits = np.flatnonzero(ok).tolist()
+                out, total = [], 0
+                for v, view in enumerate(views):
+                    w, ok = windows(view.h, view.k, size, p.plain_of(size) if short else p.least_plain)
+                    hits = [i for i in np.flatnonzero(ok).tolist() if not v or i < 2]  # the other view: windows with the first word
                     total = max(total, len(hits))
-                    out += [(size, i, w[i], _values(tokens, vk, i, size)) for i in hits]
+                    out += [(size, i, w[i], view.slots(i, size)) for i in hits]
                 found = found or bool(out and not short)
                 for x in out:
                     yield total, n, short, *x
-            e = np.zeros(0) if found else canon.exact()
-            if len(e):
+            if len(e) and not found:
                 yield 1, len(e), False, -len(e), 0, exact_windows(e, len(e))[0], []
 
         def step(cols):
             out: list[list] = [[] for _ in WINDOW]
             for ident, text in zip(*cols):
-                for n, words, short, size, i, w, values in (of_item if only is None else of_document)(*canon.of(text)):
+                for n, words, short, size, i, w, values in (of_item if only is None else of_document)(text):
                     for col, v in zip(out, (ident, n, words, short, size, i, int(w.view(np.int64)), values)):
                         col.append(v)
             return out
@@ -294,10 +301,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), id
     bits = np.zeros(1 << (p.map_bits - 5), np.uint32)
     found = words.toPandas()  # as many rows as the map has words, at most
     bits[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
-    there = _windows_of(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL"), sizes, p, bits.tobytes())
+    there = cut(_windows_of(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL"), sizes, p, bits.tobytes()))
     a = there.select(F.col("id").alias("doc_id"), F.col("pos").alias("dp"), "hash", "size", F.col("slots").alias("ds"))
     b = items.select(F.col("id").alias("item_id"), F.col("pos").alias("ip"), F.col("n").alias("item_windows"), "words", "short", "hash", "size", F.col("slots").alias("bs"))
-    met = a.join(b, ["hash", "size"]).where(F.size("ds") == F.size("bs"))
+    met = join_hot(a, b, ["hash", "size"]).where(F.size("ds") == F.size("bs"))
     pair = ["doc_id", "item_id", "short"]
     met = met.select(*pair, (F.col("dp") - F.col("ip")).alias("diagonal"), "ip", "item_windows", "words", "size", (F.col("bs") == F.col("ds")).alias("own"), F.zip_with("bs", "ds", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("pairs"))
     met = cut(met)

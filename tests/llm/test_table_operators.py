@@ -224,7 +224,65 @@ def test_passages_against_plain_search(spark):
 
 
 def test_classify():
-    assert [decontam.classify(x)[:2] for x in ("12,5", "km.", "Alice,", "Paris", "NASA", "(3.5kg)", "--", "word!")] == [("<num>", 1), ("<unit>", 3), ("<name>", 2), ("<name>", 2), ("nasa", 0), ("<num>", 1), ("", 0), ("word", 0)]
+    assert [decontam.classify(x)[:2] for x in ("12,5", "km.", "Alice,", "Paris", "NASA", "(3.5kg)", "--", "word!", "in", "a")] == [("<num>", 1), ("km", 0), ("<name>", 2), ("<name>", 2), ("nasa", 0), ("<num>", 1), ("", 0), ("word", 0), ("in", 0), ("a", 0)]
+    assert [decontam.classify(x, True)[:2] for x in ("km.", "in", "apples", "%")] == [("<unit>", 3), ("<unit>", 3), ("apples", 0), ("<unit>", 3)]
+
+
+def test_canonical_words():
+    said = decontam.Canon().of("In Paris, Anna Maria Smith paid 5 m for 3. In a box - 7 % of it, Tom says")
+    words = ["<name>", "<name>", "paid", "<num>", "<unit>", "for", "<num>", "<name>", "a", "box", "<num>", "<unit>", "of", "it", "<name>", "says"]
+    assert said.h.tolist() == [decontam._digest(w) for w in words]
+    assert [said.value(i) for i in np.flatnonzero(said.k)] == ["2=In Paris", "2=Anna Maria Smith", "1=5", "3=m", "1=3", "2=In", "1=7", "3=%", "2=Tom"]
+
+
+PEOPLE = "Alice Bob Carol Dilan Esra Farid Gwen Hyun Ines Jamal Katya Liam".split()
+FRAMES = [
+    "{p} drives {a} {u} on Monday and {b} {u} on Tuesday. How far does {p} drive on both days together?",
+    "A shop sells {a} red pens and {b} blue pens. {p} buys {c} of them. How many pens are left in the shop?",
+    "If {p} reads {a} pages an hour, how many pages will {p} have read after {b} hours of steady reading?",
+    "{p} {q} and {r} share {a} sweets equally among friends. What is the number of sweets that each friend gets?",
+    "The tank holds {a} {u} of water and loses {b} {u} through a leak, says {p}. What remains inside the tank?",
+    "What is {a} plus {b} times {c} minus one, if the brackets are left out of the sum entirely?",
+]
+
+
+def fill(frame, rng):
+    p, q, r = rng.sample(PEOPLE, 3)
+    a, b, c = (str(x) for x in rng.sample(range(2, 900), 3))
+    return frame.format(p=p, q=q, r=r, a=a, b=b, c=c, u=rng.choice(["km", "miles", "liters", "gallons"]))
+
+
+def brute_contaminated(docs, items, p=decontam.Params()):
+    """Pairs whose windows, canonical word by canonical word, cover enough of the item on one diagonal with one value
+    for each value of the item: plain loops over the longer windows and single diagonals."""
+    canon, found = decontam.Canon(), set()
+    for i, x in items:
+        item = canon.of(x)
+        starts = [s for s in range(len(item.h) - p.window + 1) if (item.k[s : s + p.window] == 0).sum() >= p.least_plain]
+        for d, t in docs:
+            doc = canon.of(t)
+            for shift in range(-len(item.h), len(doc.h)):
+                hits = [s for s in starts if 0 <= s + shift <= len(doc.h) - p.window and (item.h[s : s + p.window] == doc.h[s + shift : s + shift + p.window]).all()]
+                pairs = {(item.value(j), doc.value(j + shift)) for s in hits for j in range(s, s + p.window) if item.k[j]}
+                if starts and len(hits) >= p.cover * len(starts) and len(dict(pairs)) == len(pairs):
+                    found.add((d, i))
+    return found
+
+
+def test_reparameterised_items_are_found(spark):
+    """Recall on items with other numbers, names and units: 1; and all that plain loops over the windows find."""
+    rng = random.Random(11)
+    items = [(n, fill(f, rng)) for n, f in enumerate(FRAMES)]
+    docs, want = [], set()
+    for n, frame in enumerate(FRAMES):
+        for m in range(10):
+            docs.append((100 * n + m, "Some words before it. " + fill(frame, rng) + " And some after that."))
+            want.add((100 * n + m, n))
+    docs += [(900 + m, " ".join(rng.choice("red blue tank shop reads drives on and the of water".split()) for _ in range(60))) for m in range(10)]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in got}
+    assert got == want and brute_contaminated(docs, items) <= got
+    assert len(brute_contaminated(docs, items)) >= 0.9 * len(want)
 
 
 # top-k
