@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import arrow_map, cut, join_counted
+from gridloom.llm.common import arrow_map, cut, join_counted, join_hot
 
 MANTISSA = 10
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -40,8 +40,10 @@ MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 @dataclass(frozen=True)
 class Params:
     """Link when percent * union <= 100 * intersection. ``registers`` is a power of two; a band has
-    ``rows`` registers. With 128 and 4 a pair just at 0.8 shares no band once in 20 million.
-    ``margin``: standard errors below the threshold at which an estimate rules a pair out."""
+    ``rows`` registers. With 128 and 4 a pair just at 0.8 shares no band once in 20 million
+    (sets of 4 and 5 elements: once in a million). ``margin``: standard errors below the threshold at
+    which an estimate rules a pair out. Components take about as many rounds as their diameter has digits in
+    base two; if they have not settled after ``last_rounds``, that is an error, not a result."""
 
     shingle: int = 5
     percent: int = 80
@@ -177,9 +179,9 @@ def _rarest(classes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
         return step
 
-    held = arrow_map(texts.join(classes.select(F.col("rep").alias("id")), "id").select("id", "text"), schema, rows)
-    often = held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = held.join(often, "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("list"))
+    held = cut(arrow_map(texts.join(classes.select(F.col("rep").alias("id")), "id").select("id", "text"), schema, rows))
+    often = cut(held.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    shared = join_counted(held, often, ["h"], "c", held.count()).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("list"))
     own = F.col("n") - F.size("list")
     length = F.greatest(F.lit(0), F.floor((F.col("n") * (100 - p.percent)) / 100).cast("int") + 1 - own.cast("int"))
     return shared.select("rep", "n", own.alias("own"), F.transform(F.slice("list", F.lit(1), length), lambda x: x["h"]).alias("rare"))
@@ -247,10 +249,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not unsettled(e):
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("c")))
+        large = join_counted(both, least, ["u"], "c", 2 * e.count())
+        large = cut(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")))
+        joined = join_counted(large, least, ["u"], "c", large.count())
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = cut(small)
     else:
@@ -304,17 +307,21 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
         return cut(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), p.last_rounds))
 
     def mixed(table: DataFrame, key: str, found: DataFrame) -> DataFrame:
-        near = table.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-        near = cut(near)
+        """The rows of keys that hold several components, with comp and w, how many nodes the component has."""
+        sizes = cut(found.groupBy("component").agg(F.count(F.lit(1)).alias("w")))
+        weighed = join_counted(found, sizes, ["component"], "w", found.count())
+        near = table.join(weighed, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).withColumn("w", F.coalesce("w", F.lit(1)))
+        near = cut(near.drop("node", "component"))
         keys = near.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select(key, "c")
         return join_counted(near, cut(keys), [key], "c", near.count()).drop("c")
 
     others = crossing(likely.select("a", "b").join(chosen, ["a", "b"], "left_anti"), found)
     near = cut(mixed(met.select("key", "rep"), "key", found))
     rare = cut(_rarest(near.select("rep").distinct(), texts, p))
-    near = near.join(rare.select("rep", "n", "own"), "rep")
-    fewest = near.groupBy("key").agg(F.min(F.struct("own", "rep", "n", "comp")).alias("c")).select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("n_a"), F.col("c.own").alias("own_a"), F.col("c.comp").alias("comp_a"))
-    star = near.withColumnsRenamed({"n": "n_b", "own": "own_b"}).join(fewest, "key").where((F.col("comp") != F.col("comp_a")) & _size_fits("n_a", "n_b", p))
+    near = cut(near.join(rare.select("rep", "n", "own"), "rep"))
+    fewest = near.groupBy("key").agg(F.min(F.struct("own", "rep", "n", "comp")).alias("c"), F.count(F.lit(1)).alias("size"))
+    fewest = cut(fewest.select("key", "size", F.col("c.rep").alias("a"), F.col("c.n").alias("n_a"), F.col("c.own").alias("own_a"), F.col("c.comp").alias("comp_a")))
+    star = join_counted(near.withColumnsRenamed({"n": "n_b", "own": "own_b"}), fewest, ["key"], "size", near.count()).where((F.col("comp") != F.col("comp_a")) & _size_fits("n_a", "n_b", p))
     star = star.where(_overlap_fits(F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")), p))
     star = _estimated(star.select("a", F.col("rep").alias("b")).distinct(), kept, p).select("a", "b").join(likely.select("a", "b"), ["a", "b"], "left_anti")
     tried = cut(others.union(star))
@@ -322,15 +329,18 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
 
     # round 3: all that could still join two components
     near = rare.select("rep", "n", "own", F.posexplode("rare").alias("pos", "h")).select("rep", "n", "h", (F.col("n") - F.col("own") - F.col("pos")).alias("left"))
-    near = mixed(near, "h", found)
-    weight = found.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("w"))
-    near = cut(near.join(weight, "comp", "left").withColumn("w", F.coalesce("w", F.lit(1))))
-    a = near.select("h", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "left", "comp", "w")))
+    near = cut(mixed(near, "h", found))
+    # of each element: its heaviest component, whose sets need not be compared with each other, and its smallest set
+    most = near.groupBy("h").agg(F.max(F.struct("w", "comp")).alias("top"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
+    most = cut(most.select("h", F.col("top.comp").alias("top"), "least", "size"))
+    # what even the smallest admissible partner would not link goes before the join
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * p.percent / 100))
+    near = join_counted(near, most, ["h"], "size", near.count()).where(F.col("left") * (100 + p.percent) >= (F.col("n") + partner) * p.percent)
+    near = cut(near.drop("least", "size"))
+    a = near.where("comp <> top").select("h", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "left", "comp", "w")))
     b = near.select("h", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "left", "comp", "w")))
-    most = near.groupBy("h").agg(F.max(F.struct("w", "comp")).alias("top")).select("h", F.col("top.comp").alias("top"))
-    minor = a.join(most, "h").where("comp_a <> top").drop("top")
     lighter = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("comp_a") < F.col("comp_b")))
-    rest = minor.join(b, (minor["h"] == b["h"]) & lighter & _size_fits("n_a", "n_b", p) & _overlap_fits(F.least("left_a", "left_b"), p))
+    rest = join_hot(a, b, ["h"]).where(lighter & _size_fits("n_a", "n_b", p) & _overlap_fits(F.least("left_a", "left_b"), p))
     rest = _estimated(rest.select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")).distinct(), kept, p).select("a", "b")
     rest = cut(rest.join(likely.select("a", "b").union(tried), ["a", "b"], "left_anti"))
     found = joined(found, cut(_verified(rest, texts, p)))

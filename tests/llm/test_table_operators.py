@@ -116,6 +116,34 @@ def test_estimates_follow_the_similarity():
         assert abs(np.mean(found) - j) < 0.02
 
 
+def test_small_sets_at_the_threshold_share_a_band():
+    """4 of 5 elements in common: a similarity of exactly 0.8, and few registers in use."""
+    rng = np.random.default_rng(4)
+    p = neardup.Params(shingle=4)
+    for _ in range(4000):
+        whole = np.unique(rng.integers(0, 2**64, 5, np.uint64))
+        part = np.delete(whole, rng.integers(0, len(whole)))
+        a, b = (neardup.registers(x, p.registers) for x in (whole, part))
+        assert set(neardup.band_keys(a, p.rows)) & set(neardup.band_keys(b, p.rows))
+        assert neardup.may_link(a[None], b[None], p)[1][0]
+
+
+def test_an_element_of_very_many_components(spark):
+    """Texts that share most of their words with all others but link with their own group alone, one key for all of
+    them: the rows of that key are dealt out, and no link is lost."""
+    shared = " ".join(f"s{i}" for i in range(75))
+    docs = []
+    for g in range(60):
+        own = [f"g{g}x{i}" for i in range(25)]
+        for m in range(3):
+            docs.append((g * 10 + m, " ".join([shared, *own, *([f"m{g}{m}"] * m)])))
+    # chains: neighbours link, those further apart do not
+    words = [f"c{i}" for i in range(120)]
+    docs += [(5000 + i, " ".join(words[4 * i : 4 * i + 60])) for i in range(15)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    check_near(docs, neardup.near_duplicates(table, neardup.Params(shingle=4)).collect(), 4)
+
+
 def test_components_of_a_long_chain(spark):
     ids = list(range(60))
     random.Random(3).shuffle(ids)
@@ -352,6 +380,19 @@ def test_hot_keys_are_split(spark):
     assert sorted(rows_of(got)) == sorted(rows_of(rows.join(table, "k")))
 
 
+@pytest.mark.parametrize("left, right", [(1, 1), (1, 2), (3000, 1), (1, 3000)])
+def test_hot_keys_of_either_side_are_dealt_out(spark, left, right):
+    from gridloom.llm.common import hot_keys, join_hot
+
+    a = spark.createDataFrame([(left, n) for n in range(1500)] + [(k, k) for k in range(2, 102)], "k int, v int")
+    b = spark.createDataFrame([(right, n) for n in range(1200)] + [(k, k) for k in range(2, 102)], "k int, x int")
+    assert len(hot_keys(a, ["k"])) == 1
+    got = join_hot(a, b, ["k"], salts=3)
+    assert got.columns == ["k", "v", "x"]
+    sums = lambda df: df.agg(F.count("*"), F.sum("v"), F.sum("x"), F.sum(F.xxhash64("k", "v", "x") % 1000)).first()
+    assert sums(got) == sums(a.join(b, "k"))
+
+
 # packing
 
 
