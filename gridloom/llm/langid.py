@@ -29,11 +29,13 @@ class Params:
     """``per_lang_docs`` bounds the labelled sample the model is fitted on (chosen
     by a hash of the id). ``word_share`` and ``gram_share`` bound the model: an
     entry must hold that share of its language's words or n-grams, so a table
-    has at most 1 / share entries a language and order."""
+    has at most 1 / share entries a language and order. ``least_count``: what the sample holds less often is
+    chance, whatever its share; 1 keeps all."""
 
     per_lang_docs: int = 2000
     word_share: float = 2e-5
     gram_share: float = 1e-4
+    least_count: int = 2
     smoothing: float = 0.5
     backoff: float = 0.6
     evidence_words: int = 20
@@ -95,7 +97,7 @@ def fit(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text
     counts = arrow_map(sample, out, counter).groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total"))
     needed = F.when(F.col("n") == 0, params.word_share).otherwise(params.gram_share) * F.col("total")
-    kept = counts.join(F.broadcast(totals), ["lang", "n"]).where((F.col("c") >= needed) & (F.col("c") >= 2))
+    kept = counts.join(F.broadcast(totals), ["lang", "n"]).where((F.col("c") >= needed) & (F.col("c") >= params.least_count))
     rows = kept.collect()  # bounded by the shares: Params
     langs = sorted(sizes)
     at = {x: i for i, x in enumerate(langs)}
