@@ -2,9 +2,10 @@
 
 Dictionaries are made from good and from bad labelled texts, in two views: the
 text's bytes, and its shape (letters, capitals and digits each folded to one
-byte). The normalised difference of the two compressed sizes in each view,
-with the sizes they are normalised by, goes through a logistic calibration
-fitted on labelled texts that no dictionary holds.
+byte). The difference of the two compressed sizes in each view, normalised by
+the sizes, by the text's length and by its root, goes through a logistic
+calibration fitted on labelled texts that no dictionary holds. Nothing else
+about a text is used.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ SHAPE = bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c > 127 else 48 if
 @dataclass(frozen=True)
 class Params:
     """The labelled sample: at most about ``per_label`` texts of each label, chosen by a hash
-    of the id, none over ``longest_example`` characters. Scored texts are not limited.
+    of the id, none over ``longest_example`` characters, so the driver holds at most twice their product.
+    Scored texts are not limited.
     A shape dictionary of ``shape_dict_bytes`` takes texts in the order of a hash of the id until it is full,
     of each at most ``shape_example_bytes``, in ``shape_pieces`` pieces spread over the text."""
 
     per_label: int = 3000
-    longest_example: int = 100_000
+    longest_example: int = 20_000
     text_dict_bytes: int = 112_640
     shape_dict_bytes: int = 131_072
     shape_example_bytes: int = 2000
@@ -77,7 +79,6 @@ class Sizer:
     def __init__(self, text: tuple[bytes, bytes], shape: tuple[bytes, bytes], level: int):
         self.text = [self._with(d, zstandard.DICT_TYPE_FULLDICT, level) for d in text]
         self.shape = [self._with(d, zstandard.DICT_TYPE_RAWCONTENT, level) for d in shape]
-        self.plain = zstandard.ZstdCompressor(level=1, write_content_size=False)
 
     @staticmethod
     def _with(content: bytes, kind: int, level: int) -> zstandard.ZstdCompressor:
@@ -89,10 +90,11 @@ class Sizer:
 
     def features(self, text: str | None) -> list[float]:
         raw = (text or "").encode("utf-8", "replace")
-        shape, n = raw.translate(SHAPE), len(raw) + 1
-        good, bad = (len(c.compress(raw)) for c in self.text)
-        good_s, bad_s = (len(c.compress(shape)) for c in self.shape)
-        return [(bad - good) / (bad + good), (bad_s - good_s) / (bad_s + good_s), len(self.plain.compress(raw)) / n, good_s / n, bad_s / n, float(np.log(n)) / 10]
+        n, out = len(raw) + 1, []
+        for view, sizes in ((raw, self.text), (raw.translate(SHAPE), self.shape)):
+            good, bad = (len(c.compress(view)) for c in sizes)
+            out += [(bad - good) / (bad + good), (bad - good) / n, (bad - good) / n**0.5]
+        return out
 
 
 def _design(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
@@ -133,8 +135,9 @@ def fit_rows(rows: list[tuple[str, int]], prior: float, params: Params = Params(
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on a bounded sample of the labelled documents. Labels other than 0 and 1, null ids and
-    null texts teach nothing. Without any label every text scores 0.5."""
+    """Fit on a bounded sample of the labelled documents. Labels other than 0 and 1, null ids, null texts
+    and documents labelled both ways teach nothing; of texts that share an id the smallest counts. Without
+    any label every text scores 0.5."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     sizes = {r[0]: r[1] for r in marked.groupBy("_y").count().collect()}
     spot = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("quality")), F.lit(1_000_000)) / 1_000_000
@@ -142,10 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
     rows: list[tuple[str, int]] = []
     if chosen:
         few = chosen[0] if len(chosen) == 1 else chosen[0].union(chosen[1])
-        few = few.groupBy("_id").agg(F.max("_y").alias("_y"))
+        few = few.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_x")).where("_x = _y").drop("_x")
         texts = docs.where(F.length(text_col) <= params.longest_example).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         # the sample is bounded by per_label, so it can be broadcast
-        rows = [(r["_text"], r["_y"]) for r in sorted(texts.join(F.broadcast(few), "_id").collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_id"])), r["_id"], r["_text"]))]
+        held = texts.join(F.broadcast(few), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).where("_text IS NOT NULL")
+        rows = [(r["_text"], r["_y"]) for r in sorted(held.collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_id"])), r["_id"], r["_text"]))]
     total = sum(sizes.values())
     return fit_rows(rows, min(max(sizes.get(1, 0) / total, 0.01), 0.99) if total else 0.5, params)
 

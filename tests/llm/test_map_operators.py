@@ -1,11 +1,13 @@
 """The operators that answer each row alone: language, quality, HTML, secrets, chat."""
 
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import chat, html, langid, quality, queries, secrets
 
@@ -54,6 +56,54 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
 
 
+def brute_language(rows, p):
+    """lang_pred and score of each text, from counts in plain Python: rows of (text, lang, learnt from)."""
+    counts, total = {}, {}
+    for text, lang, learnt in rows:
+        for w in langid.words_of(text) if learnt and lang and text is not None else []:
+            framed = "^" + w + "$"
+            for n, grams in [(0, [w]), *((n, [framed[i : i + n] for i in range(len(framed) - n + 1)]) for n in range(1, 6))]:
+                for g in grams:
+                    counts[n, g, lang] = counts.get((n, g, lang), 0) + 1
+                    total[n, lang] = total.get((n, lang), 0) + 1
+    langs = sorted({lang for _, lang, learnt in rows if learnt and lang})
+    kept = {k: c for k, c in counts.items() if c >= 2 and c >= (p.word_share if k[0] == 0 else p.gram_share) * total[k[0], k[2]]}
+    known = {n: {g for m, g, _ in kept if m == n} for n in range(6)}
+    had = {n: {x for m, _, x in kept if m == n} for n in range(6)}
+
+    def log(n, g, lang):
+        whole = total[n, lang] if lang in had[n] else 1
+        return math.log((kept.get((n, g, lang), 0) + p.smoothing) / (whole + p.smoothing * (len(known[n]) + 1)))
+
+    out = []
+    for text, _, _ in rows:
+        said = []
+        for w in langid.words_of(text or ""):
+            if w in known[0]:
+                said.append([log(0, w, x) for x in langs])
+                continue
+            for n in (5, 4, 3, 2, 1):
+                hits = [g for g in (f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)) if g in known[n]]
+                if hits:
+                    said.append([sum(log(n, g, x) for g in hits) / len(hits) * p.backoff ** (6 - n) for x in langs])
+                    break
+        if not langid.words_of(text or ""):
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(v[i] for v in said) / len(said) * min(len(said), p.evidence_words) for i in range(len(langs))]
+        share = [math.exp(x - max(mean)) for x in mean]
+        out.append((langs[mean.index(max(mean))], max(share) / sum(share)))
+    return out
+
+
+def test_language_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").collect()
+    want = brute_language([(r["text"], r["lang"], zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0) for r in docs], langid.Params())
+    got = {r["doc_id"]: r for r in queries.op1_language_id(spark, sf).collect()}
+    for r, (lang, score) in zip(docs, want):
+        assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-6)
+
+
 def test_unseen_words_back_off():
     vector = np.log(np.array([0.9, 0.1]))
     model = langid.Model(["a", "b"], {0: {}, 5: {}, 4: {}, 3: {"abc": vector}, 2: {"xy": -vector}, 1: {}})
@@ -76,6 +126,42 @@ def test_quality_held_out_accuracy(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in rows)
 
 
+def test_quality_against_brute_force(spark, sf):
+    """The score of every text from two compressed sizes in two views, in plain Python."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+
+    def size(content, kind, raw):
+        if len(content) < 8:
+            return len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(raw))
+        held = zstandard.ZstdCompressionDict(content, dict_type=kind)
+        return len(zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False).compress(raw))
+
+    fold = lambda b: bytes(65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c > 127 else 48 if 48 <= c < 58 else c for c in b)
+    texts = {r["doc_id"]: r["text"] for r in docs.orderBy("doc_id").limit(60).collect()}
+    for r in quality.score(docs, model).where(F.col("doc_id").isin(list(texts))).collect():
+        raw, x = (texts[r["doc_id"]] or "").encode(), []
+        for view, kind, dicts in ((raw, zstandard.DICT_TYPE_FULLDICT, model.text), (fold(raw), zstandard.DICT_TYPE_RAWCONTENT, model.shape)):
+            good, bad = (size(d, kind, view) for d in dicts)
+            x += [(bad - good) / (bad + good), (bad - good) / (len(raw) + 1), (bad - good) / math.sqrt(len(raw) + 1)]
+        z = [(a - m) / s for a, m, s in zip(x, model.mean, model.std)]
+        terms = [1.0, *z, *(z[i] * z[j] for i in range(len(z)) for j in range(i, len(z)))]
+        said = sum(w * max(-10.0, min(10.0, t)) for w, t in zip(model.weights, terms))
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, said))))
+        assert r["score"] == pytest.approx(want, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_documents_labelled_both_ways_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, f"{'good words here' if i % 2 else '!!! ###'} {i} " * 9) for i in range(40)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(40)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    one = quality.fit(docs, frame([x for x in labels if x[0] not in (6, 7)]))
+    both = quality.fit(docs, frame([*labels, (6, 1), (7, 0)]))
+    assert one.shape == both.shape and one.text == both.text
+
+
 def test_quality_odd_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (6, 1, 0), (7, None, 0), (None, 1, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
