@@ -43,7 +43,8 @@ SECTION_NAMES = {"discussion"}
 RUNNING_WORDS, RUNNING_LINKS = 20, 0.3
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(?=[a-zA-Z/!?])(?:"[^"]*"|'[^']*'|[^>"'])*(?:>|\Z)""", re.S)
+#: A comment; a tag whose quotes are closed; a tag with a quote that nothing closes, which ends at the next angle.
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(?=[a-zA-Z/!?])(?:(?:"[^"]*"|'[^']*'|[^>"'])*+(?:>|\Z)|[^>]*+(?:>|\Z))""", re.S)
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"\s+")
@@ -133,15 +134,18 @@ def _place(stack: list[Open], wrappers: set[Open] = frozenset()) -> str:
 
 
 def _wrappers(blocks: list[Block], inner: list[Open | None]) -> set[Open]:
-    """Forms and elements with a comment's name that stand round most of the page's text while no article is
-    outside of them: they say nothing about their text."""
+    """Elements round most of the page's text that say nothing about it, as no article is outside of them: forms,
+    elements with a comment's name, and elements that only a name makes a menu, an aside or a form, if they hold
+    running text in more than one block."""
     total, seen, out = sum(b.words for b in blocks), set(), set()
     for e in inner:
         while e and e not in seen:
             seen.add(e)
             e = e.around
     for e in seen:
-        if e.words * 2 <= total or e.name in MAIN or not (e.name == "form" or e.held[0] in ("comment", "section")):
+        if e.words * 2 <= total or e.name in MAIN or (e.held[1] and e.name != "form" and e.held[0] != "comment"):
+            continue
+        if e.name != "form" and e.held[0] not in ("comment", "section") and sum(_running(b) for b, x in zip(blocks, inner) if e in _line(x)) < 2:
             continue
         around = _line(e)
         if not any(e not in s and _article(b, s, around) for b, s in ((b, _line(x)) for b, x in zip(blocks, inner))):
@@ -154,7 +158,11 @@ def _article(block: Block, stack: list[Open], around: list[Open]) -> bool:
     place = _place(stack)
     if place == "main" and any(e.held == ("main", True) and e not in around for e in stack):
         return True
-    return place in ("main", "plain") and not block.heading and block.words >= RUNNING_WORDS and block.link_density <= RUNNING_LINKS
+    return place in ("main", "plain") and _running(block)
+
+
+def _running(block: Block) -> bool:
+    return not block.heading and block.words >= RUNNING_WORDS and block.link_density <= RUNNING_LINKS
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -251,7 +259,7 @@ def _pop(stack: list, name: str, within: tuple[str, ...] = ()) -> None:
 
 def features(blocks: list[Block]) -> np.ndarray:
     """Words and link density of the previous, own and next block, the place (one column each), heading."""
-    words = np.array([0, *(min(b.words, 200) for b in blocks), 0], float)
+    words = np.array([0, *(b.words for b in blocks), 0], float)
     links = np.array([0, *(b.link_density for b in blocks), 0], float)
     places = np.array([[b.place == p for p in PLACES] for b in blocks], float).reshape(len(blocks), len(PLACES))
     return np.column_stack([words[:-2], words[1:-1], words[2:], links[:-2], links[1:-1], links[2:], places, np.array([b.heading for b in blocks], float)])

@@ -60,3 +60,55 @@ def test_place_and_own_links_decide():
 )
 def test_names_and_wrappers_do_not_take_articles(page, want):
     assert html.main_text(page).split("\n") == want
+
+
+SIXTY = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<article><div title="a hidden gem"><p>{SIXTY}</p></div></article>', SIXTY),
+        (f'<article><div class="md hidden lg:block"><p>{SIXTY}</p></div></article>', SIXTY),
+        (f'<article><div data-id="sidebar" data-hidden="no"><p>{SIXTY}</p></div></article>', SIXTY),
+        (f'<article class="discussion"><p>{SIXTY}</p></article>', SIXTY),
+        (f'<article><p title="x>{SIXTY}</p></article>', SIXTY),
+        (f"<article><p title='x>{SIXTY}</p></article>", SIXTY),
+        (f'<div class="popular science"><p>{SIXTY}</p><p>{SIXTY}</p></div><footer>(c) us</footer>', f"{SIXTY}\n{SIXTY}"),
+        (f'<div id="contact"><p>{SIXTY}</p><div class="ad"><p>{SIXTY}</p></div><p>{SIXTY}</p><p>{SIXTY}</p></div>', f"{SIXTY}\n{SIXTY}\n{SIXTY}"),
+        (f'<div class="notice"><p>{SIXTY}</p><p>{SIXTY}</p></div><article><p>{SIXTY}</p></article>', SIXTY),
+        (f'<div class="cookie-notice"><p>{SIXTY}</p></div>', ""),
+        (f"<aside><p>{SIXTY}</p><p>{SIXTY}</p></aside>", ""),
+    ],
+)
+def test_attributes_and_names_round_all_of_a_text(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>") == want
+
+
+HARMLESS = ["", ' title="a hidden gem"', ' class="md hidden lg:block"', ' data-id="sidebar"', ' data-role="nav" data-class="ad"', ' lang="en" id=x1', " title='say \"comments\" > here'", ' class="related-work-of-art"', ' style="color:red"', ' aria-label="menu"']
+ROUND = [
+    '<nav{a}><a href="/{n}">Link {n}</a> <a href="/x">Other</a></nav>', '<div class="ad"{a}>Buy this thing number {n}, it is the best of all things that you can buy today.</div>',
+    '<aside{a}><p>Something else to read, number {n}, by the same person, who wrote a lot.</p></aside>', '<div class="cookie-notice">We use cookies, {n} of them, and you have to accept all of them now.</div>',
+    '<section id="comments"{a}><h3>Comments</h3><p>I read all {n} of these lines and I agree with most of what they say about it.</p></section>', '<form{a}><label>Name {n}</label><input><button>Send</button></form>',
+    '<script{a}>var t = "<p>{n}</p>";</script>', '<style>p > b {{ margin: {n} }}</style>', '<!-- <p>{n}</p> -->', '<ul class="menu"{a}><li>Home {n}</li><li><a href="/">Away</a></li></ul>',
+]
+
+
+def test_generated_pages(spark):
+    """Articles between random furniture, their elements with attributes that say nothing about them."""
+    import random
+
+    rng = random.Random(8)
+    words = "the river runs past a mill and further on under two bridges to some harbour where ships wait".split()
+    rows, want = [], {}
+    for page in range(300):
+        furniture = lambda: "".join(rng.choice(ROUND).format(n=rng.randrange(100), a=rng.choice(HARMLESS[:1] + HARMLESS[3:5])) for _ in range(rng.randrange(4)))
+        said = [" ".join(rng.choices(words, k=rng.choice([3, 8, 25, 60, 300]))) for _ in range(rng.randrange(1, 6))]
+        inner = "".join(f"<p{rng.choice([a for a in HARMLESS if 'related' not in a])}>{t}</p>" for t in said)
+        if rng.random() < 0.5:
+            inner = f"<div{rng.choice(HARMLESS[:7])}>{inner}</div>"
+        rows.append((page, "u", f"<html><body>{furniture()}<article{rng.choice(HARMLESS)}>{inner}</article>{furniture()}</body></html>"))
+        want[page] = "\n".join(said)
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    wrong = [(rows[k][2][:400], want[k][:100], got[k][:100]) for k in want if got[k] != want[k]]
+    assert not wrong, (len(wrong), wrong[0])
