@@ -3,7 +3,8 @@
 Lines are compared by their words (what single spaces separate, after
 trimming blanks). A line is dropped when an earlier line, by (document id,
 place), is equal or, if both have ``min_words`` words, differs by one word
-added, removed or replaced. Blank lines always stay.
+added, removed or replaced. Blank lines always stay. The bound counts words: a
+word in which one character differs is another word.
 
 The deletion neighbourhood: a line within the bound of another shares with it
 a variant, the line with one word deleted (or the shorter line itself).
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, join_counted
+from gridloom.llm.common import cut, join_counted, join_hot
 
 BLANKS = " \t\r"
 PLACES = 1 << 31
@@ -30,7 +31,9 @@ PLACES = 1 << 31
 
 @dataclass(frozen=True)
 class Params:
-    """Lines of fewer than ``min_words`` words are dropped only for an equal one."""
+    """Lines of fewer than ``min_words`` words are dropped only for an equal one: one word of five is a fifth of
+    the line, and list items, headings and captions that differ in a word are not repetitions. With 1 the bound
+    holds for lines of every length, exactly."""
 
     min_words: int = 6
 
@@ -101,14 +104,15 @@ def _earlier_neighbours(lines: DataFrame) -> DataFrame:
     groups = variants.groupBy("v", "m", "i").agg(F.min("f").alias("e"), F.count(F.lit(1)).alias("c"))
     groups = cut(groups.join(whole, ["v", "m"], "left").where("c > 1 OR whole IS NOT NULL"))
     # neighbours: of a line the earliest with another word i, the line without word i, and of that the longer ones
-    near = variants.join(groups, ["v", "m", "i"]).select("h1", "h2", "f", F.explode(F.array("e", "whole")).alias("e"), F.col("i").alias("gone"))
+    total = hashed.agg(F.sum("n")).first()[0] or 0  # variants
+    near = join_counted(variants, groups, ["v", "m", "i"], "c", total).select("h1", "h2", "f", F.explode(F.array("e", "whole")).alias("e"), F.col("i").alias("gone"))
     longer = groups.where("whole IS NOT NULL").groupBy("v", "m").agg(F.min("e").alias("e"))
     longer = groups.join(longer, ["v", "m", "e"]).groupBy("v", "m", "e").agg(F.min("i").alias("gone"))
     longer = hashed.withColumnRenamed("n", "m").join(longer, ["v", "m"]).select("h1", "h2", "f", "e", "gone")
-    pairs = near.union(longer).where("e < f").distinct()
+    pairs = cut(near.union(longer).where("e < f").distinct())
     mine = lines.select("f", F.col("words").alias("a"))
     other = lines.select(F.col("f").alias("e"), F.col("words").alias("b"))
-    checked = pairs.join(mine, "f").join(other, "e").where(_within_one(F.col("a"), F.col("b"), F.col("gone")))
+    checked = join_hot(pairs, other, ["e"]).join(mine, "f").where(_within_one(F.col("a"), F.col("b"), F.col("gone")))
     return checked.groupBy("h1", "h2").agg(F.min("e").alias("e"))
 
 
@@ -117,24 +121,25 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
 
     Null texts stay null (0 lines); an empty text is one blank line. A null id
     counts as the smallest. Rows that share an id share its places: of lines
-    at one place neither is earlier. Long texts are read whole. Other columns
+    at one place neither is earlier. Ids are whole numbers. Long texts are read whole. Other columns
     pass through, except those named like the counts, which are replaced; an
     empty table gives an empty table.
     """
     keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     lines = cut(_lines(keyed.where("text IS NOT NULL"), p))
     at = _place(F.col("doc"), F.col("pos"))
-    firsts = lines.groupBy("h1", "h2").agg(F.min(at).alias("f"), F.min_by("doc", at).alias("doc"), F.min_by("pos", at).alias("pos"), F.count(F.lit(1)).alias("c"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(at).alias("f"), F.min_by("doc", at).alias("doc"), F.min_by("pos", at).alias("pos"), F.min_by("mark", at).alias("mark"), F.count(F.lit(1)).alias("c"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
     firsts = cut(firsts)
 
-    halves = firsts.select("h1", "f", "doc", "pos", F.explode(F.array(*(f"k{i}" for i in range(4)))).alias("k")).where("k IS NOT NULL")
+    halves = firsts.select("h1", "f", "doc", "mark", "pos", F.explode(F.array(*(f"k{i}" for i in range(4)))).alias("k")).where("k IS NOT NULL")
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    close = halves.join(shared, "k", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("pos", "h1", "f")).alias("spots"))
+    close = halves.join(shared, "k", "left_semi").groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "h1", "f")).alias("spots"))
     line = lambda x: F.btrim(x, F.lit(BLANKS))
     spot = lambda all_: lambda s: F.struct(F.xxhash64(line(F.get(all_, s["pos"]))).alias("own"), s["h1"].alias("h1"), F.hash(line(F.get(all_, s["pos"]))).alias("h2"), s["f"].alias("f"), F.split(line(F.get(all_, s["pos"])), " ", -1).alias("words"))
-    texts = keyed.join(close.withColumnRenamed("doc", "_doc"), keyed["doc"].eqNullSafe(F.col("_doc")))
+    close = close.withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
+    texts = keyed.join(close, (keyed["mark"] == F.col("_mark")) & keyed["doc"].eqNullSafe(F.col("_doc")))
     chosen = texts.select(F.inline(_let(F.split("text", "\n", -1), lambda all_: F.transform("spots", spot(all_)))))
-    # of rows that share an id, those with another line at the place fall here
+    # one of equal rows
     chosen = cut(chosen.where("own = h1").select("h1", "h2", "f", "words").dropDuplicates(["h1", "h2"]))
 
     early = _earlier_neighbours(chosen)

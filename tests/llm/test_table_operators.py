@@ -197,6 +197,30 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(docs)
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_lines_of_every_length(spark, least):
+    rng = random.Random(least)
+    lines = [" ".join(rng.choices("abcdefgh", k=rng.randrange(least, 7))) for _ in range(60)]
+    docs = [(d, "\n".join(rng.choices(lines, k=4))) for d in range(40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = linededup.dedup_lines(table, linededup.Params(min_words=least)).select("doc_id", "n_lines", "n_dropped", "text")
+    assert sorted(rows_of(got)) == brute_lines(docs, least)
+
+
+def test_one_line_with_a_number_in_it(spark):
+    """A key with as many lines as documents: page 1 of the book, page 2 of the book, and so on."""
+    docs = [(d, f"own words of number {d} and {d * 7} and {d * 11} here\nthis is page {d} of the same old book") for d in range(1500)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(table).collect()}
+    assert got[0]["n_dropped"] == 0 and all(got[d]["n_dropped"] == 1 and "page" not in got[d]["text"] for d in range(1, 1500))
+
+
+def test_rows_without_ids_keep_their_own_lines(spark):
+    docs = [(None, f"first line of text {i} x{i} y{i} z{i}\nsecond line") for i in range(30)]
+    got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 30 and {r["text"].split("\n")[0] for r in got} == {t.split("\n")[0] for _, t in docs}
+
+
 def test_lines_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(20_000))
     rows = [(None, "x y", 1), (1, None, 1), (2, "x y\nz", 1), (2, "x y\nz", 1), (3, long, 1), (4, long + " more", 1), (5, "z", 1)]
