@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,27 +20,69 @@ BATCH_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables; small Arrow batches bound the memory of Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """One of the driver's tables. The session's Arrow batches are lowered to BATCH_ROWS if they are larger:
+    they bound the memory of Python workers, and only the session can say so."""
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= BATCH_ROWS:
+        spark.conf.set(most, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is set."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it. Only a session in one process, as in
+    tests, gets a folder of its own where none is set; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: What cut has written: by open scratch blocks, and outside of them until the process ends.
+_written: list[list[str]] = [[]]
+
+
+def remove(path: str) -> None:
+    """Delete a folder through Spark's file systems; without a JVM there is nothing that could."""
+    jvm = SparkContext._jvm
+    if jvm is not None:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        held = SparkContext._active_spark_context
+        settings = held._jsc.hadoopConfiguration() if held and held._jsc else jvm.org.apache.hadoop.conf.Configuration()
+        place.getFileSystem(settings).delete(place, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What cut writes in this block is deleted when the block ends: its results must have been written by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            remove(path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    while _written[0]:
+        try:
+            remove(_written[0].pop())
+        except Exception:  # the JVM has gone
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df into the shared folder and read it again: lineage ends here, executors may go."""
+    """Write df into the shared folder and read it again: lineage ends here, executors may go. The folder is deleted
+    at the end of the innermost scratch block, or of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _written[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

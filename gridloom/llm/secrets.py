@@ -53,12 +53,12 @@ BASE = (
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 EXTRA = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]*:[^\s:/@]+@"),
+    Rule("url_login", r"(?<![a-z0-9+.-])(?=[0-9+.-]*[a-z])[a-z0-9+.-]*+://[^\s:/@]*:[^\s:/@]+@"),
 )
 
 
@@ -87,7 +87,8 @@ def _strings(tokens) -> list[str] | None:
             more = None if any(f is None for f in found) else sorted({s for f in found for s in f})
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[1] <= 4:
             base = _strings(arg[2])
-            more = None if base is None else sorted({"".join(x) for n in range(arg[0], arg[1] + 1) for x in _powers(base, n)})
+            powers = [] if base is None else [_powers(base, n) for n in range(arg[0], arg[1] + 1)]
+            more = None if base is None or None in powers else sorted(set().union(*powers))
         else:
             more = None
         if more is None or len(out) * len(more) > MOST:
@@ -96,10 +97,13 @@ def _strings(tokens) -> list[str] | None:
     return out
 
 
-def _powers(base: list[str], n: int) -> list[tuple[str, ...]]:
-    out: list[tuple[str, ...]] = [()]
+def _powers(base: list[str], n: int) -> set[str] | None:
+    """All strings of n parts, if they are few."""
+    out = {""}
     for _ in range(n):
-        out = [x + (b,) for x in out for b in base][: MOST + 1]
+        out = {x + b for x in out for b in base}
+        if len(out) > MOST:
+            return None
     return out
 
 

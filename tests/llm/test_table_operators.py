@@ -417,6 +417,40 @@ def test_hot_keys_of_either_side_are_dealt_out(spark, left, right):
     assert sums(got) == sums(a.join(b, "k"))
 
 
+def test_what_cut_writes_goes_with_its_block(spark, tmp_path, monkeypatch):
+    from gridloom.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(common, "_written", [[]])
+    with common.scratch():
+        held = common.cut(spark.range(9))
+        assert held.count() == 9 and len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir())
+    common.cut(spark.range(3))
+    assert len(list(tmp_path.iterdir())) == 1
+    common._at_exit()
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from gridloom.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                class sc:
+                    class getCheckpointDir:
+                        isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+
+
 # packing
 
 
