@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, langid, linededup, neardup, packing
-from gridloom.llm.common import crc_remainder, cut, read, shared_dir
+from gridloom.llm.common import crc_remainder, cut, read, remove, scratch, shared_dir
 
 #: Documents whose best language is less likely than this are rejected, as are those without letters.
 LEAST_SCORE = 0.5
@@ -59,14 +59,15 @@ def without(docs: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    """The first document of each near-duplicate group (five-word shingles, similarity 0.8). Rows that share an id
+    are one document: they stay or go together."""
     rows = numbered(docs)
     found = neardup.near_duplicates(rows, neardup.Params(shingle=5, percent=80), id_col="_stage_id")
     return without(rows, found.where(~F.col("kept")), docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; rows that share an id stay or go together."""
     rows = numbered(docs)
     return without(rows, decontam.contaminated(rows, read(spark, sf_dir, "benchmark"), id_col="_stage_id"), docs.columns)
 
@@ -83,9 +84,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages in turn over documents. Each one's files, and what it wrote on the way, go when the next has
+    been written; the last one's stay, as the result reads them."""
+    docs, before = read(spark, sf_dir, "documents"), None
     top = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{i}-{name}")
-        docs = spark.read.parquet(f"{top}/{i}-{name}")
+        here = f"{top}/{i}-{name}"
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            remove(before)
+        before = here
     return docs
