@@ -116,6 +116,21 @@ class Geometry:
     def rotated(self) -> bool:
         return any(abs(a - b) > 1e-12 for x, y in zip(self.axes, IDENTITY) for a, b in zip(x, y))
 
+    @property
+    def upright(self) -> bool:
+        """Whether the blocks over each other share x and y."""
+        return self.axis_w[0] == 0 and self.axis_w[1] == 0
+
+    def column(self, block_id: str | Column = "block_id") -> Column:
+        """The number of the column of blocks (i, j) that a block is in."""
+        return F.call_function("div", col(block_id).cast("long"), F.lit(self.shape[2]).cast("long"))
+
+    def columns(self, spark: SparkSession) -> DataFrame:
+        """_column, x and y of each column of blocks, without any input; the frame has to be upright."""
+        ids = spark.range(self.shape[0] * self.shape[1]).withColumnRenamed("id", "_column")
+        x, y, _ = self.xyz_of(F.col("_column") * F.lit(self.shape[2]).cast("long"))
+        return ids.select("_column", x.alias("x"), y.alias("y"))
+
     def world_point(self, p: Vector) -> Vector:
         return tuple(o + p[0] * u + p[1] * v + p[2] * w for o, u, v, w in zip(self.origin, *self.axes))
 

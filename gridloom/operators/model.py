@@ -260,6 +260,26 @@ class BlockModel:
         df = self.df.withColumn("world_id", WorldId.from_params(g.world_id).encode(*g.xyz_of()))
         return replace(self, df=df.select(*ordered(df.columns)), geometry=g)
 
+    def batches(self, rows: int) -> DataFrame:
+        """df with ``batch``: the run of ``rows`` block ids that a block is in."""
+        return self.df.withColumn("batch", F.call_function("div", F.col("block_id").cast("long"), F.lit(rows).cast("long")))
+
+    def leading(self, rows: int) -> DataFrame:
+        """The first rows by block id."""
+        return self.df.orderBy("block_id").limit(rows)
+
+    def sampled(self, share: float) -> DataFrame:
+        """About that share of the blocks, the same ones whenever and wherever it is asked: by a digest of the id."""
+        if not 0 <= share <= 1:
+            raise ModelError("a share is between 0 and 1")
+        if share == 1:
+            return self.df
+        return self.df.where(F.md5(F.col("block_id").cast("string").cast("binary")) < F.lit(f"{int(share * 2**32):08x}"))
+
+    def kinds_of_columns(self) -> dict[str, str]:
+        """position, attribute, or calculated: those that are not stored."""
+        return {c: "position" if c in POSITIONS else "stored" if c in self.df.columns else "calculated" for c in self.available_columns}
+
     def canonical_order(self) -> DataFrame:
         return self.df.orderBy("block_id")
 

@@ -184,16 +184,14 @@ def upsample(model: BlockModel, block_size: tuple[float, float, float], config:
     if names := by("nearest"):
         at = [F.least(F.greatest(F.floor(_sample(F.col(c), n, m) + 0.5 - 1e-12), F.lit(0)), F.lit(n - 1)) for c, n, m in zip("ijk", old.shape, f)]
         parts.append(grid.select("block_id", old.block_id(*at).alias("_coarse")).join(coarse.select("_coarse", *names), "_coarse", "left").drop("_coarse"))
-    for name in by("mode"):
+    if names := by("mode"):
         low = [F.floor(_sample(F.col(c), n, m)) for c, n, m in zip("ijk", old.shape, f)]
         high = [F.ceil(_sample(F.col(c), n, m)) for c, n, m in zip("ijk", old.shape, f)]
         around = grid.select("block_id", *(F.array_distinct(F.array(a, b)).alias(c) for c, a, b in zip("abc", low, high)))
         for c in "abc":
             around = around.withColumn(c, F.explode(c))
-        around = around.select("block_id", old.block_id("a", "b", "c").alias("_coarse")).join(coarse.select("_coarse", name), "_coarse").where(present_any(name, kinds[name]))
-        counted = around.groupBy("block_id", name).agg(F.count(F.lit(1)).alias("_n"))
-        most = counted.groupBy("block_id").agg(F.max("_n").alias("_n"))
-        modes.append(counted.join(most, ["block_id", "_n"]).groupBy("block_id").agg(F.min(name).alias(name)))
+        around = around.select("block_id", old.block_id("a", "b", "c").alias("_coarse")).join(coarse.select("_coarse", *names), "_coarse")
+        modes.append(around.groupBy("block_id").agg(*(F.mode(F.when(present_any(n, kinds[n]), F.col(n)), True).alias(n) for n in names)))
         parts.append(modes[-1])
     if names := by("linear"):
         for name in names:
@@ -250,13 +248,15 @@ def heatmap(model: BlockModel, attribute: str, threshold: float, axis: str = "z"
 
 
 def weighted_aggregate(df: DataFrame, weights: Mapping[str, str], categories: tuple[str, ...] = (), treatment: str = "majority", as_columns: Mapping[str, tuple] | None = None) -> DataFrame:
-    """One row: weighted means of the columns in ``weights``, sums of the other numbers; categories by
+    """One row: weighted means of the columns in ``weights`` over the rows that have value and weight, sums of
+    the other numbers; categories by
     majority (lowest on ties) or as proportions, in a map or, for the values in ``as_columns``, in columns."""
     made: list[Column] = []
     for c in df.columns:
         if c in weights:
             w = F.col(weights[c])
-            made.append(F.try_divide(F.sum(F.col(c) * w), F.sum(w)).alias(c))
+            both = missing(F.col(c)).isNotNull() & missing(w).isNotNull()
+            made.append(F.try_divide(F.sum(F.when(both, F.col(c) * w)), F.sum(F.when(both, w))).alias(c))
         elif c not in categories:
             made.append(F.sum(c).alias(c))
         elif treatment == "majority":

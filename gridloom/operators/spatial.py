@@ -1,9 +1,10 @@
 """Flags and fractions of blocks by polygons, surfaces and solids.
 
-Rings, meshes and rasters are small tables of known size. Up to ``UNROLLED``
-edges or triangles a test is one Column expression over literals; more are
-joined: cells and triangles are met through a coarse grid of tiles, so a block
-sees only the triangles over its own tile.
+Rings, meshes and rasters are small tables of known size. A polygon of up to
+``UNROLLED`` edges is one Column expression over literals. More edges, cells and
+triangles are joined: edges are met through bands of y, triangles through tiles
+as large as themselves, so a block sees only those near its own place. Where
+the frame is upright this is done once for each column of blocks.
 """
 
 from __future__ import annotations
@@ -83,6 +84,20 @@ class Polygon:
             found = one if found is None else found | one
         return F.coalesce(box & found, F.lit(False))
 
+    def inside_keys(self, points: DataFrame, key: str) -> DataFrame:
+        """``key`` of the points (key, x, y) inside: each meets the edges in its band of y alone."""
+        low, high = self.bounds()[1], self.bounds()[3]
+        band = max((high - low) / max(1, len(self.edges)) * 4, 1e-9)
+        edges = points.sparkSession.createDataFrame(self.edges, "part int, x0 double, y0 double, x1 double, y1 double")
+        at = lambda y: F.floor((y - low) / band)
+        edges = edges.select("*", F.explode(F.sequence(at(F.least("y0", "y1") - 1e-9), at(F.greatest("y0", "y1") + 1e-9))).alias("band"))
+        x, y = F.col("x"), F.col("y")
+        x0, _, x1, _ = self.bounds()
+        met = points.where(x.between(x0, x1) & y.between(low, high)).withColumn("band", at(y)).join(edges, "band")
+        line = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+        met = met.groupBy(key, "part").agg(F.count_if(self._crossing(x, y, *line)).alias("n"), F.max(self._on_edge(x, y, *line).cast("int")).alias("on"))
+        return met.where("n % 2 = 1 OR on = 1").select(key).distinct()
+
     @staticmethod
     def _crossing(x, y, x0, y0, x1, y1) -> Column:
         return ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * F.try_divide(y - y0, y1 - y0) + x0)
@@ -98,11 +113,15 @@ def _crosses_itself(ring: Ring) -> bool:
         return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 
     edges = list(zip(ring, (*ring[1:], ring[0])))
-    for n, (a, b) in enumerate(edges):
-        for m in range(n + 2, len(edges)):
-            if n == 0 and m == len(edges) - 1:
-                continue
+    order = sorted(range(len(edges)), key=lambda n: min(p[0] for p in edges[n]))
+    for at, n in enumerate(order):
+        a, b = edges[n]
+        for m in order[at + 1 :]:
             c, d = edges[m]
+            if min(c[0], d[0]) > max(a[0], b[0]):  # and so for all that follow
+                break
+            if (n - m) % len(edges) in (1, len(edges) - 1):
+                continue
             if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
                 return True
     return False
@@ -200,17 +219,33 @@ class Mesh:
         return sorted(e for e, n in counts.items() if n != 2)
 
     def table(self, spark: SparkSession, axes: tuple[int, int], tile: float) -> DataFrame:
-        """Each triangle once for each tile that its box covers on two axes."""
-        rows = [(n, *(c for p in t for c in p), *(min(p[a] for p in t) for a in axes), *(max(p[a] for p in t) for a in axes)) for n, t in enumerate(self.triangles())]
-        names = "f int, " + ", ".join(f"{c}{n} double" for n in range(3) for c in "xyz") + ", u0 double, v0 double, u1 double, v1 double"
+        """Each triangle once for each tile that its box covers on two axes, of the tiles of its level: twice as
+        large from level to level, so a triangle covers nine tiles at most, whatever the others' size."""
+        rows = [(n, self._level(t, axes, tile), *(c for p in t for c in p), *(min(p[a] for p in t) for a in axes), *(max(p[a] for p in t) for a in axes)) for n, t in enumerate(self.triangles())]
+        names = "f int, level int, " + ", ".join(f"{c}{n} double" for n in range(3) for c in "xyz") + ", u0 double, v0 double, u1 double, v1 double"
         flat = spark.createDataFrame(rows, names)
-        tiles = lambda a, b: F.sequence(F.floor((F.col(a) - 1e-9) / tile), F.floor((F.col(b) + 1e-9) / tile))
+        size = F.lit(tile) * F.pow(F.lit(2.0), F.col("level"))
+        tiles = lambda a, b: F.sequence(F.floor((F.col(a) - 1e-9) / size), F.floor((F.col(b) + 1e-9) / size))
         return flat.withColumn("tu", F.explode(tiles("u0", "u1"))).withColumn("tv", F.explode(tiles("v0", "v1")))
 
+    @staticmethod
+    def _span(t: tuple[Vector, Vector, Vector], axes: tuple[int, int]) -> float:
+        return max(max(p[a] for p in t) - min(p[a] for p in t) for a in axes)
+
+    def _level(self, t: tuple[Vector, Vector, Vector], axes: tuple[int, int], tile: float) -> int:
+        return max(0, math.ceil(math.log2(max(self._span(t, axes), 1e-9) / tile)))
+
     def _tile(self, axes: tuple[int, int]) -> float:
-        """A tile about as large as a triangle."""
-        spans = [max(p[a] for p in t) - min(p[a] for p in t) for t in self.triangles() for a in axes]
-        return max(sum(spans) / len(spans), 1e-9)
+        """The tile of level 0: as large as most triangles."""
+        spans = sorted(self._span(t, axes) for t in self.triangles())
+        return max(spans[len(spans) // 2], 1e-9)
+
+    def tiled(self, points: DataFrame, axes: tuple[int, int], tile: float, u: str, v: str) -> DataFrame:
+        """points with the tile of each level that there are triangles of."""
+        levels = sorted({self._level(t, axes, tile) for t in self.triangles()})
+        size = F.lit(tile) * F.pow(F.lit(2.0), F.col("level"))
+        out = points.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+        return out.withColumns({"tu": F.floor(F.col(u) / size), "tv": F.floor(F.col(v) / size)})
 
 
 @dataclass(frozen=True)
@@ -224,22 +259,34 @@ class MeshSurface:
 
     def heights(self, df: DataFrame, key: str, x: Column, y: Column, out: str = "surface_z", tol: float = 1e-9) -> DataFrame:
         """df with the height at x, y; points under no triangle, or under two heights, are an error."""
+        hits = self._hits(df.select(F.col(key).alias("_key"), x.alias("px"), y.alias("py")), tol)
+        return self._joined(df, df[key], hits, out)
+
+    def _hits(self, points: DataFrame, tol: float = 1e-9) -> DataFrame:
+        """_key, and the lowest and highest point of the mesh at px, py."""
         tile = self.mesh._tile((0, 1))
-        points = df.select(F.col(key).alias("_key"), x.alias("px"), y.alias("py")).withColumns({"tu": F.floor(F.col("px") / tile), "tv": F.floor(F.col("py") / tile)})
         c = F.col
-        met = points.join(self.mesh.table(df.sparkSession, (0, 1), tile), ["tu", "tv"])
+        met = self.mesh.tiled(points, (0, 1), tile, "px", "py").join(self.mesh.table(points.sparkSession, (0, 1), tile), ["level", "tu", "tv"])
         d = (c("y1") - c("y2")) * (c("x0") - c("x2")) + (c("x2") - c("x1")) * (c("y0") - c("y2"))
         a = ((c("y1") - c("y2")) * (c("px") - c("x2")) + (c("x2") - c("x1")) * (c("py") - c("y2"))) / d
         b = ((c("y2") - c("y0")) * (c("px") - c("x2")) + (c("x0") - c("x2")) * (c("py") - c("y2"))) / d
         z = a * c("z0") + b * c("z1") + (1 - a - b) * c("z2")
-        hits = met.where((a >= -tol) & (b >= -tol) & (1 - a - b >= -tol)).groupBy("_key").agg(F.min(z).alias("_lo"), F.max(z).alias("_hi"))
-        joined = df.join(hits, df[key] == hits["_key"], "left")
+        return met.where((a >= -tol) & (b >= -tol) & (1 - a - b >= -tol)).groupBy("_key").agg(F.min(z).alias("_lo"), F.max(z).alias("_hi"))
+
+    @staticmethod
+    def _joined(df: DataFrame, key: Column, hits: DataFrame, out: str) -> DataFrame:
+        c = F.col
+        joined = df.join(hits, key == hits["_key"], "left")
         said = F.when(c("_lo").isNull(), F.raise_error(F.lit("point under no triangle of the surface")).cast("double")).when(c("_hi") - c("_lo") > 1e-6, F.raise_error(F.lit("the surface has several heights at a point")).cast("double")).otherwise(c("_lo"))
         return joined.select(*df.columns, said.alias(out))
 
     def fraction_below(self, model: BlockModel, out: str = "fraction") -> DataFrame:
         x, y, z = model.geometry.xyz_of()
-        met = self.heights(model.df, "block_id", x, y, "_surface")
+        if model.geometry.upright:
+            hits = self._hits(model.geometry.columns(model.df.sparkSession).select(F.col("_column").alias("_key"), F.col("x").alias("px"), F.col("y").alias("py")))
+            met = self._joined(model.df, model.geometry.column(), hits, "_surface")
+        else:
+            met = self.heights(model.df, "block_id", x, y, "_surface")
         return met.withColumn(out, _below(model.geometry.xyz_of()[2], F.col("_surface"), model.geometry)).drop("_surface")
 
 
@@ -271,9 +318,8 @@ class Solid:
         sheared = Mesh(tuple((v[0], v[1] - sy * v[0], v[2] - sz * v[0]) for v in self.mesh.vertices), self.mesh.faces)
         tile = sheared._tile((1, 2))
         rows = near.withColumns({"qy": F.col("py") - sy * F.col("px"), "qz": F.col("pz") - sz * F.col("px")})
-        rows = rows.withColumns({"tu": F.floor(F.col("qy") / tile), "tv": F.floor(F.col("qz") / tile)})
         c = F.col
-        met = rows.join(sheared.table(model.df.sparkSession, (1, 2), tile), ["tu", "tv"])
+        met = sheared.tiled(rows, (1, 2), tile, "qy", "qz").join(sheared.table(model.df.sparkSession, (1, 2), tile), ["level", "tu", "tv"])
         d = (c("z1") - c("z2")) * (c("y0") - c("y2")) + (c("y2") - c("y1")) * (c("z0") - c("z2"))
         a = F.try_divide((c("z1") - c("z2")) * (c("qy") - c("y2")) + (c("y2") - c("y1")) * (c("qz") - c("z2")), d)
         b = F.try_divide((c("z2") - c("z0")) * (c("qy") - c("y2")) + (c("y0") - c("y2")) * (c("qz") - c("z2")), d)
@@ -285,14 +331,28 @@ class Solid:
 
 
 def flag_polygon(model: BlockModel, polygon: Polygon, column: str = "inside", inside: object = None, outside: object = None) -> DataFrame:
+    label = inside if inside is not None else polygon.name
     x, y, _ = model.geometry.xyz_of()
-    return model.df.withColumn(column, labelled(polygon.contains(x, y), inside if inside is not None else polygon.name, outside))
+    if len(polygon.edges) <= UNROLLED:
+        return model.df.withColumn(column, labelled(polygon.contains(x, y), label, outside))
+    if model.geometry.upright:
+        key, points = model.geometry.column(), model.geometry.columns(model.df.sparkSession).withColumnRenamed("_column", "_key")
+    else:
+        key, points = F.col("block_id"), model.df.select(F.col("block_id").alias("_key"), x.alias("x"), y.alias("y"))
+    found = polygon.inside_keys(points, "_key").withColumn("_in", F.lit(True))
+    joined = model.df.join(found, key == found["_key"], "left")
+    return joined.withColumn(column, labelled(F.coalesce("_in", F.lit(False)), label, outside)).drop("_key", "_in")
+
+
+def gather(model: BlockModel, values: DataFrame, column: str, default: object = None) -> DataFrame:
+    """The model's table with ``column`` of a table by block_id; ``default`` where that has no such block."""
+    joined = model.df.join(values.select("block_id", F.col(column).alias("_value")), "block_id", "left")
+    return joined.withColumn(column, F.coalesce(F.col("_value"), F.lit(default)) if default is not None else F.col("_value")).drop("_value")
 
 
 def flag_solid(model: BlockModel, solid: Solid, column: str = "inside", inside: object = None, outside: object = None) -> DataFrame:
-    found = solid.inside_ids(model).withColumn("_in", F.lit(True))
-    joined = model.df.join(found, "block_id", "left")
-    return joined.withColumn(column, labelled(F.coalesce("_in", F.lit(False)), inside if inside is not None else solid.name, outside)).drop("_in")
+    found = gather(model, solid.inside_ids(model).withColumn("_in", F.lit(True)), "_in", False)
+    return found.withColumn(column, labelled(F.col("_in"), inside if inside is not None else solid.name, outside)).drop("_in")
 
 
 def labelled(mask: Column, inside: object = None, outside: object = None) -> Column:

@@ -935,14 +935,14 @@ def sort_canonical(spark, sf_dir):
     return m.with_df(m.df.select("block_id", "grade")).canonical_order()
 
 
-@query()
+@query(f"WITH {EV} SELECT block_id, grade FROM ev ORDER BY block_id LIMIT 100")
 def limit_sample(spark, sf_dir):
-    return model(spark, sf_dir).df.select("block_id", "grade").limit(100)
+    return model(spark, sf_dir).leading(100).select("block_id", "grade")
 
 
-@query()
+@query(f"WITH {EV} SELECT block_id, grade FROM ev WHERE md5(CAST(block_id AS VARCHAR)) < '{int(0.1 * 2**32):08x}'")
 def sample_rows(spark, sf_dir):
-    return model(spark, sf_dir).df.select("block_id", "grade").sample(0.1, seed=0)
+    return model(spark, sf_dir).sampled(0.1).select("block_id", "grade")
 
 
 @query(f"WITH {EV} SELECT block_id, round(power(x - 33, 2) + power(y - 41, 2) + power(z - 17, 2), 6) AS distance2 FROM ev ORDER BY 2, 1 LIMIT 1")
@@ -987,7 +987,7 @@ def profile_correlation(spark, sf_dir):
     return profile.correlations(events(spark, sf_dir), ["grade", "mass"]).withColumn("r", F.round("r", 6))
 
 
-@query()
+@query(f"WITH {EV} SELECT CAST(2 + 1 + 3 + 1 + least(count(DISTINCT rock), 10) AS BIGINT) AS rows, true AS described FROM ev")
 def profile_report(spark, sf_dir):
     text = profile.report_html(events(spark, sf_dir).drop("ts"), "events", {"grade": "Grade"})
     return spark.createDataFrame([(text.count("<tr>"), "Grade" in text)], "rows long, described boolean")
@@ -1082,75 +1082,60 @@ def geo_polygon_from_parquet(spark, sf_dir):
 @query(f"""WITH {DIMS}, c AS (SELECT * FROM (VALUES (0, 0, 0, 50, 10.0, 20.0, 15.0, 25.0), (1, 0, 0, 50, 20.0, 30.0, 25.0, 20.0), (0, 1, 50, 100, 15.0, 25.0, 40.0, 5.0), (1, 1, 50, 100, 25.0, 20.0, 5.0, 12.0)) t(cx, cy, y0, y1, z00, z10, z01, z11))
 SELECT cx, cy, cx * ni * 5.0 AS x0, (cx + 1) * ni * 5.0 AS x1, CAST(y0 AS DOUBLE) AS y0, CAST(y1 AS DOUBLE) AS y1, z00, z10, z01, z11 FROM c, dims""")
 def geo_raster_from_npz(spark, sf_dir):
-    import tempfile
-
     import numpy as np
 
-    r = _raster(spark, sf_dir)
-    with tempfile.TemporaryDirectory() as d:
-        np.savez(f"{d}/r.npz", x_coords=r.xs, y_coords=r.ys, values=r.values)
-        held = files.read_raster(f"{d}/r.npz")
-    return held.cells(spark)
+    r, d = _raster(spark, sf_dir), store.file_dir(spark)
+    np.savez(f"{d}/r.npz", x_coords=r.xs, y_coords=r.ys, values=r.values)
+    return files.read_raster(f"{d}/r.npz").cells(spark)
+
+
+SURFACE = f"""WITH {SPARSE}, {SIDES}, shown AS (SELECT DISTINCT b, tonnes FROM sides)
+SELECT CAST(8 * count(*) AS BIGINT) AS vertices, (SELECT CAST(2 * count(*) AS BIGINT) FROM sides) AS faces"""
+PLY_SQL = f"{SURFACE}, round(8 * sum(CAST(CAST(tonnes AS FLOAT) AS DOUBLE)) / 1e6, 4) AS tonnes FROM shown"
 
 
-SMALL = f"""WITH g AS (SELECT unnest(generate_series(0, 119)) AS b), p AS (SELECT b, b // 20 AS i, (b // 4) % 5 AS j, b % 4 AS k FROM g),
-n AS (SELECT *, power((i + 0.5 - 3.0) / 3.0, 2) + power((j + 0.5 - 2.5) / 2.0, 2) + power((k + 0.5 - 2.0) / 2.0, 2) AS n FROM p),
-sp AS (SELECT *, 65.0 - 15.0 * sqrt(n) AS grade FROM n WHERE n <= 1 AND 65.0 - 15.0 * sqrt(n) >= 52.0), {SIDES}"""
-PLY_SQL = f"""{SMALL} SELECT CAST(8 * count(DISTINCT b) AS BIGINT) AS vertices, CAST(2 * count(*) AS BIGINT) AS faces,
-  round(8 * (SELECT sum(grade) FROM sp WHERE b IN (SELECT b FROM sides)), 2) AS grade FROM sides"""
+def _surface(spark, sf_dir):
+    return mesh.triangulate(_sparse(spark, sf_dir), ["tonnes"])
 
 
 @query(PLY_SQL)
 def mesh_read_ply(spark, sf_dir):
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as d:
-        files.write_ply(mesh.triangulate(_small(spark), ["grade"]), f"{d}/m.ply")
-        held = files.ply_tables(spark, f"{d}/m.ply")
-    return held.vertices.agg(F.count(F.lit(1)).alias("vertices"), F.round(F.sum("grade"), 2).alias("grade")).join(held.faces.agg(F.count(F.lit(1)).alias("faces")))
+    path = f"{store.file_dir(spark)}/m.ply"
+    files.write_ply(_surface(spark, sf_dir), path)
+    held = files.ply_tables(spark, path)
+    tonnes = F.round(F.sum(F.col("tonnes").cast("float").cast("double")) / 1e6, 4)
+    return held.vertices.agg(F.count(F.lit(1)).alias("vertices"), tonnes.alias("tonnes")).join(held.faces.agg(F.count(F.lit(1)).alias("faces")))
 
 
 @query(PLY_SQL)
 def mesh_write_ply(spark, sf_dir):
-    import tempfile
-
-    m = mesh.triangulate(_small(spark), ["grade"])
-    with tempfile.TemporaryDirectory() as d:
-        files.write_ply(m, f"{d}/m.ply", binary=True)
-        vertices, faces, _, _ = files.read_ply(f"{d}/m.ply")
-    return spark.createDataFrame([(len(vertices["x"]), len(faces), round(sum(vertices["grade"]), 2))], "vertices long, faces long, grade double")
-
+    path = f"{store.file_dir(spark)}/m.ply"
+    files.write_ply(_surface(spark, sf_dir), path, binary=True)
+    vertices, faces, _, _ = files.read_ply(path)
+    return spark.createDataFrame([(len(vertices["x"]), len(faces), round(math.fsum(vertices["tonnes"]) / 1e6, 4))], "vertices long, faces long, tonnes double")
 
-def _small(spark):
-    return generate.toy(spark, Geometry(shape=(6, 5, 4)), 0.0, 0.0, 0.0, center=(3.0, 2.5, 2.0), radii=(3.0, 2.0, 2.0)).where_at_least("grade", 52.0)
 
-
-@query(f"{SMALL} SELECT CAST(8 * count(DISTINCT b) AS BIGINT) AS vertices, CAST(2 * count(*) AS BIGINT) AS faces, CAST(8 * count(DISTINCT b) AS BIGINT) AS colours FROM sides")
+@query(f"{SURFACE}, CAST(8 * count(*) AS BIGINT) AS colours FROM shown")
 def mesh_write_glb(spark, sf_dir):
-    import tempfile
-
-    m = mesh.triangulate(_small(spark), ["grade"])
-    with tempfile.TemporaryDirectory() as d:
-        files.write_glb(m, f"{d}/m.glb", mesh.colours(m.vertices, "grade"))
-        points, triangles, colours, _ = files.read_glb(f"{d}/m.glb")
+    m, path = _surface(spark, sf_dir), f"{store.file_dir(spark)}/m.glb"
+    files.write_glb(m, path, mesh.colours(m.vertices, "tonnes"))
+    points, triangles, colours, _ = files.read_glb(path)
     return spark.createDataFrame([(len(points), len(triangles), len(colours))], "vertices long, faces long, colours long")
 
 
 @query("SELECT 'ore' AS layer, 8 AS vertices, 12 AS faces, 0 AS open")
 def mesh_read_dxf(spark, sf_dir):
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as d:
-        solid = _cube((0.0, 0.0, 0.0), (2.0, 2.0, 2.0))
-        rows = []
-        for t in solid.triangles():
-            rows += ["0", "3DFACE", "8", "ore"]
-            for n, p in enumerate((*t, t[2])):
-                for a, c in enumerate(p, 1):
-                    rows += [str(10 * a + n), str(c)]
-        with open(f"{d}/m.dxf", "w") as f:
-            f.write("\n".join([*rows, "0", "EOF", ""]))
-        meshes = files.dxf_meshes(f"{d}/m.dxf")
+    path = f"{store.file_dir(spark)}/m.dxf"
+    solid = _cube((0.0, 0.0, 0.0), (2.0, 2.0, 2.0))
+    rows = []
+    for t in solid.triangles():
+        rows += ["0", "3DFACE", "8", "ore"]
+        for n, p in enumerate((*t, t[2])):
+            for a, c in enumerate(p, 1):
+                rows += [str(10 * a + n), str(c)]
+    with open(path, "w") as f:
+        f.write("\n".join([*rows, "0", "EOF", ""]))
+    meshes = files.dxf_meshes(path)
     return spark.createDataFrame([(k, len(m.vertices), len(m.faces), len(m.open_edges())) for k, m in meshes.items()], "layer string, vertices int, faces int, open int")
 
 

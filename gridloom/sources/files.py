@@ -1,14 +1,17 @@
-"""Small geometric files, read and written by the driver: PLY, GLB, DXF faces, rasters, GeoParquet polygons."""
+"""Small geometric files, read and written by the driver: PLY, GLB, DXF, rasters, GeoParquet polygons."""
 
 from __future__ import annotations
 
 import json
+import math
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.geometry import Vector
 from gridloom.operators.mesh import MeshTables
 from gridloom.operators.model import ModelError
 from gridloom.operators.spatial import Mesh, Polygon, Raster
@@ -110,10 +113,16 @@ def ply_tables(spark: SparkSession, path: str) -> MeshTables:
     return MeshTables(vertices, faces, meta)
 
 
+#: A mesh file is one machine's, and the driver numbers its vertices: larger meshes are an error, not a full driver.
+MOST_VERTICES = 50_000_000
+
+
 def _numbered(mesh: MeshTables) -> tuple[list[str], list[str], Iterator, int, Iterator, int]:
     """Vertices and faces in order, face corners as places in the vertex list; streamed to the driver."""
     vcols = ["x", "y", "z", *(c for c in "ijk" if c in mesh.vertices.columns), *sorted(set(mesh.vertices.columns) - {"vertex_id", "block_id", "corner", *"xyzijk"})]
     fcols = [*(c for c in "ijk" if c in mesh.faces.columns), *sorted(set(mesh.faces.columns) - {"face_id", "block_id", "v0", "v1", "v2", *"ijk"})]
+    if (n := mesh.vertices.count()) > MOST_VERTICES:
+        raise ModelError(f"{n} vertices do not go into one file")
     order = {r[0]: n for n, r in enumerate(mesh.vertices.select("vertex_id").orderBy("vertex_id").toLocalIterator(prefetchPartitions=True))}
     vertices = (tuple(r) for r in mesh.vertices.orderBy("vertex_id").select(*vcols).toLocalIterator(prefetchPartitions=True))
     faces = ((tuple(order[v] for v in r[:3]), tuple(r[3:])) for r in mesh.faces.orderBy("face_id").select("v0", "v1", "v2", *fcols).toLocalIterator(prefetchPartitions=True))
@@ -187,33 +196,150 @@ def read_glb(path: str) -> tuple[list[tuple], list[tuple], list[tuple], dict]:
 # DXF
 
 
-def dxf_meshes(path: str) -> dict[str, Mesh]:
-    """3DFACE triangles (quadrilaterals as two) of a text DXF file, by layer; equal points are one vertex."""
+@dataclass
+class Entity:
+    """A DXF entity: its group codes in order, and the vertices that follow a POLYLINE."""
+
+    kind: str
+    codes: list[tuple[int, str]]
+    vertices: list[Entity]
+
+    def first(self, code: int, default: str) -> str:
+        return next((v for c, v in self.codes if c == code), default)
+
+    def number(self, code: int, default: float = 0.0) -> float:
+        return float(self.first(code, str(default)))
+
+    def point(self, n: int = 0) -> Vector:
+        return tuple(self.number(10 * a + n, float("nan") if a < 3 else 0.0) for a in (1, 2, 3))
+
+
+def _entities(path: str) -> tuple[list[Entity], dict[str, tuple[Vector, list[Entity]]]]:
+    """The drawing's entities, and each block's base point and entities."""
     with open(path, encoding="utf-8", errors="replace") as f:
         lines = [x.strip() for x in f]
-    pairs = zip(lines[::2], lines[1::2])
-    found: dict[str, list] = {}
-    now: dict[str, str] | None = None
+    found: list[Entity] = []
+    for code, value in zip(lines[::2], lines[1::2]):
+        if code == "0":
+            found.append(Entity(value, [], []))
+        elif found:
+            found[-1].codes.append((int(code), value))
+    drawing: list[Entity] = []
+    blocks: dict[str, tuple[Vector, list[Entity]]] = {}
+    section, into, line = "ENTITIES", drawing, None
+    for e in found:
+        if e.kind == "SECTION":
+            section = e.first(2, "")
+            into = drawing if section == "ENTITIES" else []
+        elif e.kind == "BLOCK":
+            into = []
+            blocks[e.first(2, "")] = tuple(0.0 if c != c else c for c in e.point()), into
+        elif e.kind == "VERTEX" and line is not None:
+            line.vertices.append(e)
+        elif e.kind == "SEQEND":
+            line = None
+        elif e.kind not in ("ENDBLK", "ENDSEC", "EOF"):
+            line = e if e.kind == "POLYLINE" else None
+            into.append(e)
+    return drawing, blocks
+
+
+def _fan(points: list[Vector]) -> list[tuple[Vector, Vector, Vector]]:
+    """A convex face as triangles round its first point."""
+    points = list(dict.fromkeys(p for p in points if all(math.isfinite(c) for c in p)))
+    return [(points[0], a, b) for a, b in zip(points[1:], points[2:])]
+
+
+def _polyline(e: Entity) -> list[tuple[Vector, Vector, Vector]]:
+    """The faces of a polyface mesh (flag 64) or of a polygon mesh of M by N vertices (flag 16); 1 and 32 close M and N."""
+    flags = int(e.number(70))
+    if flags & 64:
+        points = [v.point() for v in e.vertices if int(v.number(70)) & 64]
+        out = []
+        for v in e.vertices:
+            if not int(v.number(70)) & 64:  # indices from 1; a negative one hides the edge after it, 0 is none
+                corners = [abs(int(v.number(c))) for c in (71, 72, 73, 74)]
+                out += _fan([points[n - 1] for n in corners if n])
+        return out
+    if not flags & 16:
+        return []
+    points, m, n = [v.point() for v in e.vertices], int(e.number(71)), int(e.number(72))
+    at = lambda i, j: points[i % m * n + j % n]
+    cells = [(i, j) for i in range(m if flags & 1 else m - 1) for j in range(n if flags & 32 else n - 1)]
+    return [t for i, j in cells for t in _fan([at(i, j), at(i + 1, j), at(i + 1, j + 1), at(i, j + 1)])]
+
+
+def _mesh_entity(e: Entity) -> list[tuple[Vector, Vector, Vector]]:
+    """The faces of a MESH: 92 vertices (10, 20, 30), then 93 numbers (90) of faces, each led by its size."""
+    points, numbers, counting, left = [], [], False, 0
+    for code, value in e.codes:
+        if code in (10, 20, 30) and not counting:
+            points.append(float(value))
+        elif code == 93:
+            counting, left = True, int(value)
+        elif code == 90 and left:
+            numbers.append(int(value))
+            left -= 1
+    corners = list(zip(points[::3], points[1::3], points[2::3]))
+    out, at = [], 0
+    while at < len(numbers):
+        n = numbers[at]
+        out += _fan([corners[i] for i in numbers[at + 1 : at + 1 + n]])
+        at += 1 + n
+    return out
 
-    def close():
-        if now is not None:
-            p = [tuple(float(now.get(str(10 * a + n), "nan")) for a in (1, 2, 3)) for n in range(4)]
-            for t in ([p[0], p[1], p[2]], [p[0], p[2], p[3]]):
-                if len(set(t)) == 3 and all(c == c for q in t for c in q):
-                    found.setdefault(now.get("8", "0"), []).append(t)
 
-    for code, value in pairs:
-        if code == "0":
-            close()
-            now = {} if value == "3DFACE" else None
-        elif now is not None:
-            now[code] = value
-    close()
+def _placed(e: Entity, base: Vector) -> list[Callable[[Vector], Vector]]:
+    """Where an INSERT puts its block: scaled, turned about z and moved, once for each row and column."""
+    scale = tuple(e.number(c, 1.0) for c in (41, 42, 43))
+    turn = math.radians(e.number(50))
+    cos, sin, to = math.cos(turn), math.sin(turn), e.point()
+
+    def at(dx: float, dy: float) -> Callable[[Vector], Vector]:
+        def move(p: Vector) -> Vector:
+            x, y, z = ((c - b) * s for c, b, s in zip(p, base, scale))
+            x, y = x + dx, y + dy
+            return to[0] + x * cos - y * sin, to[1] + x * sin + y * cos, to[2] + z
+
+        return move
+
+    columns, rows = (max(1, int(e.number(c, 1))) for c in (70, 71))
+    return [at(c * e.number(44), r * e.number(45)) for r in range(rows) for c in range(columns)]
+
+
+def _triangles(e: Entity, blocks: dict[str, tuple[Vector, list[Entity]]], inside: tuple[str, ...] = ()) -> list[tuple[Vector, Vector, Vector]]:
+    if e.kind == "3DFACE":
+        return _fan([e.point(n) for n in range(4)])
+    if e.kind == "POLYLINE":
+        return _polyline(e)
+    if e.kind == "MESH":
+        return _mesh_entity(e)
+    name = e.first(2, "")
+    if e.kind != "INSERT" or name not in blocks:
+        return []
+    if name in inside:
+        raise ModelError(f"block {name} holds itself")
+    base, held = blocks[name]
+    flat = [t for x in held for t in _triangles(x, blocks, (*inside, name))]
+    return [tuple(map(move, t)) for move in _placed(e, base) for t in flat]
+
+
+def dxf_meshes(path: str, by: str = "layer") -> dict[str, Mesh]:
+    """The faces of a text DXF file: 3DFACE, polyface and polygon meshes of POLYLINE, MESH, and what INSERT places
+    of blocks. By the layer of the drawing's entities, or ``by`` = "block": those placed by INSERT alone, by the
+    block's name. Faces of more corners are fans of triangles; equal points are one vertex."""
+    if by not in ("layer", "block"):
+        raise ModelError("by is layer or block")
+    drawing, blocks = _entities(path)
+    found: dict[str, list] = {}
+    for e in drawing:
+        if (by == "layer" or e.kind == "INSERT") and (flat := _triangles(e, blocks)):
+            found.setdefault(e.first(8, "0") if by == "layer" else e.first(2, ""), []).extend(flat)
     out = {}
-    for layer, triangles in found.items():
+    for name, triangles in found.items():
         places: dict[tuple, int] = {}
         faces = [tuple(places.setdefault(p, len(places)) for p in t) for t in triangles]
-        out[layer] = Mesh(tuple(places), tuple(faces), layer)
+        out[name] = Mesh(tuple(places), tuple(faces), name)
     if not out:
         raise ModelError("the file holds no faces")
     return out
