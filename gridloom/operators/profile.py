@@ -91,7 +91,7 @@ def quantiles(df: DataFrame, values: dict[str, Column], at: list[float], held: d
     out: dict[str, list[float] | None] = dict.fromkeys(values)
     for name, spot in spots.items():
         ends = [(found[name, int(x)], found[name, min(int(x) + 1, held[name][0] - 1)], x - int(x)) for x in spot]
-        out[name] = [a + (b - a) * part for a, b, part in ends]
+        out[name] = [a if a == b or not part else a + (b - a) * part for a, b, part in ends]
     return out
 
 
