@@ -105,11 +105,11 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = 1000, least: int = 100
     return [r[0] for r in counts.where((F.col("_c") * share > total) & (F.col("_c") > least)).select(F.xxhash64(*keys)).collect()]
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """left joined with right (tables that are cheap to read again). The rows of a key that is hot on one side are
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, hot: tuple[list[int], list[int]] | None = None) -> DataFrame:
+    """left joined with right (tables that are cheap to read again, unless the ``hot`` keys of both are given). The rows of a key that is hot on one side are
     dealt, by a hash of the row, to ``salts`` parts, and those of the other side go to each of them; a key that
     is hot on both sides is dealt to a square of parts. All other keys are joined as they are."""
-    hot_left, hot_right = hot_keys(left, keys), hot_keys(right, keys)
+    hot_left, hot_right = hot or (hot_keys(left, keys), hot_keys(right, keys))
     if not hot_left and not hot_right:
         return left.join(right, keys)
     parts = lambda hot: F.when(F.xxhash64(*keys).isin(hot), salts).otherwise(1) if hot else F.lit(1)

@@ -240,20 +240,31 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     smallest; every step is an aggregation and a join, and is written to the shared folder.
     """
 
-    def unsettled(e: DataFrame) -> int:
+    def state(e: DataFrame) -> tuple[int, int, int]:
+        """How many nodes are unsettled, the most edges at a node, and the number of edges."""
         ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
-        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").count()
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        row = ends.agg(F.count_if(F.expr("up > 1 OR (up > 0 AND down > 0)")), F.max(F.expr("up + down")), F.sum("up")).first()
+        return row[0], row[1] or 0, row[2] or 0
+
+    def with_least(rows: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
+        """rows with m of u. Where a node may be in very many of them, its rows are joined apart."""
+        if not hubs:
+            return rows.join(least, "u")
+        rows = cut(rows)
+        return join_counted(rows, cut(least), ["u"], "c", rows.count())
 
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(most_rounds):
-        if not unsettled(e):
+        left, degree, n = state(e)
+        if not left:
             break
+        hubs = degree * 1000 > n and degree > 1000
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("c")))
-        large = join_counted(both, least, ["u"], "c", 2 * e.count())
-        large = cut(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")))
-        joined = join_counted(large, least, ["u"], "c", large.count())
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("c"))
+        large = with_least(both, least, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        joined = with_least(large, least, hubs)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = cut(small)
     else:
@@ -307,11 +318,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
         return cut(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), p.last_rounds))
 
     def mixed(table: DataFrame, key: str, found: DataFrame) -> DataFrame:
-        """The rows of keys that hold several components, with comp and w, how many nodes the component has."""
-        sizes = cut(found.groupBy("component").agg(F.count(F.lit(1)).alias("w")))
-        weighed = join_counted(found, sizes, ["component"], "w", found.count())
-        near = table.join(weighed, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).withColumn("w", F.coalesce("w", F.lit(1)))
-        near = cut(near.drop("node", "component"))
+        """The rows of keys that hold several components, with comp."""
+        near = cut(table.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component"))
         keys = near.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select(key, "c")
         return join_counted(near, cut(keys), [key], "c", near.count()).drop("c")
 
@@ -329,18 +337,21 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
 
     # round 3: all that could still join two components
     near = rare.select("rep", "n", "own", F.posexplode("rare").alias("pos", "h")).select("rep", "n", "h", (F.col("n") - F.col("own") - F.col("pos")).alias("left"))
-    near = cut(mixed(near, "h", found))
+    weight = found.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("w"))
+    near = cut(mixed(near, "h", found).join(weight, "comp", "left").withColumn("w", F.coalesce("w", F.lit(1))))
     # of each element: its heaviest component, whose sets need not be compared with each other, and its smallest set
     most = near.groupBy("h").agg(F.max(F.struct("w", "comp")).alias("top"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
     most = cut(most.select("h", F.col("top.comp").alias("top"), "least", "size"))
     # what even the smallest admissible partner would not link goes before the join
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * p.percent / 100))
-    near = join_counted(near, most, ["h"], "size", near.count()).where(F.col("left") * (100 + p.percent) >= (F.col("n") + partner) * p.percent)
-    near = cut(near.drop("least", "size"))
+    n, hot = near.count(), most.where(F.col("size") > 1000)
+    hot = [r[0] for r in hot.where(F.col("size") * 1000 > n).select(F.xxhash64("h")).collect()]  # fewer than a thousand
+    near = join_counted(near, most, ["h"], "size", n).where(F.col("left") * (100 + p.percent) >= (F.col("n") + partner) * p.percent)
+    near = near.drop("least", "size")
     a = near.where("comp <> top").select("h", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "left", "comp", "w")))
     b = near.select("h", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "left", "comp", "w")))
     lighter = (F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("comp_a") < F.col("comp_b")))
-    rest = join_hot(a, b, ["h"]).where(lighter & _size_fits("n_a", "n_b", p) & _overlap_fits(F.least("left_a", "left_b"), p))
+    rest = join_hot(a, b, ["h"], hot=(hot, hot)).where(lighter & _size_fits("n_a", "n_b", p) & _overlap_fits(F.least("left_a", "left_b"), p))
     rest = _estimated(rest.select(F.col("rep_b").alias("a"), F.col("rep_a").alias("b")).distinct(), kept, p).select("a", "b")
     rest = cut(rest.join(likely.select("a", "b").union(tried), ["a", "b"], "left_anti"))
     found = joined(found, cut(_verified(rest, texts, p)))
