@@ -53,7 +53,8 @@ def position_mismatches(model: BlockModel, tol: float = 1e-3, sample: int | None
         checks["bad_world_id"] = ~F.col("world_id").eqNullSafe(WorldId.from_params(g.world_id).encode(*g.xyz(*ijk)))
     if not checks:
         return df.select("block_id").limit(0)
-    out = df.withColumns(checks)
+    # a row of its own for the flags: the filter then reads them, and does not compute them a second time
+    out = df.select("block_id", F.inline(F.array(F.struct(*(c.alias(n) for n, c in checks.items())))))
     any_bad = None
     for c in checks:
         any_bad = F.col(c) if any_bad is None else any_bad | F.col(c)

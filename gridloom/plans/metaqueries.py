@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import geometry as frames
 from gridloom.functions.geometry import Geometry
 from gridloom.functions.worldid import WorldId
-from gridloom.operators import profile, quality, reblock, spatial
+from gridloom.operators import accessors, profile, quality, reblock, spatial
 from gridloom.operators.model import BlockModel, ModelError
 from gridloom.plans import schema as schemas
 from gridloom.plans.queries import COS, DIMS, EV, SIN, TRIANGLE, _inside_sql, _sparse, events, geometry, model, query, r6, table
@@ -54,6 +54,14 @@ def cat_labels(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in labels], "label string")
 
 
+@query(f"WITH {EV}, {DIMS} SELECT CAST((k * 10 + j) * ni + i AS BIGINT) AS cell, grade FROM ev, dims")
+def src_transform(spark, sf_dir):
+    """Rows with x, y and z become a stored model, and that a grid, by DataFrame.transform alone."""
+    path = f"{store.scratch_dir(spark)}/t{store.SUFFIX}"
+    rows = model(spark, sf_dir).select(["grade"])
+    return rows.transform(accessors.stored(path)).transform(accessors.as_grid(["grade"], geometry(spark, sf_dir))).select("cell", "grade")
+
+
 # columns and schemas
 
 
@@ -246,6 +254,52 @@ def surf_from_arrays(spark, sf_dir):
     return r.heights(events(spark, sf_dir), x, y, "height").select("block_id", r6("height", "height"))
 
 
+def write_geotiff(path, xs, ys, values, tiles=False, order="<"):
+    """A deflated GeoTIFF of doubles, by strips of two rows or tiles of 16 by 16 pixels; ys fall."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    values, blobs = np.asarray(values, f"{order}f8"), []
+    if tiles:
+        padded = np.pad(values, [(0, -n % 16) for n in values.shape])
+        blobs = [padded[y : y + 16, x : x + 16] for y in range(0, padded.shape[0], 16) for x in range(0, padded.shape[1], 16)]
+    else:
+        blobs = [values[y : y + 2] for y in range(0, len(values), 2)]
+    blobs = [zlib.compress(np.ascontiguousarray(b).tobytes()) for b in blobs]
+    dx, dy = xs[1] - xs[0], ys[0] - ys[1]
+    layout = [(322, 3, [16]), (323, 3, [16]), (324, 4, None), (325, 4, [len(b) for b in blobs])] if tiles else [(273, 4, None), (278, 3, [2]), (279, 4, [len(b) for b in blobs])]
+    tags = [(256, 3, [len(xs)]), (257, 3, [len(ys)]), (258, 3, [64]), (259, 3, [8]), (277, 3, [1]), (339, 3, [3]), *layout, (33550, 12, [dx, dy, 0.0]), (33922, 12, [0.0, 0.0, 0.0, xs[0] - dx / 2, ys[0] + dy / 2, 0.0])]
+    starts = [8 + sum(map(len, blobs[:n])) for n in range(len(blobs))]
+    tags = sorted((t, k, starts if v is None else v) for t, k, v in tags)
+    data, at, extra = b"".join(blobs), 8 + sum(map(len, blobs)), b""
+    entries = b""
+    after = at + 2 + 12 * len(tags) + 4
+    for t, k, v in tags:
+        packed = struct.pack(f"{order}{ {3: 'H', 4: 'I', 12: 'd'}[k] * len(v)}", *v)
+        spot = packed.ljust(4, b"\0") if len(packed) <= 4 else struct.pack(f"{order}I", after + len(extra))
+        extra += packed if len(packed) > 4 else b""
+        entries += struct.pack(f"{order}HHI", t, k, len(v)) + spot
+    with open(path, "wb") as f:
+        f.write((b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, at) + data + struct.pack(f"{order}H", len(tags)) + entries + struct.pack(f"{order}I", 0) + extra)
+
+
+@query(f"WITH {EV} SELECT block_id, round(3.0 + 0.25 * x - 0.5 * y, 6) AS strips, round(3.0 + 0.25 * x - 0.5 * y, 6) AS tiles FROM ev")
+def surf_from_geotiff(spark, sf_dir):
+    """Heights of a plane from files in strips and in tiles, of either byte order."""
+    g, d = geometry(spark, sf_dir), store.file_dir(spark)
+    xs = [-2.5 + 5.0 * n for n in range(g.shape[0] * 2 + 2)]
+    ys = [104.0 - 4.0 * n for n in range(27)]
+    values = [[3.0 + 0.25 * x - 0.5 * y for x in xs] for y in ys]
+    write_geotiff(f"{d}/strips.tif", xs, ys, values)
+    write_geotiff(f"{d}/tiles.tif", xs, ys, values, tiles=True, order=">")
+    x, y, _ = g.xyz_of()
+    df = files.read_geotiff(f"{d}/strips.tif").heights(events(spark, sf_dir), x, y, "strips")
+    df = files.read_geotiff(f"{d}/tiles.tif").heights(df, x, y, "tiles")
+    return df.select("block_id", r6("strips", "strips"), r6("tiles", "tiles"))
+
+
 @query(f"WITH {EV} SELECT block_id, round(3.0 + 0.25 * x - 0.5 * y, 6) AS height FROM ev")
 def surf_triangles_of_all_sizes(spark, sf_dir):
     """A plane of two triangles as large as the grid and many small ones beside them, through tiles of several levels."""
@@ -278,6 +332,28 @@ def set_subset(spark, sf_dir):
     return inside.union(m.missing_blocks().agg(F.count(F.lit(1)).alias("n")).select(F.lit("dense in sparse"), F.col("n") == 0))
 
 
+# VTK files, written and read back
+
+
+@query("""WITH d AS (SELECT CAST(count(*) // 100 AS BIGINT) AS ni FROM orders), g AS (SELECT unnest(generate_series(0, ni * 100 - 1)) AS b, ni FROM d)
+SELECT CAST(((b % 10) * 10 + (b // 10) % 10) * ni + b // 100 AS BIGINT) AS cell, o_totalprice AS tonnes FROM g LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON o.o_orderkey = b""")
+def export_vti(spark, sf_dir):
+    path = f"{store.file_dir(spark)}/m.vti"
+    files.write_vti(_sparse(spark, sf_dir), path, ["tonnes"])
+    _, held = files.read_vtk(path)
+    return spark.createDataFrame([(n, None if math.isnan(v) else v) for n, v in enumerate(held["tonnes"])], "cell long, tonnes double")
+
+
+@query(f"""WITH {EV} SELECT CAST(count(*) AS BIGINT) AS cells, CAST(8 * count(*) AS BIGINT) AS points, round(sum(grade), 4) AS grade, round(sum(8 * x), 3) AS x, round(sum(8 * z), 3) AS z, true AS voxels FROM ev""")
+def export_vtu(spark, sf_dir):
+    path = f"{store.file_dir(spark)}/m.vtu"
+    files.write_vtu(model(spark, sf_dir), path, ["grade"])
+    _, held = files.read_vtk(path)
+    at = held["Points"]
+    row = (len(held["offsets"]), len(at) // 3, round(math.fsum(held["grade"]), 4), round(math.fsum(at[::3]), 3), round(math.fsum(at[2::3]), 3), set(held["types"]) == {11.0} and held["connectivity"] == [*map(float, range(len(at) // 3))])
+    return spark.createDataFrame([row], "cells long, points long, grade double, x double, z double, voxels boolean")
+
+
 # DXF
 
 

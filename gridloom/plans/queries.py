@@ -655,12 +655,17 @@ def agg_infer_geometry(spark, sf_dir):
     return quality.inferred_axes(df, AZIMUTH)
 
 
-@query("""SELECT "column", mean_gap FROM (VALUES ('x', 10.0), ('y', 10.0), ('z', 5.0)) t("column", mean_gap)""")
+GAPS = f"""WITH {EV}, c AS (SELECT DISTINCT 'x' AS "column", x AS p FROM ev UNION SELECT DISTINCT 'y', y FROM ev UNION SELECT DISTINCT 'z', z FROM ev),
+g AS (SELECT "column", p, lead(p) OVER (PARTITION BY "column" ORDER BY p) - p AS gap FROM c)"""
+
+
+@query(f"""{GAPS} SELECT "column", round(avg(gap), 6) AS mean_gap FROM g GROUP BY 1""")
 def agg_mean_spacing(spark, sf_dir):
     return quality.mean_and_modal_spacing(model(spark, sf_dir).select([])).select("column", r6("mean_gap", "mean_gap"))
 
 
-@query("""SELECT "column", modal_gap FROM (VALUES ('x', 10.0), ('y', 10.0), ('z', 5.0)) t("column", modal_gap)""")
+@query(f"""{GAPS}, n AS (SELECT "column", round(gap, 6) AS gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1, 2)
+SELECT "column", gap AS modal_gap FROM n QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, gap) = 1""")
 def agg_modal_spacing(spark, sf_dir):
     return quality.mean_and_modal_spacing(model(spark, sf_dir).select([])).select("column", r6("modal_gap", "modal_gap"))
 
@@ -903,7 +908,7 @@ def valid_geometry(spark, sf_dir):
     return quality.geometry_report(df, g)
 
 
-@query("""SELECT * FROM (VALUES ('x', CAST(0 AS BIGINT), (SELECT CAST(count(*) // 100 AS BIGINT) FROM events), 10.0, 10.0, true), ('y', 0, 10, 10.0, 10.0, true), ('z', 0, 10, 5.0, 5.0, true)) t("column", nulls, "distinct", least, most, regular)""")
+@query(f"""{GAPS} SELECT "column", CAST(0 AS BIGINT) AS nulls, CAST(count(*) AS BIGINT) AS "distinct", min(gap) AS least, max(gap) AS most, max(gap) - min(gap) <= 1e-8 AS regular FROM g GROUP BY 1""")
 def valid_regular_spacing(spark, sf_dir):
     return quality.spacing_report(model(spark, sf_dir).select([]))
 

@@ -1,4 +1,4 @@
-"""Small geometric files, read and written by the driver: PLY, GLB, DXF, rasters, GeoParquet polygons."""
+"""Small geometric files, read and written by the driver: PLY, GLB, VTK, DXF, rasters, GeoParquet polygons."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import Vector
-from gridloom.operators.mesh import MeshTables
-from gridloom.operators.model import ModelError
+from gridloom.operators.mesh import MeshTables, grid_table, hexahedra
+from gridloom.operators.model import BlockModel, ModelError
 from gridloom.operators.spatial import Mesh, Polygon, Raster
 
 #: PLY's types and their struct codes.
@@ -193,6 +193,68 @@ def read_glb(path: str) -> tuple[list[tuple], list[tuple], list[tuple], dict]:
     return list(struct.iter_unpack("<fff", part(0))), list(struct.iter_unpack("<III", part(1))), colours, scene["meshes"][0]["extras"]
 
 
+# VTK
+
+
+def _data_array(f, name: str, kind: str, values: Iterable, components: int = 1) -> None:
+    f.write(f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{components}" format="ascii">\n')
+    for v in values:
+        f.write(f"{'nan' if v is None else v}\n")
+    f.write("</DataArray>\n")
+
+
+def _cell_data(f, table: DataFrame, columns: list[str]) -> None:
+    """A column after the other: each is streamed to the driver in the table's order."""
+    f.write("<CellData>\n")
+    for c in columns:
+        _data_array(f, c, "Float64", (r[0] for r in table.select(F.col(c).cast("double")).toLocalIterator(prefetchPartitions=True)))
+    f.write("</CellData>\n")
+
+
+def write_vti(model: BlockModel, path: str, columns: list[str]) -> None:
+    """The dense grid as VTK image data (XML): number columns as cell data, NaN where the model has no block. The frame's
+    axes are the image's direction. A file is one machine's, like a mesh."""
+    g = model.geometry
+    if g.blocks > MOST_VERTICES:
+        raise ModelError(f"{g.blocks} cells do not go into one file")
+    extent = " ".join(f"0 {n}" for n in g.shape)
+    said = lambda xs: " ".join(map(repr, xs))
+    direction = [a[n] for n in range(3) for a in g.axes]
+    table = grid_table(model, columns).orderBy("cell")
+    with open(path, "w", encoding="ascii") as f:
+        f.write('<?xml version="1.0"?>\n<VTKFile type="ImageData" version="1.0" byte_order="LittleEndian">\n')
+        f.write(f'<ImageData WholeExtent="{extent}" Origin="{said(g.world_point(g.corner))}" Spacing="{said(g.block_size)}" Direction="{said(direction)}">\n<Piece Extent="{extent}">\n')
+        _cell_data(f, table, columns)
+        f.write("</Piece>\n</ImageData>\n</VTKFile>\n")
+
+
+def write_vtu(model: BlockModel, path: str, columns: list[str]) -> None:
+    """The model's blocks as a VTK unstructured grid (XML) of voxels, eight points each."""
+    n = model.df.count()
+    if 8 * n > MOST_VERTICES:
+        raise ModelError(f"{n} blocks do not go into one file")
+    points = hexahedra(model).orderBy("block_id", "corner").select("x", "y", "z")
+    with open(path, "w", encoding="ascii") as f:
+        f.write('<?xml version="1.0"?>\n<VTKFile type="UnstructuredGrid" version="1.0" byte_order="LittleEndian">\n')
+        f.write(f'<UnstructuredGrid>\n<Piece NumberOfPoints="{8 * n}" NumberOfCells="{n}">\n<Points>\n')
+        _data_array(f, "Points", "Float64", (" ".join(map(repr, r)) for r in points.toLocalIterator(prefetchPartitions=True)), 3)
+        f.write("</Points>\n<Cells>\n")
+        _data_array(f, "connectivity", "Int64", range(8 * n))
+        _data_array(f, "offsets", "Int64", range(8, 8 * n + 1, 8))
+        _data_array(f, "types", "UInt8", (11 for _ in range(n)))  # fixed value: a voxel, its corners numbered with x fastest
+        f.write("</Cells>\n")
+        _cell_data(f, model.df.orderBy("block_id"), columns)
+        f.write("</Piece>\n</UnstructuredGrid>\n</VTKFile>\n")
+
+
+def read_vtk(path: str) -> tuple[dict[str, str], dict[str, list[float]]]:
+    """The grid element's attributes and all data arrays of a VTK XML file in ASCII."""
+    from xml.etree import ElementTree
+
+    grid = ElementTree.parse(path).getroot()[0]
+    return dict(grid.attrib), {a.get("Name"): [*map(float, (a.text or "").split())] for a in grid.iter("DataArray")}
+
+
 # DXF
 
 
@@ -363,6 +425,56 @@ def read_raster(path: str, name: str | None = None) -> Raster:
     return Raster(tuple(xs.tolist()), tuple(ys.tolist()), tuple(map(tuple, values.tolist())), name)
 
 
+#: TIFF's field types as struct codes and sizes, the tags that are read, and its sample formats.
+TIFF_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
+TIFF_TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 277: "samples", 278: "rows", 279: "counts", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "offsets", 325: "counts", 339: "format", 33550: "scale", 33922: "tie", 42113: "nodata"}
+TIFF_FORMATS = {1: "u", 2: "i", 3: "f"}
+
+
+def read_geotiff(path: str, name: str | None = None) -> Raster:
+    """The first band of a GeoTIFF, heights at the pixels' centres: strips or tiles, plain or deflated, and a frame that
+    is not turned. A pixel without data is an error: a surface has a height everywhere."""
+    import zlib
+
+    import numpy as np
+
+    with open(path, "rb") as f:
+        raw = f.read()
+    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
+    if order is None or struct.unpack_from(f"{order}H", raw, 2)[0] != 42:
+        raise ModelError("not a TIFF file")
+    at = struct.unpack_from(f"{order}I", raw, 4)[0]
+    tags: dict[str, tuple] = {}
+    for n in range(struct.unpack_from(f"{order}H", raw, at)[0]):
+        tag, kind, count = struct.unpack_from(f"{order}HHI", raw, at + 2 + 12 * n)
+        if tag in TIFF_TAGS and kind in TIFF_TYPES:
+            code, size = TIFF_TYPES[kind]
+            place = at + 10 + 12 * n if size * count <= 4 else struct.unpack_from(f"{order}I", raw, at + 10 + 12 * n)[0]
+            form = f"{order}{count}s" if code == "s" else f"{order}{code * count}"
+            tags[TIFF_TAGS[tag]] = struct.unpack_from(form, raw, place)
+    one = lambda key, default: tags.get(key, (default,))[0]
+    width, height, samples = one("width", 0), one("height", 0), one("samples", 1)
+    if one("compression", 1) not in (1, 8, 32946) or one("predictor", 1) != 1:
+        raise ModelError("only plain and deflated TIFF files without a predictor are read")
+    if "scale" not in tags or "tie" not in tags:
+        raise ModelError("the file does not say where its pixels are")
+    kind = np.dtype(f"{order}{TIFF_FORMATS.get(one('format', 1), 'u')}{one('bits', 8) // 8}")
+    wide, high = (tags["tile_width"][0], tags["tile_height"][0]) if "tile_width" in tags else (width, min(one("rows", height), height))
+    across = -(-width // wide)
+    whole = np.zeros((-(-height // high) * high, across * wide))
+    for n, (start, length) in enumerate(zip(tags["offsets"], tags["counts"])):
+        part = raw[start : start + length]
+        part = np.frombuffer(zlib.decompress(part) if one("compression", 1) != 1 else part, kind).reshape(-1, wide, samples)[:, :, 0]
+        y, x = n // across * high, n % across * wide
+        whole[y : y + len(part), x : x + wide] = part
+    values = whole[:height, :width]
+    if "nodata" in tags and (values == float(tags["nodata"][0].split(b"\0")[0])).any():
+        raise ModelError("the raster has pixels without data")
+    (dx, dy, *_), (i, j, _, x0, y0, *_) = tags["scale"], tags["tie"]
+    xs, ys = x0 + (np.arange(width) + 0.5 - i) * dx, y0 - (np.arange(height) + 0.5 - j) * dy
+    return Raster(tuple(xs.tolist()), tuple(ys.tolist()), tuple(map(tuple, values.tolist())), name)
+
+
 # polygons
 
 
