@@ -169,7 +169,12 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id and digests, all taken from the formatted text and its loss spans."""
+    """conv_id and digests, all taken from the formatted text and its loss spans.
+
+    Rows are answered one by one, repeated ones and those with a null conv_id too; a null role counts as empty in
+    the digest; formatted and loss_spans are never null where format_conversations made them; an empty table stays
+    empty.
+    """
     names = [("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()), ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType())]
     schema = T.StructType([formatted.schema["conv_id"], *(T.StructField(n, t) for n, t in names)])
 

@@ -290,7 +290,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), id
 
     Null texts and texts without words match nothing; rows with a null id take no part. Items that are
     compared exactly have one window.
-    Rows that share an id are one document (or item), whose best alignment
+    Ids are whole numbers of a long: they are cast. Rows that share an id are one document (or item), whose best alignment
     counts. Long texts are read whole; other columns are not read; an empty
     table on either side gives an empty table.
     """

@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id
 
     Empty texts, null texts and rows with a null id are linked with nothing
     (a null id has a null component and is kept). Rows that share an id are one
-    document, linked through any of their texts. Long texts count whole; other
+    document, linked through any of their texts. Ids are whole numbers of a long:
+    they are cast, so a fraction is cut off and other text is an error. Long texts count whole; other
     columns are not read; an empty table gives an empty table.
     """
     marked = cut(sketch(docs, p, id_col, text_col))

@@ -114,7 +114,11 @@ def cut_lengths(total: int, capacity: int) -> list[int]:
 
 
 def pieces_of(docs: DataFrame, params: Params, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, piece, start, length and ids_crc32 of each piece of each row."""
+    """``keep`` columns, piece, start, length and ids_crc32 of each piece of each row.
+
+    A null or empty text is one piece, the end id alone; long texts are encoded whole; repeated rows are cut alike;
+    other columns are not read; an empty table stays empty.
+    """
     schema = T.StructType([*struct_of(docs, *keep), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def rows():
