@@ -998,12 +998,12 @@ def profile_report(spark, sf_dir):
     return spark.createDataFrame([(text.count("<tr>"), "Grade" in text)], "rows long, described boolean")
 
 
-@query()
+@query("""SELECT column_name AS "column", true AS sized, CAST(count(*) OVER () AS INTEGER) AS batch FROM (DESCRIBE SELECT * FROM events)""")
 def profile_column_sizes(spark, sf_dir):
     sizes = profile.column_sizes(f"{sf_dir}/events.parquet")
     names = sorted(sizes)
     batch = profile.columns_per_batch(names, sizes, profile.parse_memory_budget("1GiB"))
-    return spark.createDataFrame([(n, sizes[n], batch) for n in names], "column string, bytes long, batch int")
+    return spark.createDataFrame([(n, sizes[n] > 0, batch) for n in names], "column string, sized boolean, batch int")
 
 
 # time
