@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,18 +71,47 @@ class WorldId:
             steps = F.rint((col(v).cast("double") - F.lit(o)) * F.lit(s))
             bad = F.raise_error(F.lit(f"{a} is outside the world id's range")).cast("long")
             q.append(F.when((steps >= 0) & (steps < float(2**b)), steps.cast("long")).otherwise(bad))
-        parts = [F.shiftleft(F.shiftright(q[axis], bit).bitwiseAND(F.lit(1).cast("long")), to) for axis, bit, to in layout(self.bits)]
-        return _united(parts)
+        return _united([_looked_up(q[axis], at, table) for axis, at, table in _spread(self.bits)])
 
     def decode(self, code="world_id") -> tuple[Column, Column, Column]:
         code = col(code)
         out = []
         for axis in range(3):
-            bits = [F.shiftleft(F.shiftrightunsigned(code, at).bitwiseAND(F.lit(1).cast("long")), bit) for a, bit, at in layout(self.bits) if a == axis]
-            out.append(_united(bits).cast("double") / F.lit(self.scale[axis]) + F.lit(self.offset[axis]))
+            steps = _united([_looked_up(code, at, table) for a, at, table in _gathered(self.bits) if a == axis])
+            out.append(steps.cast("double") / F.lit(self.scale[axis]) + F.lit(self.offset[axis]))
         return tuple(out)
 
 
+def _table(values: list[int]) -> str:
+    """An SQL array of longs; the 64th bit is the sign."""
+    return f"array({','.join(f'{v - 2**64 if v >= 2**63 else v}L' for v in values)})"
+
+
+def _bytes(moves: list[tuple[int, int]]) -> list[tuple[int, str]]:
+    """For bits that move from one place to another: by byte of the source, its place and what its 256 values become."""
+    out = []
+    for at in sorted({a // 8 * 8 for a, _ in moves}):
+        mine = [(a - at, to) for a, to in moves if a // 8 * 8 == at]
+        out.append((at, _table([sum(1 << to for bit, to in mine if value >> bit & 1) for value in range(256)])))
+    return out
+
+
+@lru_cache(16)
+def _spread(bits: tuple[int, int, int]) -> list[tuple[int, int, str]]:
+    """axis, place of a byte of its steps, and the code's bits for each value of the byte."""
+    return [(axis, at, table) for axis in range(3) for at, table in _bytes([(bit, to) for a, bit, to in layout(bits) if a == axis])]
+
+
+@lru_cache(16)
+def _gathered(bits: tuple[int, int, int]) -> list[tuple[int, int, str]]:
+    """axis, place of a byte of the code, and the bits of the axis' steps for each value of the byte."""
+    return [(axis, at, table) for axis in range(3) for at, table in _bytes([(to, bit) for a, bit, to in layout(bits) if a == axis])]
+
+
+def _looked_up(value: Column, at: int, table: str) -> Column:
+    return F.get(F.expr(table), F.shiftrightunsigned(value, at).bitwiseAND(F.lit(255).cast("long")).cast("int"))
+
+
 def _united(parts: list[Column]) -> Column:
     """Bitwise or, as a balanced tree: expressions stay shallow."""
     while len(parts) > 1:
