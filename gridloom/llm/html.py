@@ -41,6 +41,7 @@ COMMENT_ARTICLE = re.compile(r"comment(?:[-_]*(?:body|item|content|entry|text|\d
 SECTION_NAMES = {"discussion"}
 #: Running text outside a named wrapper: at least so many words, at most this link density.
 RUNNING_WORDS, RUNNING_LINKS = 20, 0.3
+SENTENCE_WORDS = 6
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 #: A comment; a tag whose quotes are closed; a tag with a quote that nothing closes, which ends at the next angle.
@@ -136,7 +137,7 @@ def _place(stack: list[Open], wrappers: set[Open] = frozenset()) -> str:
 def _wrappers(blocks: list[Block], inner: list[Open | None]) -> set[Open]:
     """Elements round most of the page's text that say nothing about it, as no article is outside of them: forms,
     elements with a comment's name, and elements that only a name makes a menu, an aside or a form, if they hold
-    running text in more than one block."""
+    running text in more than one block and nothing outside of them looks like an article's, however short."""
     total, seen, out = sum(b.words for b in blocks), set(), set()
     for e in inner:
         while e and e not in seen:
@@ -145,10 +146,12 @@ def _wrappers(blocks: list[Block], inner: list[Open | None]) -> set[Open]:
     for e in seen:
         if e.words * 2 <= total or e.name in MAIN or (e.held[1] and e.name != "form" and e.held[0] != "comment"):
             continue
-        if e.name != "form" and e.held[0] not in ("comment", "section") and sum(_running(b) for b, x in zip(blocks, inner) if e in _line(x)) < 2:
-            continue
-        around = _line(e)
-        if not any(e not in s and _article(b, s, around) for b, s in ((b, _line(x)) for b, x in zip(blocks, inner))):
+        around, placed = _line(e), [(b, _line(x)) for b, x in zip(blocks, inner)]
+        outside = [(b, s) for b, s in placed if e not in s]
+        if e.name != "form" and e.held[0] not in ("comment", "section"):
+            if sum(_running(b) for b, s in placed if e in s) < 2 or any(_place(s) == "main" or (_place(s) == "plain" and _sentence(b)) for b, s in outside):
+                continue
+        if not any(_article(b, s, around) for b, s in outside):
             out.add(e)
     return out
 
@@ -161,6 +164,10 @@ def _article(block: Block, stack: list[Open], around: list[Open]) -> bool:
     return place in ("main", "plain") and _running(block)
 
 
+def _sentence(block: Block) -> bool:
+    return not block.heading and block.words >= SENTENCE_WORDS and block.link_density <= RUNNING_LINKS
+
+
 def _running(block: Block) -> bool:
     return not block.heading and block.words >= RUNNING_WORDS and block.link_density <= RUNNING_LINKS
 
