@@ -6,7 +6,7 @@ import html
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -192,19 +192,12 @@ def parse_memory_budget(text: str | int) -> int:
 
 
 def column_sizes(path: str, columns: list[str] | None = None) -> dict[str, int]:
-    """Uncompressed bytes of each column by the footers of a local Parquet file or folder."""
-    import pyarrow.parquet as pq
+    """Uncompressed bytes of each column by the footers of a Parquet file or folder."""
+    from gridloom.sources.store import column_chunks
 
-    files = [Path(path)] if Path(path).is_file() else sorted(Path(path).rglob("*.parquet"))
     out: dict[str, int] = {}
-    for f in files:
-        meta = pq.read_metadata(f)
-        for g in range(meta.num_row_groups):
-            group = meta.row_group(g)
-            for n in range(group.num_columns):
-                c = group.column(n)
-                name = c.path_in_schema.split(".")[0]
-                out[name] = out.get(name, 0) + c.total_uncompressed_size
+    for name, _, size in column_chunks(SparkSession.active(), path):
+        out[name] = out.get(name, 0) + size
     return out if columns is None else {c: out[c] for c in columns}
 
 

@@ -200,37 +200,25 @@ def join_merge_columns(spark, sf_dir):
     return model(spark, sf_dir).merge(extra).df.select("block_id", "grade", "price")
 
 
-@query("SELECT * FROM (VALUES ('fast', 'SNAPPY'), ('zstd', 'ZSTD'), ('9', 'ZSTD')) t(policy, codec)")
+@query(f"WITH {EV} SELECT policy, codec, CAST(count(*) AS BIGINT) AS rows, round(sum(grade), 6) AS grade FROM ev, (VALUES ('fast', 'SNAPPY'), ('zstd', 'ZSTD'), ('9', 'ZSTD')) t(policy, codec) GROUP BY 1, 2")
 def sink_compression(spark, sf_dir):
-    return _codecs(spark, sf_dir, [("fast", "fast"), ("zstd", "zstd"), ("9", 9)])
-
-
-def _codecs(spark, sf_dir, policies):
-    import glob
-
-    import pyarrow.parquet as pq
-
     out = []
-    for name, policy in policies:
+    for name, policy in [("fast", "fast"), ("zstd", "zstd"), ("9", 9)]:
         path = f"{store.scratch_dir(spark)}/m"
-        store.save(model(spark, sf_dir).with_df(events(spark, sf_dir).select("block_id", "grade")), path, policy)
-        part = sorted(glob.glob(f"{path.removeprefix('file://')}/*.parquet"))[0]
-        out.append((name, pq.read_metadata(part).row_group(0).column(0).compression))
-    return spark.createDataFrame(out, "policy string, codec string")
+        held = store.save(model(spark, sf_dir).with_df(events(spark, sf_dir).select("block_id", "grade")), path, policy)
+        codecs = {c for _, c, _ in store.column_chunks(spark, path)}
+        out.append(held.df.agg(F.lit(name).alias("policy"), F.lit(",".join(sorted(codecs))).alias("codec"), F.count(F.lit(1)).alias("rows"), r6(F.sum("grade"), "grade")))
+    return out[0].union(out[1]).union(out[2])
 
 
-@query("SELECT * FROM (VALUES ('block_id', 'ZSTD'), ('grade', 'SNAPPY'), ('mass', 'ZSTD')) t(name, codec)")
+@query(f"WITH {EV} SELECT name, codec, round(sum(grade), 6) AS grade, CAST(sum(mass) AS BIGINT) AS mass FROM ev, (VALUES ('block_id', 'ZSTD'), ('grade', 'SNAPPY'), ('mass', 'ZSTD')) t(name, codec) GROUP BY 1, 2")
 def sink_archive_compress(spark, sf_dir):
-    import glob
-
-    import pyarrow.parquet as pq
-
     path = f"{store.scratch_dir(spark)}/m"
     schema = BlockSchema((Rule("grade", compression="snappy"), Rule("mass", compression="7")))
     held = BlockModel(events(spark, sf_dir).select("block_id", "grade", "mass"), geometry(spark, sf_dir), schema)
-    store.compress(held, path)
-    group = pq.read_metadata(sorted(glob.glob(f"{path.removeprefix('file://')}/*.parquet"))[0]).row_group(0)
-    return spark.createDataFrame([(group.column(n).path_in_schema, group.column(n).compression) for n in range(group.num_columns)], "name string, codec string")
+    stored = store.compress(held, path)
+    codecs = spark.createDataFrame(sorted({(n, c) for n, c, _ in store.column_chunks(spark, path)}), "name string, codec string")
+    return codecs.join(stored.df.agg(r6(F.sum("grade"), "grade"), F.sum("mass").alias("mass")))
 
 
 DENSE_SQL = """WITH d AS (SELECT CAST(count(*) // 100 AS BIGINT) AS ni FROM orders), g AS (SELECT unnest(generate_series(0, ni * 100 - 1)) AS b FROM d)
