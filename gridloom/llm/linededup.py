@@ -57,7 +57,7 @@ def _lines(docs: DataFrame, p: Params) -> DataFrame:
     split = docs.select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     line = F.btrim(F.col("raw"), F.lit(BLANKS))
     words = split.select("doc", "mark", "pos", line.alias("line")).where("line <> ''")
-    words = words.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    words = words.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     long = F.col("n") >= p.min_words
     even = long & (F.col("n") % 2 == 0)
     q, r = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
@@ -156,6 +156,6 @@ def dedup_lines(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", t
     stay = _let(F.split(text_col, "\n", -1), lambda all_: F.array_join(F.transform(places(all_), lambda i: F.get(all_, i)), "\n"))
     return joined.select(
         *(F.when(F.col("_dedup_gone").isNull(), F.col(c)).otherwise(stay).alias(c) if c == text_col else F.col(c) for c in names),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(counts[0]),
+        F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(counts[0]),
         F.when(F.col("_dedup_gone").isNull(), 0).otherwise(F.size("_dedup_gone")).cast("long").alias(counts[1]),
     )
