@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 Vector = tuple[float, float, float]
 IDENTITY: tuple[Vector, Vector, Vector] = ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))
 MOST_BLOCKS = 2**31 - 1
+LATTICE, FRAME = ("corner", "block_size", "shape"), ("origin", "axis_u", "axis_v", "axis_w", "srs")
 
 
 class GeometryError(ValueError):
@@ -98,6 +99,24 @@ class Geometry:
     def create(cls, corner=(0, 0, 0), block_size=(1, 1, 1), shape=(1, 1, 1), origin=(0, 0, 0), azimuth=0.0, dip=0.0, plunge=0.0, srs=None) -> Geometry:
         return cls(corner, block_size, shape, origin, *angles_to_axes(azimuth, dip, plunge), srs)
 
+    @classmethod
+    def of(cls, local: dict | None = None, world: dict | None = None, **flat) -> Geometry:
+        """From a lattice (corner, block_size, shape) and a frame (origin, axes, srs), either of which may be left out,
+        or from the same names side by side; both at once is an error."""
+        if flat and (local is not None or world is not None):
+            raise GeometryError("a lattice and a frame, or single values: not both")
+        if local is not None and not set(local) <= set(LATTICE) or world is not None and not set(world) <= set(FRAME):
+            raise GeometryError(f"a lattice has {', '.join(LATTICE)}, a frame {', '.join(FRAME)}")
+        return cls(**(local or {}), **(world or {}), **flat)
+
+    @property
+    def local(self) -> dict:
+        return {n: getattr(self, n) for n in LATTICE}
+
+    @property
+    def world(self) -> dict:
+        return {n: getattr(self, n) for n in FRAME}
+
     # what the driver can say at once
 
     @property

@@ -144,6 +144,20 @@ def geo_accessors(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in held.items()], "name string, value double")
 
 
+@query(f"WITH {DIMS} SELECT way, CASE way WHEN 'parts' THEN ni * 100 WHEN 'flat' THEN ni * 100 WHEN 'lattice' THEN ni * 100 WHEN 'frame' THEN 1 END AS blocks, way IN ('parts', 'flat', 'frame') AS turned FROM dims, (VALUES ('parts'), ('flat'), ('lattice'), ('frame'), ('both'), ('mixed up')) t(way)")
+def geo_constructors(spark, sf_dir):
+    g = geometry(spark, sf_dir, rotated=True)
+    ways = {"parts": {"local": g.local, "world": g.world}, "flat": g.local | g.world, "lattice": {"local": g.local}, "frame": {"world": g.world}, "both": {"local": g.local, "shape": (1, 1, 1)}, "mixed up": {"local": g.world}}
+    rows = []
+    for way, said in ways.items():
+        try:
+            made = Geometry.of(**said)
+            rows.append((way, made.blocks, made.rotated))
+        except frames.GeometryError:
+            rows.append((way, None, False))
+    return spark.createDataFrame(rows, "way string, blocks long, turned boolean")
+
+
 @query(f"""WITH {DIMS}, o AS (SELECT unnest(['x', 'y', 'z']) AS axis, unnest([floor((1000.0 - 100.0 * {SIN}) * 10) / 10, 2000.0, 50.0]) AS origin FROM dims)
 SELECT axis, origin AS "offset", 10.0 AS scale, CASE axis WHEN 'z' THEN 16 ELSE 24 END AS bits FROM o""")
 def geo_world_id_params(spark, sf_dir):
