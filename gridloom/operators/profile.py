@@ -58,17 +58,20 @@ def _ranked(df: DataFrame, values: dict[str, Column], wanted: dict[tuple[str, in
             elif row[f"low{n}"] <= spot < row[f"low{n}"] + mid:
                 within = F.when((values[name] > low) & (values[name] < high), values[name])
                 if mid <= NARROW:
-                    lists[name, k] = F.get(F.sort_array(F.collect_list(within)), F.lit(spot - row[f"low{n}"]))
+                    lists[name, k] = (name, low, high), within, spot - row[f"low{n}"]
                 else:
                     brackets[name, k] = _approximate(within, (spot - row[f"low{n}"]) / (mid - 1), margin)
             else:
                 lost[name, k] = (-float("inf"), float("inf"))
         wanted = {}
         if lists or brackets:
-            keys = [*lists, *brackets]
-            row = df.agg(*(x.alias(f"c{n}") for n, x in enumerate([*lists.values(), *brackets.values()]))).first()
-            found |= {key: row[f"c{n}"] for n, key in enumerate(keys) if key in lists}
-            wanted = {key: tuple(row[f"c{n}"]) for n, key in enumerate(keys) if key in brackets}
+            sorted_ = {one: within for one, within, _ in lists.values()}  # ranks of one bracket share its list
+            place = {one: f"s{n}" for n, one in enumerate(sorted_)}
+            made = [F.sort_array(F.collect_list(w)).alias(place[one]) for one, w in sorted_.items()] + [x.alias(f"b{n}") for n, x in enumerate(brackets.values())]
+            picks = [F.get(place[one], F.lit(at)).alias(f"p{n}") for n, (one, _, at) in enumerate(lists.values())]
+            row = df.agg(*made).select(*picks, *(f"b{n}" for n in range(len(brackets)))).first()
+            found |= {key: row[f"p{n}"] for n, key in enumerate(lists)}
+            wanted = {key: tuple(row[f"b{n}"]) for n, key in enumerate(brackets)}
         if lost:  # not in its bracket, against the approximation's promise
             found |= _ranked(df, values, lost, 2 * margin)
     return found
@@ -96,11 +99,13 @@ def quantiles(df: DataFrame, values: dict[str, Column], at: list[float], held: d
 
 
 def counted(v: Column, at: list[float], n: str) -> list[Column]:
-    return [F.count(v).alias(f"n{n}"), F.array(*(_approximate(v, a, MARGIN) for a in at)).alias(f"b{n}")]
+    ends = [x for a in at for x in (max(0.0, a - MARGIN), min(1.0, a + MARGIN))]
+    return [F.count(v).alias(f"n{n}"), F.percentile_approx(v, ends, ACCURACY).alias(f"b{n}")]
 
 
 def counted_in(row, at: list[float], n: str) -> tuple[int, list[Bracket]]:
-    return row[f"n{n}"], [tuple(x) for x in row[f"b{n}"]] if row[f"n{n}"] else []
+    flat = row[f"b{n}"] or []
+    return row[f"n{n}"], list(zip(flat[::2], flat[1::2]))
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
