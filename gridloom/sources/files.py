@@ -1,4 +1,4 @@
-"""Small geometric files, read and written by the driver: PLY, GLB, VTK, DXF, rasters, GeoParquet polygons."""
+"""Geometric files, read and written by the driver, meshes and grids a part at a time: PLY, GLB, VTK, DXF, rasters, GeoParquet polygons."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from gridloom.functions.geometry import Vector
 from gridloom.operators.mesh import MeshTables, grid_table, hexahedra
 from gridloom.operators.model import BlockModel, ModelError
 from gridloom.operators.spatial import Mesh, Polygon, Raster
+from gridloom.sources import store
 
 #: PLY's types and their struct codes.
 PLY_TYPES = {"char": "b", "int8": "b", "uchar": "B", "uint8": "B", "short": "h", "int16": "h", "ushort": "H", "uint16": "H", "int": "i", "int32": "i", "uint": "I", "uint32": "I", "float": "f", "float32": "f", "double": "d", "float64": "d"}
@@ -49,51 +50,161 @@ def _ply_header(lines: list[str]) -> tuple[list, dict, str]:
     return elements, meta, kind
 
 
-def _ply_numbers(body: bytes, kind: str):
-    """A function from a PLY type to the next number of the body."""
-    if kind == "ascii":
-        words = iter(body.split())
-        return lambda t: float(next(words)) if PLY_TYPES[t] in "fd" else int(next(words))
-    if kind not in ("binary_little_endian", "binary_big_endian"):
+def _ply_head(f) -> tuple[list, dict, str]:
+    """The header of an open PLY file, which then stands at its body."""
+    line = f.readline(1 << 20)
+    if line.strip() != b"ply":
+        raise ModelError("not a PLY file")
+    lines = [line]
+    while not (line := f.readline()).startswith(b"end_header"):
+        if not line:
+            raise ModelError("the PLY header does not end")
+        lines.append(line)
+    elements, meta, kind = _ply_header([x.decode("ascii", "replace") for x in lines])
+    if kind not in ("ascii", "binary_little_endian", "binary_big_endian"):
         raise ModelError(f"no PLY format: {kind}")
-    order, at = "<" if "little" in kind else ">", [0]
+    return elements, meta, kind
+
+
+class _Words:
+    """The words of an open file, some at a time."""
+
+    def __init__(self, f):
+        self.f, self.rest, self.held, self.at = f, b"", [], 0
+
+    def take(self, n: int) -> list[bytes]:
+        out: list[bytes] = []
+        while True:
+            part = self.held[self.at : self.at + n - len(out)]
+            self.at += len(part)
+            out += part
+            if len(out) == n:
+                return out
+            block = self.f.read(BLOCK)
+            text = self.rest + block
+            end = max(text.rfind(c) for c in (b" ", b"\n", b"\t", b"\r")) + 1 if block else len(text)
+            self.rest, self.held, self.at = text[end:], text[:end].split(), 0
+            if not block and not self.held:
+                raise ModelError("the file ends before its last element")
+
+
+def _exactly(f, n: int) -> bytes:
+    if len(data := f.read(n)) < n:
+        raise ModelError("the file ends before its last element")
+    return data
+
+
+def _ply_rows(f, words: _Words, kind: str, n: int, properties: list) -> dict:
+    """n records whose lists may have any length; the lists are passed over."""
+    import numpy as np
+
+    order = ">" if "big" in kind else "<"
 
     def number(t: str):
+        if kind == "ascii":
+            word = words.take(1)[0]
+            return float(word) if PLY_TYPES[t] in "fd" else int(word)
         form = order + PLY_TYPES[t]
-        value = struct.unpack_from(form, body, at[0])[0]
-        at[0] += struct.calcsize(form)
-        return value
+        return struct.unpack(form, _exactly(f, struct.calcsize(form)))[0]
+
+    held: dict[str, list] = {p: [] for p, t in properties if not isinstance(t, list)}
+    for _ in range(n):
+        for p, t in properties:
+            if isinstance(t, list):
+                for _ in range(int(number(t[0]))):
+                    number(t[1])
+            else:
+                held[p].append(number(t))
+    types = dict((p, t) for p, t in properties if not isinstance(t, list))
+    return {p: np.array(v, float if PLY_TYPES[types[p]] in "fd" else np.int64) for p, v in held.items()}
 
-    return number
 
+def _ply_fixed(f, words: _Words, kind: str, n: int, properties: list) -> tuple[dict, list]:
+    """n records whose lists have three items: the columns, and an array of n by 3 for each list."""
+    import numpy as np
+
+    columns, lists = {}, []
+    if kind == "ascii":
+        width = sum(4 if isinstance(t, list) else 1 for _, t in properties)
+        # A list of another length moves all that follows: the lengths of a record are looked at before the next is read.
+        table = np.fromiter(map(float, words.take(n * width)), float, n * width).reshape(n, width)
+        at = 0
+        for p, t in properties:
+            if isinstance(t, list):
+                if (table[:, at] != 3).any():
+                    raise ModelError("only triangles are read")
+                lists.append(table[:, at + 1 : at + 4].astype(np.int64))
+                at += 4
+                continue
+            columns[p] = table[:, at]
+            if PLY_TYPES[t] not in "fd":
+                columns[p] = columns[p].astype(np.int64)
+                if (columns[p] != table[:, at]).any():
+                    raise ModelError(f"{p} is no whole number")
+            at += 1
+        return columns, lists
+    order, fields = ">" if "big" in kind else "<", []
+    for m, (_, t) in enumerate(properties):
+        fields += [(f"n{m}", order + PLY_TYPES[t[0]]), (f"p{m}", order + PLY_TYPES[t[1]], (3,))] if isinstance(t, list) else [(f"p{m}", order + PLY_TYPES[t])]
+    form = np.dtype(fields)
+    data = f.read(n * form.itemsize)
+    table = np.frombuffer(data[: len(data) // form.itemsize * form.itemsize], form)
+    for m, (p, t) in enumerate(properties):
+        if isinstance(t, list):
+            if (table[f"n{m}"] != 3).any():
+                raise ModelError("only triangles are read")
+            lists.append(table[f"p{m}"].astype(np.int64))
+        else:
+            columns[p] = table[f"p{m}"].astype(float if PLY_TYPES[t] in "fd" else np.int64)
+    if len(table) < n:
+        raise ModelError("the file ends before its last element")
+    return columns, lists
+
+
+def ply_chunks(path: str) -> tuple[list, dict, Iterator]:
+    """A PLY file's elements, the comments' values, and its vertices and faces a chunk at a time: the element's name,
+    its columns as arrays, and the faces' corners as an array of n by 3."""
+    import numpy as np
 
-def read_ply(path: str) -> tuple[dict[str, list], list[tuple[int, int, int]], dict[str, list], dict]:
-    """Vertex columns, triangles, face columns and the comments' values of a PLY file."""
     with open(path, "rb") as f:
-        raw = f.read()
-    end = raw.find(b"end_header")
-    if end < 0 and raw[:3] == b"ply":
-        raise ModelError("the PLY header does not end")
-    elements, meta, kind = _ply_header(raw[: max(end, 0)].decode("ascii", "replace").splitlines())
-    number = _ply_numbers(raw[raw.index(b"\n", end) + 1 :], kind)
-    vertices: dict[str, list] = {}
+        elements, meta, kind = _ply_head(f)
+
+    def chunks():
+        with open(path, "rb") as f:
+            _ply_head(f)
+            words = _Words(f)
+            for name, n, properties in elements:
+                listed = sum(isinstance(t, list) for _, t in properties)
+                if name == "face" and listed > 1:
+                    raise ModelError("a face has one list")
+                for start in range(0, n, CHUNK):
+                    m, corners = min(CHUNK, n - start), np.zeros((0, 3), np.int64)
+                    if listed and name != "face":
+                        columns = _ply_rows(f, words, kind, m, properties)
+                    else:
+                        columns, lists = _ply_fixed(f, words, kind, m, properties)
+                        corners = lists[0] if lists else corners
+                    if name in ("vertex", "face"):
+                        yield name, columns, corners
+
+    return elements, meta, chunks()
+
+
+def _scalars(elements: list, element: str) -> list[str]:
+    return list(dict.fromkeys(p for name, _, properties in elements if name == element for p, t in properties if not isinstance(t, list)))
+
+
+def read_ply(path: str) -> tuple[dict[str, list], list[tuple[int, int, int]], dict[str, list], dict]:
+    """Vertex columns, triangles, face columns and the comments' values of a PLY file, all in lists: ``ply_chunks``
+    and ``ply_tables`` are for large ones."""
+    elements, meta, chunks = ply_chunks(path)
+    vertices: dict[str, list] = {c: [] for c in _scalars(elements, "vertex")}
+    attributes: dict[str, list] = {c: [] for c in _scalars(elements, "face")}
     faces: list[tuple[int, int, int]] = []
-    attributes: dict[str, list] = {}
-    for name, n, properties in elements:
-        target = vertices if name == "vertex" else attributes if name == "face" else {}
-        for p, t in properties:
-            if not isinstance(t, list):
-                target.setdefault(p, [])
-        for _ in range(n):
-            for p, t in properties:
-                if not isinstance(t, list):
-                    target[p].append(number(t))
-                    continue
-                item = [number(t[1]) for _ in range(int(number(t[0])))]
-                if name == "face":
-                    if len(item) != 3:
-                        raise ModelError("only triangles are read")
-                    faces.append(tuple(map(int, item)))
+    for name, columns, corners in chunks:
+        for c, v in columns.items():
+            (vertices if name == "vertex" else attributes)[c] += v.tolist()
+        faces += map(tuple, corners.tolist())
     return vertices, faces, attributes, meta
 
 
@@ -103,112 +214,282 @@ def ply_mesh(path: str, name: str | None = None) -> Mesh:
 
 
 def ply_tables(spark: SparkSession, path: str) -> MeshTables:
-    """A PLY file with all its properties, as vertex and face tables."""
-    v, f, attributes, meta = read_ply(path)
-    rows = [(n, *map(float, r)) for n, r in enumerate(zip(*v.values()))]
-    vertices = spark.createDataFrame(rows, "vertex_id long, " + ", ".join(f"`{c}` double" for c in v))
-    columns = list(attributes)
-    face_rows = [(n, *t, *(float(attributes[c][n]) for c in columns)) for n, t in enumerate(f)]
-    faces = spark.createDataFrame(face_rows, "face_id long, v0 long, v1 long, v2 long" + "".join(f", `{c}` double" for c in columns))
-    return MeshTables(vertices, faces, meta)
+    """A PLY file with all its properties, as vertex and face tables; the driver holds a chunk of it at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    elements, meta, chunks = ply_chunks(path)
+    columns = {"vertex": _scalars(elements, "vertex"), "face": _scalars(elements, "face")}
+    lead = {"vertex": ["vertex_id"], "face": ["face_id", "v0", "v1", "v2"]}
+    ddl = {e: ", ".join([*(f"{c} long" for c in lead[e]), *(f"`{c}` double" for c in columns[e])]) for e in lead}
+    done = {e: store.Upload(spark, ddl[e]) for e in lead}
+    places = dict.fromkeys(lead, 0)
+    for name, held, corners in chunks:
+        n = len(corners) if name == "face" else len(next(iter(held.values()), ()))
+        first = places[name]
+        places[name] += n
+        ids = [np.arange(first, first + n), *(corners[:, m] for m in range(3) if name == "face")]
+        values = [np.asarray(held[c], float) for c in columns[name]]
+        done[name].add(pa.table([*ids, *values], names=[*lead[name], *columns[name]]))
+    return MeshTables(done["vertex"].table(), done["face"].table(), meta)
 
 
 #: A mesh file is one machine's, and the driver numbers its vertices: larger meshes are an error, not a full driver.
 MOST_VERTICES = 50_000_000
+#: Records of a file that the driver reads at a time, bytes of text, and rows of a table that come to it at a time.
+CHUNK, BLOCK, PART = 1 << 16, 1 << 22, 100_000
 
 
-def _numbered(mesh: MeshTables) -> tuple[list[str], list[str], Iterator, int, Iterator, int]:
-    """Vertices and faces in order, face corners as places in the vertex list; streamed to the driver."""
-    vcols = ["x", "y", "z", *(c for c in "ijk" if c in mesh.vertices.columns), *sorted(set(mesh.vertices.columns) - {"vertex_id", "block_id", "corner", *"xyzijk"})]
-    fcols = [*(c for c in "ijk" if c in mesh.faces.columns), *sorted(set(mesh.faces.columns) - {"face_id", "block_id", "v0", "v1", "v2", *"ijk"})]
-    if (n := mesh.vertices.count()) > MOST_VERTICES:
-        raise ModelError(f"{n} vertices do not go into one file")
-    order = {r[0]: n for n, r in enumerate(mesh.vertices.select("vertex_id").orderBy("vertex_id").toLocalIterator(prefetchPartitions=True))}
-    vertices = (tuple(r) for r in mesh.vertices.orderBy("vertex_id").select(*vcols).toLocalIterator(prefetchPartitions=True))
-    faces = ((tuple(order[v] for v in r[:3]), tuple(r[3:])) for r in mesh.faces.orderBy("face_id").select("v0", "v1", "v2", *fcols).toLocalIterator(prefetchPartitions=True))
-    return vcols, fcols, vertices, len(order), faces, mesh.faces.count()
+def _streamed(df: DataFrame, rows: int, keys: list[str], said: Callable) -> Iterator[tuple]:
+    """The table in the order of its keys, the first of which deals it out: what ``said`` makes of a batch, some bytes,
+    made by the executors. The driver holds two parts of the table at a time."""
+
+    def turned(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = said(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in made], names=[f"b{n}" for n in range(len(made))])
+
+    width = 2 if getattr(said, "pair", False) else 1
+    dealt = df.repartitionByRange(max(1, -(-rows // PART)), keys[0]).sortWithinPartitions(*keys)
+    return (tuple(r) for r in dealt.mapInArrow(turned, ", ".join(f"b{n} binary" for n in range(width))).toLocalIterator(prefetchPartitions=True))
+
+
+def _texts(column):
+    """What str says of a column's values, as an array of objects; missing ones are nan."""
+    import numpy as np
+
+    coded = column.dictionary_encode()
+    words = [*("nan" if v is None else str(v) for v in coded.dictionary.to_pylist()), "nan"]
+    return np.array(words, object)[coded.indices.fill_null(len(words) - 1).to_numpy(zero_copy_only=False)]
+
+
+def _lines(columns: list) -> bytes:
+    """A batch's columns as lines of words."""
+    texts = [_texts(c).tolist() for c in columns]
+    return "".join([f"{line}\n" for line in (map(" ".join, zip(*texts)) if len(texts) > 1 else texts[0])]).encode("ascii")
+
+
+def _records(columns: list, kinds: list[str]) -> bytes:
+    """A batch's columns as packed little-endian records: i for 32-bit integers, f for 32-bit floats."""
+    import numpy as np
+
+    table = np.zeros(len(columns[0]), np.dtype([(f"c{n}", f"<{k}4") for n, k in enumerate(kinds)]))
+    for n, (c, k) in enumerate(zip(columns, kinds)):
+        if k == "i" and c.null_count:
+            raise ModelError("an integer is missing")
+        v = c.to_numpy(zero_copy_only=False)
+        with np.errstate(over="ignore"):
+            table[f"c{n}"] = v
+        if k == "f" and (np.isinf(table[f"c{n}"]) & ~np.isinf(v)).any():
+            raise ModelError("a number is too large for 32 bits")
+    return table.tobytes()
+
+
+class _Faces:
+    """Face corners as places in the vertex list. The vertices' ids are held sorted, 4 or 8 bytes each."""
+
+    def __init__(self, mesh: MeshTables, points: bool = False):
+        ends = [f(c).cast("double") for c in "xyz" for f in (F.min, F.max)] if points else []
+        self.nv, low, high, *self.ends = mesh.vertices.agg(F.count(F.lit(1)), F.min("vertex_id"), F.max("vertex_id"), *(e.alias(f"e{n}") for n, e in enumerate(ends))).first()
+        if self.nv > MOST_VERTICES:
+            raise ModelError(f"{self.nv} vertices do not go into one file")
+        import numpy as np
+
+        self.nf, self.low, self.high, self.seen = mesh.faces.count(), low or 0, high or 0, 0
+        self.ids = np.empty(self.nv, np.uint32 if self.high - self.low < 2**32 else np.uint64)
+
+    def keep(self, ids: bytes) -> None:
+        """The next vertices, in order."""
+        import numpy as np
+
+        ids = np.frombuffer(ids, np.int64) - self.low
+        if self.seen + len(ids) > self.nv:
+            raise ModelError("the mesh changed while it was written")
+        self.ids[self.seen : self.seen + len(ids)] = ids
+        self.seen += len(ids)
+
+    def places(self, corners: bytes):
+        """n by 3 vertex ids as places."""
+        import numpy as np
+
+        if self.seen != self.nv:
+            raise ModelError("the mesh changed while it was written")
+        asked = np.frombuffer(corners, np.int64)
+        near = (np.clip(asked, self.low, self.high) - self.low).astype(self.ids.dtype)
+        at = np.searchsorted(self.ids, near, "right") - 1
+        if len(asked) and (not self.nv or (at < 0).any() or (self.ids[at].astype(np.int64) + self.low != asked).any()):
+            raise ModelError("a face names a vertex that is not there")
+        return at.reshape(-1, 3)
+
+
+def _led(n: int, turn: Callable) -> Callable:
+    """For ``_streamed``: the first n columns as rows of 64-bit integers, and what ``turn`` makes of the others."""
+
+    def said(batch):
+        import numpy as np
+
+        lead = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:n]], 1).astype(np.int64)
+        return lead.tobytes(), turn(batch.columns[n:]) if batch.num_columns > n else b""
+
+    said.pair = True
+    return said
 
 
 def write_ply(mesh: MeshTables, path: str, binary: bool = False) -> None:
     """A PLY file of a mesh with its attributes. A file is one machine's: meshes for viewers, not corpora."""
-    vcols, fcols, vertices, nv, faces, nf = _numbered(mesh)
+    import numpy as np
+
+    vcols = ["x", "y", "z", *(c for c in "ijk" if c in mesh.vertices.columns), *sorted(set(mesh.vertices.columns) - {"vertex_id", "block_id", "corner", *"xyzijk"})]
+    fcols = [*(c for c in "ijk" if c in mesh.faces.columns), *sorted(set(mesh.faces.columns) - {"face_id", "block_id", "v0", "v1", "v2", *"ijk"})]
+    order = _Faces(mesh)
     kind = lambda c: "int" if c in ("i", "j", "k") else "float"
-    head = ["ply", f"format {'binary_little_endian' if binary else 'ascii'} 1.0", *(f"comment {k}={json.dumps(v)}" for k, v in mesh.meta.items()), f"element vertex {nv}"]
-    head += [f"property {kind(c)} {c}" for c in vcols] + [f"element face {nf}", "property list uchar int vertex_indices", *(f"property {kind(c)} {c}" for c in fcols), "end_header"]
-    number = lambda x: "nan" if x is None else str(x)
+    head = ["ply", f"format {'binary_little_endian' if binary else 'ascii'} 1.0", *(f"comment {k}={json.dumps(v)}" for k, v in mesh.meta.items()), f"element vertex {order.nv}"]
+    head += [f"property {kind(c)} {c}" for c in vcols] + [f"element face {order.nf}", "property list uchar int vertex_indices", *(f"property {kind(c)} {c}" for c in fcols), "end_header"]
+
+    def table(df: DataFrame, ids: list[str], columns: list[str]) -> Iterator[tuple]:
+        kinds = [kind(c)[0] for c in columns]
+        turn = (lambda held: _records(held, kinds)) if binary else _lines
+        typed = [F.col(c).cast("int" if kind(c) == "int" else "double").alias(c) if binary else F.col(c) for c in columns]
+        return _streamed(df.select(*(F.col(c).cast("long").alias(c) for c in ids), *typed), order.nv if ids[0] == "vertex_id" else order.nf, ids[:1], _led(len(ids), turn))
+
     with open(path, "wb") as f:
         f.write(("\n".join(head) + "\n").encode("ascii"))
-        vform = "<" + "".join("i" if kind(c) == "int" else "f" for c in vcols)
-        fform = "<Biii" + "".join("i" if kind(c) == "int" else "f" for c in fcols)
-        real = lambda r: (float("nan") if x is None else x for x in r)
-        for r in vertices:
-            f.write(struct.pack(vform, *real(r)) if binary else (" ".join(map(number, r)) + "\n").encode())
-        for t, r in faces:
-            f.write(struct.pack(fform, 3, *t, *real(r)) if binary else (" ".join(["3", *map(str, t), *map(number, r)]) + "\n").encode())
+        for ids, body in table(mesh.vertices, ["vertex_id"], vcols):
+            order.keep(ids)
+            f.write(body)
+        done = 0
+        for ids, body in table(mesh.faces, ["face_id", "v0", "v1", "v2"], fcols):
+            corners = order.places(np.frombuffer(ids, np.int64).reshape(-1, 4)[:, 1:].tobytes())
+            done += len(corners)
+            if binary:
+                out = np.zeros(len(corners), np.dtype([("n", "u1"), ("v", "<i4", (3,)), ("r", f"V{4 * len(fcols)}")] if fcols else [("n", "u1"), ("v", "<i4", (3,))]))
+                out["n"], out["v"] = 3, corners
+                if fcols:
+                    out["r"] = np.frombuffer(body, f"V{4 * len(fcols)}")
+                f.write(out.tobytes())
+            else:
+                rest = body.decode().split("\n") if fcols else [""] * len(corners)
+                f.write("".join([f"3 {a} {b} {c}{' ' if r else ''}{r}\n" for (a, b, c), r in zip(corners.tolist(), rest)]).encode())
+        if order.seen != order.nv or done != order.nf:
+            raise ModelError("the mesh changed while it was written")
 
 
 # GLB
 
 
 def write_glb(mesh: MeshTables, path: str, colours: DataFrame | None = None) -> None:
-    """A binary glTF 2.0 file: positions, indices, and vertex colours if given (vertex_id, r, g, b, a)."""
-    _, _, vertices, nv, faces, nf = _numbered(MeshTables(mesh.vertices.select("vertex_id", "x", "y", "z"), mesh.faces.select("face_id", "v0", "v1", "v2"), mesh.meta))
-    points = list(vertices)
-    blobs = [b"".join(struct.pack("<fff", *p) for p in points), b"".join(struct.pack("<III", *t) for t, _ in faces)]
+    """A binary glTF 2.0 file: positions, indices, and vertex colours if given (vertex_id, r, g, b, a). Its lengths are
+    known before its parts, which are written as they come."""
+    order = _Faces(mesh, points=True)
+    nv, nf = order.nv, order.nf
+    sizes = [12 * nv, 12 * nf] + ([4 * nv] if colours is not None else [])
     accessors = [
-        {"bufferView": 0, "componentType": 5126, "count": nv, "type": "VEC3", "min": [min(c) for c in zip(*points)] or [0] * 3, "max": [max(c) for c in zip(*points)] or [0] * 3},
+        {"bufferView": 0, "componentType": 5126, "count": nv, "type": "VEC3", "min": [0 if e is None else e for e in order.ends[::2]], "max": [0 if e is None else e for e in order.ends[1::2]]},
         {"bufferView": 1, "componentType": 5125, "count": 3 * nf, "type": "SCALAR"},
     ]
     primitive: dict = {"attributes": {"POSITION": 0}, "indices": 1, "mode": 4}
     if colours is not None:
-        blobs.append(b"".join(struct.pack("<BBBB", *r) for r in colours.orderBy("vertex_id").select("r", "g", "b", "a").toLocalIterator(prefetchPartitions=True)))
         accessors.append({"bufferView": 2, "componentType": 5121, "normalized": True, "count": nv, "type": "VEC4"})
         primitive["attributes"]["COLOR_0"] = 2
     views, at = [], 0
-    for n, b in enumerate(blobs):
-        views.append({"buffer": 0, "byteOffset": at, "byteLength": len(b), "target": 34963 if n == 1 else 34962})
-        at += len(b) + -len(b) % 4
-    body = b"".join(b + b"\0" * (-len(b) % 4) for b in blobs)
-    scene = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0}], "meshes": [{"primitives": [primitive], "extras": mesh.meta}], "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": len(body)}]}
+    for n, size in enumerate(sizes):
+        views.append({"buffer": 0, "byteOffset": at, "byteLength": size, "target": 34963 if n == 1 else 34962})
+        at += size  # all are multiples of four bytes
+    scene = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": [0]}], "nodes": [{"mesh": 0}], "meshes": [{"primitives": [primitive], "extras": mesh.meta}], "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": at}]}
     text = json.dumps(scene).encode()
     text += b" " * (-len(text) % 4)
+    if 28 + len(text) + at >= 2**32:
+        raise ModelError("a GLB file has less than 4 GB")
+    points = mesh.vertices.select(F.col("vertex_id").cast("long").alias("vertex_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    faces = mesh.faces.select(*(F.col(c).cast("long").alias(c) for c in ("face_id", "v0", "v1", "v2")))
+
+    def corners(batch):
+        import numpy as np
+
+        return (np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1).astype(np.int64).tobytes(),)
+
+    def shades(batch):
+        import numpy as np
+
+        table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1)
+        if not ((table >= 0) & (table <= 255)).all():
+            raise ModelError("a colour is outside 0 to 255")
+        return (table.astype(np.uint8).tobytes(),)
+
     with open(path, "wb") as f:
-        f.write(struct.pack("<III", 0x46546C67, 2, 28 + len(text) + len(body)))
+        f.write(struct.pack("<III", 0x46546C67, 2, 28 + len(text) + at))
         f.write(struct.pack("<II", len(text), 0x4E4F534A) + text)
-        f.write(struct.pack("<II", len(body), 0x004E4942) + body)
+        f.write(struct.pack("<II", at, 0x004E4942))
+        for ids, body in _streamed(points, nv, ["vertex_id"], _led(1, lambda held: _records(held, ["f"] * 3))):
+            order.keep(ids)
+            f.write(body)
+        for (body,) in _streamed(faces, nf, ["face_id"], corners):
+            f.write(order.places(body).astype("<u4").tobytes())
+        if colours is not None:
+            for (body,) in _streamed(colours.select("vertex_id", "r", "g", "b", "a"), nv, ["vertex_id"], shades):
+                f.write(body)
+        if f.tell() != 28 + len(text) + at:
+            raise ModelError("the mesh changed while it was written")
+
+
+def glb_chunks(path: str) -> tuple[dict, Iterator]:
+    """The scene of a GLB file that this module wrote, and its parts a chunk at a time: the part's number (0 positions,
+    1 triangles, 2 colours) and an array of rows."""
+    import os
 
+    import numpy as np
 
-def read_glb(path: str) -> tuple[list[tuple], list[tuple], list[tuple], dict]:
-    """Positions, triangles, colours and extras of a GLB file that this module wrote."""
     with open(path, "rb") as f:
-        raw = f.read()
-    magic, version, total = struct.unpack_from("<III", raw)
-    if magic != 0x46546C67 or version != 2 or total != len(raw):
-        raise ModelError("not a GLB file")
-    n = struct.unpack_from("<I", raw, 12)[0]
-    scene = json.loads(raw[20 : 20 + n])
-    body = raw[28 + n :]
-    part = lambda i: body[scene["bufferViews"][i]["byteOffset"] :][: scene["bufferViews"][i]["byteLength"]]
-    colours = list(struct.iter_unpack("<BBBB", part(2))) if len(scene["bufferViews"]) > 2 else []
-    return list(struct.iter_unpack("<fff", part(0))), list(struct.iter_unpack("<III", part(1))), colours, scene["meshes"][0]["extras"]
+        magic, version, total, n, _ = struct.unpack("<IIIII", f.read(20).ljust(20, b"\0"))
+        if magic != 0x46546C67 or version != 2 or total != os.path.getsize(path):
+            raise ModelError("not a GLB file")
+        scene = json.loads(f.read(n))
+
+    def chunks():
+        with open(path, "rb") as f:
+            for part, (view, form) in enumerate(zip(scene["bufferViews"], (("<f4", 3), ("<u4", 3), ("u1", 4)))):
+                f.seek(28 + n + view["byteOffset"])
+                rows = np.dtype((form[0], (form[1],)))
+                for start in range(0, view["byteLength"], CHUNK * rows.itemsize):
+                    data = _exactly(f, min(CHUNK * rows.itemsize, view["byteLength"] - start))
+                    yield part, np.frombuffer(data, form[0]).reshape(-1, form[1])
+
+    return scene, chunks()
+
+
+def read_glb(path: str) -> tuple[list[tuple], list[tuple], list[tuple], dict]:
+    """Positions, triangles, colours and extras of a GLB file that this module wrote, all in lists."""
+    scene, chunks = glb_chunks(path)
+    out: tuple[list, list, list] = ([], [], [])
+    for part, table in chunks:
+        out[part].extend(map(tuple, table.tolist()))
+    return *out, scene["meshes"][0]["extras"]
 
 
 # VTK
 
 
-def _data_array(f, name: str, kind: str, values: Iterable, components: int = 1) -> None:
-    f.write(f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{components}" format="ascii">\n')
-    for v in values:
-        f.write(f"{'nan' if v is None else v}\n")
-    f.write("</DataArray>\n")
+def _data_array(f, name: str, kind: str, text: Iterable[str | bytes], components: int = 1) -> None:
+    f.write(f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{components}" format="ascii">\n'.encode("ascii"))
+    for t in text:
+        f.write(t.encode("ascii") if isinstance(t, str) else t)
+    f.write(b"</DataArray>\n")
+
 
+def _counted(numbers: range) -> Iterator[str]:
+    for at in range(0, len(numbers), CHUNK):
+        yield "".join([f"{n}\n" for n in numbers[at : at + CHUNK]])
 
-def _cell_data(f, table: DataFrame, columns: list[str]) -> None:
+
+def _cell_data(f, table: DataFrame, rows: int, key: str, columns: list[str]) -> None:
     """A column after the other: each is streamed to the driver in the table's order."""
-    f.write("<CellData>\n")
+    f.write(b"<CellData>\n")
     for c in columns:
-        _data_array(f, c, "Float64", (r[0] for r in table.select(F.col(c).cast("double")).toLocalIterator(prefetchPartitions=True)))
-    f.write("</CellData>\n")
+        held = table.select(F.col(key).alias("_key"), F.col(c).cast("double").alias("_value"))
+        _data_array(f, c, "Float64", (b for (b,) in _streamed(held, rows, ["_key"], lambda batch: (_lines(batch.columns[1:]),))))
+    f.write(b"</CellData>\n")
 
 
 def write_vti(model: BlockModel, path: str, columns: list[str]) -> None:
@@ -220,12 +501,11 @@ def write_vti(model: BlockModel, path: str, columns: list[str]) -> None:
     extent = " ".join(f"0 {n}" for n in g.shape)
     said = lambda xs: " ".join(map(repr, xs))
     direction = [a[n] for n in range(3) for a in g.axes]
-    table = grid_table(model, columns).orderBy("cell")
-    with open(path, "w", encoding="ascii") as f:
-        f.write('<?xml version="1.0"?>\n<VTKFile type="ImageData" version="1.0" byte_order="LittleEndian">\n')
-        f.write(f'<ImageData WholeExtent="{extent}" Origin="{said(g.world_point(g.corner))}" Spacing="{said(g.block_size)}" Direction="{said(direction)}">\n<Piece Extent="{extent}">\n')
-        _cell_data(f, table, columns)
-        f.write("</Piece>\n</ImageData>\n</VTKFile>\n")
+    with open(path, "wb") as f:
+        f.write(b'<?xml version="1.0"?>\n<VTKFile type="ImageData" version="1.0" byte_order="LittleEndian">\n')
+        f.write(f'<ImageData WholeExtent="{extent}" Origin="{said(g.world_point(g.corner))}" Spacing="{said(g.block_size)}" Direction="{said(direction)}">\n<Piece Extent="{extent}">\n'.encode("ascii"))
+        _cell_data(f, grid_table(model, columns), g.blocks, "cell", columns)
+        f.write(b"</Piece>\n</ImageData>\n</VTKFile>\n")
 
 
 def write_vtu(model: BlockModel, path: str, columns: list[str]) -> None:
@@ -233,26 +513,82 @@ def write_vtu(model: BlockModel, path: str, columns: list[str]) -> None:
     n = model.df.count()
     if 8 * n > MOST_VERTICES:
         raise ModelError(f"{n} blocks do not go into one file")
-    points = hexahedra(model).orderBy("block_id", "corner").select("x", "y", "z")
-    with open(path, "w", encoding="ascii") as f:
-        f.write('<?xml version="1.0"?>\n<VTKFile type="UnstructuredGrid" version="1.0" byte_order="LittleEndian">\n')
-        f.write(f'<UnstructuredGrid>\n<Piece NumberOfPoints="{8 * n}" NumberOfCells="{n}">\n<Points>\n')
-        _data_array(f, "Points", "Float64", (" ".join(map(repr, r)) for r in points.toLocalIterator(prefetchPartitions=True)), 3)
-        f.write("</Points>\n<Cells>\n")
-        _data_array(f, "connectivity", "Int64", range(8 * n))
-        _data_array(f, "offsets", "Int64", range(8, 8 * n + 1, 8))
-        _data_array(f, "types", "UInt8", (11 for _ in range(n)))  # fixed value: a voxel, its corners numbered with x fastest
-        f.write("</Cells>\n")
-        _cell_data(f, model.df.orderBy("block_id"), columns)
-        f.write("</Piece>\n</UnstructuredGrid>\n</VTKFile>\n")
+    points = hexahedra(model).select("block_id", "corner", "x", "y", "z")
+    with open(path, "wb") as f:
+        f.write(b'<?xml version="1.0"?>\n<VTKFile type="UnstructuredGrid" version="1.0" byte_order="LittleEndian">\n')
+        f.write(f'<UnstructuredGrid>\n<Piece NumberOfPoints="{8 * n}" NumberOfCells="{n}">\n<Points>\n'.encode("ascii"))
+        _data_array(f, "Points", "Float64", (b for (b,) in _streamed(points, 8 * n, ["block_id", "corner"], lambda batch: (_lines(batch.columns[2:]),))), 3)
+        f.write(b"</Points>\n<Cells>\n")
+        _data_array(f, "connectivity", "Int64", _counted(range(8 * n)))
+        _data_array(f, "offsets", "Int64", _counted(range(8, 8 * n + 1, 8)))
+        _data_array(f, "types", "UInt8", ("11\n" * min(CHUNK, n - at) for at in range(0, n, CHUNK)))  # fixed value: a voxel, its corners numbered with x fastest
+        f.write(b"</Cells>\n")
+        _cell_data(f, model.df, n, "block_id", columns)
+        f.write(b"</Piece>\n</UnstructuredGrid>\n</VTKFile>\n")
+
+
+def vtk_chunks(path: str) -> Iterator[tuple[str | None, object]]:
+    """A VTK XML file in ASCII, a block at a time: first None and the grid element's attributes; then each data array's
+    name with None where it begins, and with arrays of the numbers that follow."""
+    from xml.parsers import expat
 
+    import numpy as np
 
-def read_vtk(path: str) -> tuple[dict[str, str], dict[str, list[float]]]:
-    """The grid element's attributes and all data arrays of a VTK XML file in ASCII."""
-    from xml.etree import ElementTree
+    out: list = []
+    text: list[str] = []
+    at = {"depth": 0, "grids": 0, "name": None, "inside": False}
+
+    def flush(whole: bool) -> None:
+        held = "".join(text)
+        end = len(held) if whole else max(map(held.rfind, " \n\t\r")) + 1
+        text[:] = [held[end:]] if end < len(held) else []
+        if numbers := held[:end].split():
+            out.append((at["name"], np.fromiter(map(float, numbers), float, len(numbers))))
+
+    def start(tag, attributes):
+        at["depth"] += 1
+        if at["depth"] == 2:
+            at["grids"] += 1
+            if at["grids"] == 1:
+                out.append((None, attributes))
+        if tag == "DataArray" and at["grids"] == 1:
+            at["name"], at["inside"] = attributes.get("Name", ""), True
+            out.append((at["name"], None))
+
+    def end(tag):
+        at["depth"] -= 1
+        if tag == "DataArray" and at["inside"]:
+            flush(True)
+            at["inside"] = False
+
+    parser = expat.ParserCreate()
+    parser.buffer_text, parser.buffer_size = True, 1 << 16
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda t: text.append(t) if at["inside"] else None
+    with open(path, "rb") as f:
+        while True:
+            block = f.read(BLOCK)
+            parser.Parse(block, not block)
+            if at["inside"]:
+                flush(False)
+            yield from out
+            out.clear()
+            if not block:
+                return
 
-    grid = ElementTree.parse(path).getroot()[0]
-    return dict(grid.attrib), {a.get("Name"): [*map(float, (a.text or "").split())] for a in grid.iter("DataArray")}
+
+def read_vtk(path: str) -> tuple[dict[str, str], dict[str, list[float]]]:
+    """The grid element's attributes and all data arrays of a VTK XML file in ASCII, in lists."""
+    grid: dict[str, str] = {}
+    held: dict[str, list[float]] = {}
+    for name, part in vtk_chunks(path):
+        if name is None:
+            grid = part
+        elif part is None:
+            held[name] = []
+        else:
+            held[name] += part.tolist()
+    return grid, held
 
 
 # DXF
