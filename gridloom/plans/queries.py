@@ -1104,8 +1104,13 @@ def mesh_read_ply(spark, sf_dir):
 def mesh_write_ply(spark, sf_dir):
     path = f"{store.file_dir(spark)}/m.ply"
     files.write_ply(_surface(spark, sf_dir), path, binary=True)
-    vertices, faces, _, _ = files.read_ply(path)
-    return spark.createDataFrame([(len(vertices["x"]), len(faces), round(math.fsum(vertices["tonnes"]) / 1e6, 4))], "vertices long, faces long, tonnes double")
+    _, _, chunks = files.ply_chunks(path)
+    counts, tonnes = {"vertex": 0, "face": 0}, []
+    for name, columns, corners in chunks:
+        counts[name] += len(corners) if name == "face" else len(columns["x"])
+        if name == "vertex":
+            tonnes.append(math.fsum(columns["tonnes"]))
+    return spark.createDataFrame([(counts["vertex"], counts["face"], round(math.fsum(tonnes) / 1e6, 4))], "vertices long, faces long, tonnes double")
 
 
 @query(f"{SURFACE}, CAST(8 * count(*) AS BIGINT) AS colours FROM shown")

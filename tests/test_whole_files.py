@@ -55,3 +55,33 @@ def test_vtu_is_streamed(spark, blocks, tmp_path):
     assert [None if math.isnan(v) else v for v in held["grade"]] == [r[0] for r in blocks.df.orderBy("block_id").select("grade").collect()]
     count, most = peak(lambda: sum(len(part) for name, part in files.vtk_chunks(path) if name == "Points" and part is not None))
     assert count == 192_000 and most < 4
+
+
+def test_written_ply_is_streamed(blocks, tmp_path):
+    m, path = mesh.triangulate(blocks, ["grade"], surface_only=False), f"{tmp_path}/m.ply"
+    _, most = peak(lambda: files.write_ply(m, path, binary=True))
+    assert most < 4
+    points, faces = expected(m)
+    v, f, a, _ = files.read_ply(path)
+    assert f == faces and list(zip(v["x"], v["y"], v["z"])) == points and len(a["grade"]) == 96_000
+    grades = [r[0] for r in m.vertices.orderBy("vertex_id").select("grade").collect()]
+    assert [None if math.isnan(x) else x for x in v["grade"]] == grades
+    counts, most = peak(lambda: [len(c["x"]) for name, c, _ in files.ply_chunks(path)[2] if name == "vertex"])
+    assert sum(counts) == 64_000 and most < 4
+
+
+def test_ply_of_odd_elements(spark, tmp_path):
+    """Lists of any length are passed over in vertices and other elements; what is cut off or no number is an error."""
+    head = "ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty list uchar int seen\nproperty float y\nproperty float z\nelement edge 1\nproperty list uchar int ends\nelement face 1\nproperty list uchar int vertex_indices\nproperty int code\nend_header\n"
+    body = "0 0 1 2\n1 2 7 8 0 0\n0.5 1 9 1 nan\n4 1 2 3 4\n3 0 1 2 41\n"
+    for text, ok in ((head + body, True), (head + body[:-4], False), (head + body.replace("41", "4.5"), False)):
+        (tmp_path / "m.ply").write_text(text)
+        if not ok:
+            with pytest.raises(ModelError):
+                files.read_ply(f"{tmp_path}/m.ply")
+            continue
+        v, f, a, _ = files.read_ply(f"{tmp_path}/m.ply")
+        assert v["x"] == [0.0, 1.0, 0.5] and v["y"] == [1.0, 0.0, 1.0] and f == [(0, 1, 2)] and a == {"code": [41]}
+    big = head.replace("ascii", "binary_big_endian").encode() + b"".join(struct.pack(">fB", x, len(s)) + struct.pack(f">{len(s)}i2f", *s, y, z) for x, s, y, z in ((0, [], 1, 2), (1, [7, 8], 0, 0), (0.5, [9], 1, 3)))
+    (tmp_path / "b.ply").write_bytes(big + struct.pack(">B2i", 2, 0, 1) + struct.pack(">B4i", 3, 0, 1, 2, 41))
+    assert files.read_ply(f"{tmp_path}/b.ply")[:3] == ({"x": [0.0, 1.0, 0.5], "y": [1.0, 0.0, 1.0], "z": [2.0, 0.0, 3.0]}, [(0, 1, 2)], {"code": [41]})
