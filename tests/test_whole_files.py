@@ -70,6 +70,17 @@ def test_written_ply_is_streamed(blocks, tmp_path):
     assert sum(counts) == 64_000 and most < 4
 
 
+def test_ply_tables_are_streamed(spark, blocks, tmp_path):
+    m, path = mesh.triangulate(blocks, ["grade"], surface_only=False), f"{tmp_path}/m.ply"
+    files.write_ply(m, path)
+    held, most = peak(lambda: files.ply_tables(spark, path))
+    assert most < 4
+    points, faces = expected(m)
+    assert [tuple(r) for r in held.vertices.orderBy("vertex_id").select("x", "y", "z").collect()] == points
+    assert [tuple(r) for r in held.faces.orderBy("face_id").select("v0", "v1", "v2").collect()] == faces
+    assert held.faces.where("NOT isnan(grade)").agg(F.sum("grade")).first() == m.faces.agg(F.sum("grade")).first()
+
+
 def test_ply_of_odd_elements(spark, tmp_path):
     """Lists of any length are passed over in vertices and other elements; what is cut off or no number is an error."""
     head = "ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty list uchar int seen\nproperty float y\nproperty float z\nelement edge 1\nproperty list uchar int ends\nelement face 1\nproperty list uchar int vertex_indices\nproperty int code\nend_header\n"
