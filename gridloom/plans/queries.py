@@ -1117,8 +1117,10 @@ def mesh_write_ply(spark, sf_dir):
 def mesh_write_glb(spark, sf_dir):
     m, path = _surface(spark, sf_dir), f"{store.file_dir(spark)}/m.glb"
     files.write_glb(m, path, mesh.colours(m.vertices, "tonnes"))
-    points, triangles, colours, _ = files.read_glb(path)
-    return spark.createDataFrame([(len(points), len(triangles), len(colours))], "vertices long, faces long, colours long")
+    counts = [0, 0, 0]
+    for part, rows in files.glb_chunks(path)[1]:
+        counts[part] += len(rows)
+    return spark.createDataFrame([tuple(counts)], "vertices long, faces long, colours long")
 
 
 @query("SELECT 'ore' AS layer, 8 AS vertices, 12 AS faces, 0 AS open")

@@ -96,3 +96,18 @@ def test_ply_of_odd_elements(spark, tmp_path):
     big = head.replace("ascii", "binary_big_endian").encode() + b"".join(struct.pack(">fB", x, len(s)) + struct.pack(f">{len(s)}i2f", *s, y, z) for x, s, y, z in ((0, [], 1, 2), (1, [7, 8], 0, 0), (0.5, [9], 1, 3)))
     (tmp_path / "b.ply").write_bytes(big + struct.pack(">B2i", 2, 0, 1) + struct.pack(">B4i", 3, 0, 1, 2, 41))
     assert files.read_ply(f"{tmp_path}/b.ply")[:3] == ({"x": [0.0, 1.0, 0.5], "y": [1.0, 0.0, 1.0], "z": [2.0, 0.0, 3.0]}, [(0, 1, 2)], {"code": [41]})
+
+
+def test_written_glb_is_streamed(blocks, tmp_path):
+    m, path = mesh.triangulate(blocks, ["grade"], surface_only=False), f"{tmp_path}/m.glb"
+    shades = mesh.colours(m.vertices, "grade")
+    _, most = peak(lambda: files.write_glb(m, path, shades))
+    assert most < 4
+    points, faces = expected(m)
+    at, corners, colours, _ = files.read_glb(path)
+    assert at == points and corners == faces
+    assert colours == [tuple(r) for r in shades.orderBy("vertex_id").select("r", "g", "b", "a").collect()]
+    counts, most = peak(lambda: [(part, len(rows)) for part, rows in files.glb_chunks(path)[1]])
+    assert most < 4 and [sum(n for p, n in counts if p == part) for part in range(3)] == [64_000, 96_000, 64_000]
+    scene, _ = files.glb_chunks(path)
+    assert scene["accessors"][0]["min"] == [*np.min(points, 0)] and scene["accessors"][0]["max"] == [*np.max(points, 0)]
