@@ -136,6 +136,10 @@ def _below(z: Column, surface: Column, geometry: Geometry) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (surface - (z - h)) / (2 * h)))
 
 
+#: Cells of a raster that the driver turns into rows at a time.
+CELLS = 100_000
+
+
 @dataclass(frozen=True)
 class Raster:
     """Heights on a rectangular grid of strictly monotonic axes; values[y][x]."""
@@ -162,8 +166,27 @@ class Raster:
         object.__setattr__(self, "values", tuple(map(tuple, values)))
 
     def cells(self, spark: SparkSession) -> DataFrame:
-        rows = [(cx, cy, self.xs[cx], self.xs[cx + 1], self.ys[cy], self.ys[cy + 1], self.values[cy][cx], self.values[cy][cx + 1], self.values[cy + 1][cx], self.values[cy + 1][cx + 1]) for cy in range(len(self.ys) - 1) for cx in range(len(self.xs) - 1)]
-        return spark.createDataFrame(rows, "cx int, cy int, x0 double, x1 double, y0 double, y1 double, z00 double, z10 double, z01 double, z11 double")
+        """A row for each cell: its place, ends and corners. The driver makes CELLS at a time; more go through files."""
+        import numpy as np
+        import pyarrow as pa
+
+        from gridloom.sources import store
+
+        ddl = "cx int, cy int, x0 double, x1 double, y0 double, y1 double, z00 double, z10 double, z01 double, z11 double"
+        names = [c.split()[0] for c in ddl.split(", ")]
+        xs, ys, z, wide = np.array(self.xs), np.array(self.ys), np.array(self.values), len(self.xs) - 1
+        total = wide * (len(ys) - 1)
+
+        def made(start: int) -> list:
+            cy, cx = np.divmod(np.arange(start, min(start + CELLS, total)), wide)
+            return [cx.astype(np.int32), cy.astype(np.int32), xs[cx], xs[cx + 1], ys[cy], ys[cy + 1], z[cy, cx], z[cy, cx + 1], z[cy + 1, cx], z[cy + 1, cx + 1]]
+
+        if total <= CELLS:
+            return spark.createDataFrame(list(zip(*(c.tolist() for c in made(0)))), ddl)
+        held = store.Upload(spark, ddl)
+        for start in range(0, total, CELLS):
+            held.add(pa.table(made(start), names=names))
+        return held.table()
 
     @staticmethod
     def _cell(c: Column, axis: tuple[float, ...]) -> Column:

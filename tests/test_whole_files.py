@@ -111,3 +111,19 @@ def test_written_glb_is_streamed(blocks, tmp_path):
     assert most < 4 and [sum(n for p, n in counts if p == part) for part in range(3)] == [64_000, 96_000, 64_000]
     scene, _ = files.glb_chunks(path)
     assert scene["accessors"][0]["min"] == [*np.min(points, 0)] and scene["accessors"][0]["max"] == [*np.max(points, 0)]
+
+
+def test_geotiff_wider_than_65535_pixels(spark, tmp_path, monkeypatch):
+    from gridloom.operators import spatial
+    from gridloom.plans.metaqueries import write_geotiff
+
+    xs, ys = [2.0 * n for n in range(70_001)], [4.0, 2.0, 0.0]
+    write_geotiff(f"{tmp_path}/m.tif", xs, ys, [[x - y for x in xs] for y in ys], tiles=True)
+    r = files.read_geotiff(f"{tmp_path}/m.tif")
+    assert r.xs == tuple(xs) and r.values[-1] == tuple(x - 4.0 for x in xs)
+    plain = {tuple(c) for c in spatial.Raster(r.xs[:40_000], r.ys, tuple(v[:40_000] for v in r.values)).cells(spark).collect()}
+    monkeypatch.setattr(spatial, "CELLS", 30_000)
+    held, most = peak(lambda: r.cells(spark))
+    cells = [tuple(c) for c in held.collect()]
+    assert most < 15 and len(cells) == len(set(cells)) == 140_000 and plain <= set(cells)
+    assert (69_999, 1, 139_998.0, 140_000.0, 2.0, 4.0, 139_996.0, 139_998.0, 139_994.0, 139_996.0) in cells
