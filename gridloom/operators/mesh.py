@@ -43,8 +43,9 @@ def corner_points(model: BlockModel) -> Column:
     return F.array(*points)
 
 
-def exterior_sides(model: BlockModel) -> DataFrame:
-    """block_id, i, j, k and side (0 to 5) of the sides behind which the model has no block."""
+def exterior_sides(model: BlockModel, merge: bool = False) -> DataFrame:
+    """block_id, i, j, k and side (0 to 5) of the sides behind which the model has no block. With ``merge`` both sides
+    of the join are sorted: no list of blocks passes through the driver, which takes longer on small models."""
     g = model.geometry
     ijk = dict(zip("ijk", g.ijk()))
     blocks = model.df.select("block_id", *(c.alias(n) for n, c in ijk.items()))
@@ -52,12 +53,12 @@ def exterior_sides(model: BlockModel) -> DataFrame:
     sides = blocks.select("*", F.explode(steps).alias("s"))
     sides = sides.withColumn("_behind", g.block_id(*(F.col(a) + F.col(f"s.d{a}") for a in "ijk"), strict=False))
     there = model.df.select(F.col("block_id").cast("int").alias("_behind"))
-    return sides.join(there, "_behind", "left_anti").select("block_id", "i", "j", "k", F.col("s.side").alias("side"))
+    return sides.join(there.hint("merge") if merge else there, "_behind", "left_anti").select("block_id", "i", "j", "k", F.col("s.side").alias("side"))
 
 
-def triangulate(model: BlockModel, attributes: list[str] | None = None, surface_only: bool = True) -> MeshTables:
+def triangulate(model: BlockModel, attributes: list[str] | None = None, surface_only: bool = True, merge: bool = False) -> MeshTables:
     """8 vertices for each block that shows a face, two triangles for each side; ``surface_only`` leaves
-    out sides between two blocks. Attributes (numbers) ride along on vertices and faces."""
+    out sides between two blocks, with joins as ``merge`` says for ``exterior_sides``. Attributes (numbers) ride along on vertices and faces."""
     if not right_handed(*model.geometry.axes):
         raise ModelError("the axes are not right-handed")
     attributes = list(attributes or [])
@@ -69,14 +70,15 @@ def triangulate(model: BlockModel, attributes: list[str] | None = None, surface_
     ijk = [c.alias(n) for n, c in zip("ijk", model.geometry.ijk())]
     blocks = df.select("block_id", *ijk, *values)
     if surface_only:
-        sides = exterior_sides(model).select("block_id", "side").join(blocks, "block_id")
+        sides = exterior_sides(model, merge).select("block_id", "side").join(blocks.hint("merge") if merge else blocks, "block_id")
     else:
         sides = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("side"))
     first = F.col("block_id").cast("long") * 8
     triangles = F.array(*(F.array(*(F.struct(*(F.lit(v).alias(f"v{n}") for n, v in enumerate(t))) for t in (a, b))) for _, a, b in SIDES))
     faces = sides.select("block_id", "i", "j", "k", *attributes, "side", F.posexplode(F.element_at(triangles, F.col("side") + 1)).alias("half", "t"))
     faces = faces.select((F.col("block_id").cast("long") * 12 + F.col("side") * 2 + F.col("half")).alias("face_id"), "block_id", *((first + F.col(f"t.v{n}")).alias(f"v{n}") for n in range(3)), "i", "j", "k", *attributes)
-    shown = df.join(sides.select("block_id").distinct(), "block_id", "left_semi") if surface_only else df
+    showing = sides.select("block_id").distinct()
+    shown = df.join(showing.hint("merge") if merge else showing, "block_id", "left_semi") if surface_only else df
     vertices = shown.select("block_id", *ijk, *values, F.explode(corner_points(model)).alias("c"))
     vertices = vertices.select((first + F.col("c.corner")).alias("vertex_id"), "block_id", "c.corner", "c.x", "c.y", "c.z", "i", "j", "k", *attributes)
     return MeshTables(vertices, faces, {"shape": list(model.geometry.shape), "surface_only": surface_only})

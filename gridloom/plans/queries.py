@@ -1088,7 +1088,7 @@ PLY_SQL = f"{SURFACE}, round(8 * sum(CAST(CAST(tonnes AS FLOAT) AS DOUBLE)) / 1e
 
 
 def _surface(spark, sf_dir):
-    return mesh.triangulate(_sparse(spark, sf_dir), ["tonnes"])
+    return mesh.triangulate(_sparse(spark, sf_dir), ["tonnes"], merge=True)
 
 
 @query(PLY_SQL)

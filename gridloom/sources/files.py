@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -213,27 +214,128 @@ def ply_mesh(path: str, name: str | None = None) -> Mesh:
     return Mesh(tuple(zip(v["x"], v["y"], v["z"])), tuple(f), name)
 
 
-def ply_tables(spark: SparkSession, path: str) -> MeshTables:
-    """A PLY file with all its properties, as vertex and face tables; the driver holds a chunk of it at a time."""
+def _word_places(f, numbers: list[int]) -> list[int]:
+    """The first bytes of an open file's words with these numbers, in order; behind its last word, the file's end."""
     import numpy as np
+
+    blank = np.zeros(256, bool)
+    blank[[*b" \t\n\r\x0b\x0c"]] = True
+    found: list[int] = []
+    seen, at, after = 0, f.tell(), True
+    while len(found) < len(numbers) and (block := f.read(BLOCK >> 2)):
+        gaps = blank[np.frombuffer(block, np.uint8)]
+        firsts = np.flatnonzero(~gaps & np.concatenate(([after], gaps[:-1])))
+        while len(found) < len(numbers) and numbers[len(found)] < seen + len(firsts):
+            found.append(at + int(firsts[numbers[len(found)] - seen]))
+        seen, at, after = seen + len(firsts), at + len(block), bool(gaps[-1])
+    if any(n > seen for n in numbers[len(found) :]):
+        raise ModelError("the file ends before its last element")
+    return found + [at] * (len(numbers) - len(found))
+
+
+def _ply_parts(path: str) -> dict[str, list[tuple[int, int, int, int]]] | None:
+    """For vertices and faces, chunks that can be read apart: first record, records, first byte and bytes. None where
+    lists of any length leave records without a known place."""
+    with open(path, "rb") as f:
+        elements, _, kind = _ply_head(f)
+        lists = {name: sum(isinstance(t, list) for _, t in properties) for name, _, properties in elements}
+        if len(lists) < len(elements) or any(n != (name == "face") for name, n in lists.items()) or not _scalars(elements, "vertex"):
+            return None
+        ascii_, body = kind == "ascii", f.tell()
+        made, at = [], 0 if ascii_ else body
+        for name, n, properties in elements:
+            if ascii_:
+                width = sum(4 if isinstance(t, list) else 1 for _, t in properties)
+            else:
+                width = struct.calcsize("<" + "".join(PLY_TYPES[t[0]] + 3 * PLY_TYPES[t[1]] if isinstance(t, list) else PLY_TYPES[t] for _, t in properties))
+            for start in range(0, n, CHUNK):
+                made.append((name, start, min(CHUNK, n - start), at))
+                at += made[-1][2] * width
+        places = [*(m[3] for m in made), at]
+        if ascii_:
+            places = _word_places(f, places)
+        elif at > f.seek(0, 2):
+            raise ModelError("the file ends before its last element")
+    parts: dict[str, list] = {"vertex": [], "face": []}
+    for (name, start, n, _), at, end in zip(made, places, places[1:]):
+        if name in parts:
+            parts[name].append((start, n, at, end - at))
+    return parts
+
+
+def _ply_batch(name: str, first: int, held: dict, corners, names: list[str], columns: list[str]):
+    """A chunk's records as Arrow columns, numbered from the first."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = len(corners) if name == "face" else len(next(iter(held.values()), ()))
+    ids = [np.arange(first, first + n), *(corners[:, m] for m in range(3) if name == "face")]
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in [*ids, *(np.asarray(held[c], float) for c in columns)]], names=[*names, *columns])
+
+
+def ply_tables(spark: SparkSession, path: str) -> MeshTables:
+    """A PLY file with all its properties, as vertex and face tables. Where executors reach the file and its records
+    have known places, they read it, and the driver only looks for the places; else the driver reads a chunk at a time."""
+    import os
+
     import pyarrow as pa
 
+    path = os.path.abspath(path)
     elements, meta, chunks = ply_chunks(path)
     columns = {"vertex": _scalars(elements, "vertex"), "face": _scalars(elements, "face")}
     lead = {"vertex": ["vertex_id"], "face": ["face_id", "v0", "v1", "v2"]}
     ddl = {e: ", ".join([*(f"{c} long" for c in lead[e]), *(f"`{c}` double" for c in columns[e])]) for e in lead}
+    made = store.scratch_dir(spark)
+    parts = _ply_parts(path) if store._mounted(spark, f"file://{path}") and store._mounted(spark, made) else None
+    if parts is not None:
+        return MeshTables(*(_ply_table(spark, path, e, parts[e], lead[e], columns[e], ddl[e], f"{made}/{e}") for e in lead), meta)
     done = {e: store.Upload(spark, ddl[e]) for e in lead}
     places = dict.fromkeys(lead, 0)
     for name, held, corners in chunks:
-        n = len(corners) if name == "face" else len(next(iter(held.values()), ()))
-        first = places[name]
-        places[name] += n
-        ids = [np.arange(first, first + n), *(corners[:, m] for m in range(3) if name == "face")]
-        values = [np.asarray(held[c], float) for c in columns[name]]
-        done[name].add(pa.table([*ids, *values], names=[*lead[name], *columns[name]]))
+        batch = _ply_batch(name, places[name], held, corners, lead[name], columns[name])
+        places[name] += batch.num_rows
+        done[name].add(pa.Table.from_batches([batch]))
     return MeshTables(done["vertex"].table(), done["face"].table(), meta)
 
 
+def _ply_table(spark: SparkSession, path: str, name: str, parts: list, names: list[str], columns: list[str], ddl: str, folder: str) -> DataFrame:
+    """The element's parts, each read by a task, as a table in a folder that all share."""
+    if not parts:
+        return spark.createDataFrame([], ddl)
+    with open(path, "rb") as f:
+        elements, _, kind = _ply_head(f)
+    properties = next(p for e, _, p in elements if e == name)
+
+    def packed(batches, target) -> int:
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        rows = 0
+        for number in (n for batch in batches for n in batch.column(0).to_pylist()):  # a task has one
+            first, n, at, size = parts[number]
+            with open(path, "rb") as f:
+                f.seek(at)
+                body = io.BytesIO(_exactly(f, size))
+            held, lists = _ply_fixed(body, _Words(body), kind, n, properties)
+            batch = _ply_batch(name, first, held, lists[0] if lists else np.zeros((0, 3), np.int64), names, columns)
+            pq.write_table(pa.Table.from_batches([batch]), target)
+            rows += n
+        return rows
+
+    try:
+        rows = store._by_executors(spark.range(0, len(parts), 1, len(parts)), packed, store._os_path(spark, folder))
+    except Exception as e:
+        if said := re.search(r"ModelError: (.*)", str(e)):
+            raise ModelError(said[1]) from e
+        raise
+    if rows != sum(n for _, n, _, _ in parts):
+        raise ModelError("the file changed while it was read")
+    return spark.read.schema(ddl).parquet(folder)
+
+
 #: A mesh file is one machine's, and the driver numbers its vertices: larger meshes are an error, not a full driver.
 MOST_VERTICES = 50_000_000
 #: Records of a file that the driver reads at a time, bytes of text, and rows of a table that come to it at a time.

@@ -81,6 +81,59 @@ def test_ply_tables_are_streamed(spark, blocks, tmp_path):
     assert held.faces.where("NOT isnan(grade)").agg(F.sum("grade")).first() == m.faces.agg(F.sum("grade")).first()
 
 
+def test_ply_tables_are_read_by_executors(blocks, spark, tmp_path, monkeypatch):
+    """The driver parses no chunk, whatever a chunk's size."""
+    monkeypatch.setattr(files, "CHUNK", 1 << 16)
+    m, path = mesh.triangulate(blocks, ["grade"], surface_only=False), f"{tmp_path}/m.ply"
+    files.write_ply(m, path)
+    held, most = peak(lambda: files.ply_tables(spark, path))
+    assert most < 4
+    assert held.vertices.count() == 64_000 and held.faces.count() == 96_000
+
+
+def test_surfaces_for_files_are_not_broadcast(spark, sf):
+    """No list of a model's blocks passes through the driver, however small the model is."""
+    from gridloom.plans import queries
+
+    m = queries._surface(spark, sf)
+    for df in (m.vertices, m.faces):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ply_tables_of_any_layout(spark, tmp_path, monkeypatch):
+    """Words may stand in any lines, other elements between, chunks of any size; what is wrong is a ModelError."""
+    head = "ply\nformat ascii 1.0\ncomment a=1\nelement vertex 5\nproperty float x\nproperty float y\nproperty int s\nproperty float z\nelement edge 2\nproperty int a\nelement face 3\nproperty list uchar int vertex_indices\nproperty int code\nend_header\n"
+    body = "0 0 1 2 1 2\n3 0\t0.5 1 9\r\n nan 4 4 4 4\n\n 5 5 5 5 77 88 3 0 1\n2 41 3 1 2 3 42 3 2\x0b3 4 43"
+    form = head.replace("ascii", "binary_big_endian").encode() + b"".join(struct.pack(">2fif", *r) for r in ((0, 0, 1, 2), (1, 2, 3, 0), (0.5, 1, 9, math.nan), (4, 4, 4, 4), (5, 5, 5, 5)))
+    form += struct.pack(">2i", 77, 88) + b"".join(struct.pack(">B4i", 3, n, n + 1, n + 2, 41 + n) for n in range(3))
+    path = f"{tmp_path}/m.ply"
+    for chunk in (1, 2, 1000):
+        monkeypatch.setattr(files, "CHUNK", chunk)
+        monkeypatch.setattr(files, "BLOCK", 20 if chunk < 1000 else 1 << 15)
+        for data in (head.encode() + body.encode(), form, head.encode() + body.encode() + b"\n9 9"):
+            (tmp_path / "m.ply").write_bytes(data)
+            held = files.ply_tables(spark, path)
+            assert held.meta == {"a": 1} and held.vertices.columns == ["vertex_id", "x", "y", "s", "z"]
+            assert [tuple(r) for r in held.vertices.na.fill(-1.0).orderBy("vertex_id").selectExpr("vertex_id", "x", "y", "s", "if(isnan(z), -1, z)").collect()] == [(0, 0, 0, 1, 2), (1, 1, 2, 3, 0), (2, 0.5, 1, 9, -1), (3, 4, 4, 4, 4), (4, 5, 5, 5, 5)]
+            assert [tuple(r) for r in held.faces.orderBy("face_id").collect()] == [(n, n, n + 1, n + 2, 41 + n) for n in range(3)]
+    for data in (head + body[:-2], head + body.replace("3 1 2 3 42", "4 1 2 3 3 42"), head + body.replace("42", "4.5")):
+        (tmp_path / "m.ply").write_text(data)
+        with pytest.raises(ModelError):
+            files.ply_tables(spark, path)
+    (tmp_path / "m.ply").write_bytes(form[:-1])
+    with pytest.raises(ModelError):
+        files.ply_tables(spark, path)
+    monkeypatch.setattr(files.store, "_mounted", lambda *_: False)  # the driver's way
+    (tmp_path / "m.ply").write_bytes(form)
+    assert [tuple(r) for r in files.ply_tables(spark, path).faces.orderBy("face_id").collect()] == [(n, n, n + 1, n + 2, 41 + n) for n in range(3)]
+    empty = head.replace("vertex 5", "vertex 0").replace("edge 2", "edge 0").replace("face 3", "face 0")
+    (tmp_path / "m.ply").write_text(empty)
+    for mounted in (True, False):
+        monkeypatch.setattr(files.store, "_mounted", lambda *_, m=mounted: m)
+        held = files.ply_tables(spark, path)
+        assert held.vertices.count() == held.faces.count() == 0 and held.faces.columns == ["face_id", "v0", "v1", "v2", "code"]
+
+
 def test_ply_of_odd_elements(spark, tmp_path):
     """Lists of any length are passed over in vertices and other elements; what is cut off or no number is an error."""
     head = "ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty list uchar int seen\nproperty float y\nproperty float z\nelement edge 1\nproperty list uchar int ends\nelement face 1\nproperty list uchar int vertex_indices\nproperty int code\nend_header\n"
